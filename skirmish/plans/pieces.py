@@ -74,6 +74,9 @@ def player_states(positions: DataFrame, teams: DataFrame, weapons: DataFrame | N
     events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [by_match(s, split) for s in [*sources, start]])
     if weapons is None:
         events = events.withColumn("held", F.lit(None).cast("struct<t:double,v:boolean>"))
+    # One row per instant, so that the order is unique: at the same time the highest payload counts.
+    events = events.groupBy(*keys, "since").agg(
+        *[F.max(c).alias(c) for c in ("place", "side", "held")], F.bool_or("seen").alias("seen"))
     scan = Ordered(events, keys, ["since"], split)
     for c in ("place", "side", "held"):
         scan.running(f"_{c}", "max", F.col(c))
@@ -83,8 +86,7 @@ def player_states(positions: DataFrame, teams: DataFrame, weapons: DataFrame | N
         *keys, "since", F.coalesce("_next.since", F.lit(float("inf"))).alias("until"), F.col("_place.x").alias("px"),
         F.col("_place.y").alias("py"), F.col("_place.z").alias("pz"), F.col("_side.v").alias("team"),
         F.coalesce("_held.v", F.lit(False)).alias("tool"))
-    # Rows at the same time: all but the last cover no time at all.
-    return known.where(F.col("since") < F.col("until"))
+    return known
 
 
 def attribute_builders(pieces: DataFrame, positions: DataFrame, teams: DataFrame, weapons: DataFrame | None = None,
@@ -101,10 +103,11 @@ def attribute_builders(pieces: DataFrame, positions: DataFrame, teams: DataFrame
     split = needs_split([positions, pieces]) if split is None else split
     pieces = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     states = materialize(player_states(positions, teams, weapons, split), "states")
+    new = ~(F.col("is_edit") | F.col("is_reset")) if "is_edit" in pieces.columns else F.lit(True)
     wanted = pieces.select("match_id", "_piece", F.col("spawn_t").alias("_t"), *[F.col(c).alias(f"_{c}") for c in "xyz"],
                            F.col("team_index").cast("long").alias("_team") if "team_index" in pieces.columns
                            else F.lit(None).cast("long").alias("_team"),
-                           (~(F.col("is_edit") | F.col("is_reset"))).alias("_new"),
+                           new.alias("_new"),
                            bucket("spawn_t", TRACK_BUCKET_S).alias("_bucket"))
     span = wanted.groupBy("match_id").agg(F.min("_bucket").alias("_first"), F.max("_bucket").alias("_last"))
     lo = F.greatest(F.when(F.col("since") > F.lit(float("-inf")), bucket("since", TRACK_BUCKET_S)), F.col("_first"))
