@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from skirmish.operators.ordered import Ordered
 
 
-def percentiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float], split: bool = True) -> DataFrame:
+def percentiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float], split: bool = True,
+                few_groups: bool = False) -> DataFrame:
     """Per group, one column per entry of `qs` (name -> fraction), plus `n_values`, the number of non-null values.
 
     `split=False` uses the built-in aggregate, which holds a group's distinct values in one task: only for groups
-    known to be small. Otherwise values are counted, range-partitioned and ranked by running counts.
+    known to be small. Otherwise values are counted, range-partitioned and ranked by running counts. `few_groups`:
+    the groups are the cells of a fixed grid, so their sizes can be sent everywhere (always so without a group).
     """
     rows = df.where(F.col(value).isNotNull())
     if not split:
@@ -25,7 +27,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, f
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ranked = Ordered(counts, keys, [value], split=True).running("_upto", "sum", F.col("_c")).rows()
     sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("n_values"))
-    at = ranked.join(sizes, keys)
+    at = ranked.join(F.broadcast(sizes) if few_groups or not group else sizes, keys)
 
     def value_at(rank):
         return F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), F.col(value)))

@@ -80,7 +80,7 @@ def since_damage_report(context: DataFrame, damage: DataFrame, split: bool = Fal
     groups = F.when(F.col("recorder"), F.array(F.lit("recorder"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     rows = materialize(knocks.select(F.explode(groups).alias("knock_group"), "since"), "since-damage")
     base = rows.groupBy("knock_group").agg(F.count("*").alias("knocks"), (F.count_if(F.col("since").isNull()) / F.count("*")).alias("no_damage"))
-    return base.join(F.broadcast(percentiles(rows, ["knock_group"], "since", {"p50": 0.5, "p90": 0.9}).drop("n_values")), "knock_group", "left")
+    return base.join(F.broadcast(percentiles(rows, ["knock_group"], "since", {"p50": 0.5, "p90": 0.9}, few_groups=True).drop("n_values")), "knock_group", "left")
 
 
 def segment_links(spans: DataFrame, window_s: float) -> DataFrame:

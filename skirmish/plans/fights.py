@@ -299,7 +299,7 @@ def fight_distances(hits: DataFrame, positions: DataFrame, split: bool = False)
     known = dist.where(F.col("dist").isNotNull())
     if not split:
         return known.groupBy("match_id", "n").agg(F.median("dist").alias("dist_median_m"), F.max("dist").alias("dist_max_m"))
-    mid = percentiles(known, ["match_id", "n"], "dist", {"dist_median_m": 0.5})
+    mid = percentiles(known, ["match_id", "n"], "dist", {"dist_median_m": 0.5}).drop("n_values")
     return mid.join(known.groupBy("match_id", "n").agg(F.max("dist").alias("dist_max_m")), ["match_id", "n"])
 
 

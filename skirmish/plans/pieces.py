@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from skirmish.functions.columns import distance, is_edited, piece_kind, piece_material, piece_shape
-from skirmish.operators.intervals import bucket
-from skirmish.operators.ordered import Ordered, needs_split
+from skirmish.operators.ordered import Ordered, asof, needs_split
 from skirmish.plans.fights import by_match
 from skirmish.session import materialize
 
@@ -17,7 +16,9 @@ DUPLICATE_WINDOW_S = 0.2
 EDIT_WINDOW_S = 1.5
 MAX_BUILDER_DIST = 800.0
 RANKED_DIST = 1e5
-TRACK_BUCKET_S = 30.0
+
+MIN_BUCKET_ROWS = 64
+"""Least number of player states per bucket; results do not depend on it."""
 
 
 def _tie(df: DataFrame) -> list[str]:
@@ -58,7 +59,11 @@ def detect_edits(pieces: DataFrame, split: bool = False) -> DataFrame:
 
 def player_states(positions: DataFrame, teams: DataFrame, weapons: DataFrame | None, split: bool = False) -> DataFrame:
     """What is known of each player over time: rows valid on [since, until) with place, team and whether the
-    building tool is held. Covers every player with any position, from before the first event to the end."""
+    building tool is held. Covers every player with any position, from before the first event to the end.
+
+    A match's states are numbered in time and cut into buckets of a few states per player, however unevenly they are
+    spread over time; a state covers `bucket` to `last_bucket` (null: to the end of the match).
+    """
     keys = ["match_id", "player_id"]
     since = F.col("t").cast("double").alias("since")
     place = positions.where(F.col("player_id").isNotNull()).select(
@@ -81,12 +86,17 @@ def player_states(positions: DataFrame, teams: DataFrame, weapons: DataFrame | N
     for c in ("place", "side", "held"):
         scan.running(f"_{c}", "max", F.col(c))
     scan.running("_seen", "max", F.col("seen"))
-    scan.neighbour("_next", {"since": F.col("since")}, after=True)
     known = scan.rows().where(F.col("_seen")).select(
-        *keys, "since", F.coalesce("_next.since", F.lit(float("inf"))).alias("until"), F.col("_place.x").alias("px"),
-        F.col("_place.y").alias("py"), F.col("_place.z").alias("pz"), F.col("_side.v").alias("team"),
-        F.coalesce("_held.v", F.lit(False)).alias("tool"))
-    return known
+        *keys, "since", F.col("_place.x").alias("px"), F.col("_place.y").alias("py"), F.col("_place.z").alias("pz"),
+        F.col("_side.v").alias("team"), F.coalesce("_held.v", F.lit(False)).alias("tool"))
+    size = by_match(start, split).groupBy("match_id").agg(F.count("*").alias("_players"))
+    ranked = Ordered(known.join(size, "match_id"), ["match_id"], ["since", "player_id"], split).running(
+        "_rank", "sum", F.lit(1), inclusive=False).rows()
+    bucket = F.floor(F.coalesce("_rank", F.lit(0)) / F.greatest(F.lit(MIN_BUCKET_ROWS), 2 * F.col("_players"))).alias("bucket")
+    ranked = ranked.select("*", bucket).drop("_rank", "_players")
+    scan = Ordered(ranked, keys, ["since"], split).neighbour("_next", {"since": F.col("since"), "bucket": F.col("bucket")}, after=True)
+    return scan.rows().select("*", F.coalesce("_next.since", F.lit(float("inf"))).alias("until"),
+                              F.col("_next.bucket").alias("last_bucket")).drop("_next")
 
 
 def attribute_builders(pieces: DataFrame, positions: DataFrame, teams: DataFrame, weapons: DataFrame | None = None,
@@ -97,24 +107,23 @@ def attribute_builders(pieces: DataFrame, positions: DataFrame, teams: DataFrame
     New pieces prefer holders of the building tool; then the nearest wins, then the lowest id. Without a team the
     builder is only named within `max_dist`. builder_dist is the best candidate's distance (infinite if unknown).
 
-    A piece meets each player's one state that is valid at its spawn time: states are listed under the time buckets
-    (with pieces in them) they cover, and the best candidate is kept while joining, before any shuffle.
+    A piece meets each player's one state that is valid at its spawn time. States are listed under every bucket
+    they cover, which at most doubles them; a piece has one bucket, so it is compared with a few states per
+    candidate, and the best one is kept while joining, before any shuffle.
     """
     split = needs_split([positions, pieces]) if split is None else split
     pieces = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     states = materialize(player_states(positions, teams, weapons, split), "states")
     new = ~(F.col("is_edit") | F.col("is_reset")) if "is_edit" in pieces.columns else F.lit(True)
-    wanted = pieces.select("match_id", "_piece", F.col("spawn_t").alias("_t"), *[F.col(c).alias(f"_{c}") for c in "xyz"],
+    wanted = pieces.select("match_id", "_piece", F.col("spawn_t").alias("_at"), *[F.col(c).alias(f"_{c}") for c in "xyz"],
                            F.col("team_index").cast("long").alias("_team") if "team_index" in pieces.columns
-                           else F.lit(None).cast("long").alias("_team"),
-                           new.alias("_new"),
-                           bucket("spawn_t", TRACK_BUCKET_S).alias("_bucket"))
-    span = wanted.groupBy("match_id").agg(F.min("_bucket").alias("_first"), F.max("_bucket").alias("_last"))
-    lo = F.greatest(F.when(F.col("since") > F.lit(float("-inf")), bucket("since", TRACK_BUCKET_S)), F.col("_first"))
-    hi = F.least(F.when(F.col("until") < F.lit(float("inf")), bucket("until", TRACK_BUCKET_S)), F.col("_last"))
-    listed = states.join(span, "match_id").withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn(
-        "_bucket", F.explode(F.sequence("_lo", "_hi"))).drop("_first", "_last", "_lo", "_hi")
-    live = (F.col("since") <= F.col("_t")) & (F.col("_t") < F.col("until"))
+                           else F.lit(None).cast("long").alias("_team"), new.alias("_new"))
+    wanted = asof(by_match(wanted, split), by_match(states.select("match_id", "since", "bucket"), split), left_keys=["match_id"],
+                  right_keys=["match_id"], left_t="_at", right_t="since", payload={"_bucket": "bucket"}, split=split)
+    ends = states.groupBy("match_id").agg(F.max("bucket").alias("_end"))
+    listed = states.join(ends, "match_id").withColumn(
+        "_bucket", F.explode(F.sequence("bucket", F.coalesce("last_bucket", "_end")))).drop("bucket", "last_bucket", "_end")
+    live = (F.col("since") <= F.col("_at")) & (F.col("_at") < F.col("until"))
     dist = F.coalesce(distance(*[F.col(f"p{c}") - F.col(f"_{c}") for c in "xyz"]), F.lit(float("inf")))
     used_tool = F.col("_new") & F.col("tool")
     score = F.struct((F.col("_new") & ~F.col("tool")).alias("no_tool"), F.least(dist, F.lit(RANKED_DIST)).alias("near"), "player_id",

@@ -62,7 +62,7 @@ def segmentation_sweep(damage: DataFrame, teams: DataFrame, elims: DataFrame, ma
         *shares, F.floor(F.count_if(two & F.col("outcome").isin("win", "loss")) / 2).cast("long").alias("labelled_2team"),
         F.max(F.col("t_end") - F.col("t0")).alias("dur_max"))
     spread = percentiles(sides.where("first").withColumn("dur", F.col("t_end") - F.col("t0")), ["gap", "tol"], "dur",
-                         {"dur_p50": 0.5, "dur_p90": 0.9}).drop("n_values")
+                         {"dur_p50": 0.5, "dur_p90": 0.9}, few_groups=True).drop("n_values")
     knocks = recorder_knocks(elims, teams, matches, split)
     n_knocks = knocks.count()
     found = knock_coverage(knocks, labelled.drop("first"), F.col("grace"), by=grid).groupBy(*grid).agg(
@@ -105,9 +105,9 @@ def type_summary(fight_sides: DataFrame) -> DataFrame:
     f = materialize(fight_rows(fight_sides).withColumn("hits", (F.col("hits_dealt") + F.col("hits_taken")).cast("double")), "fight-rows")
     base = f.groupBy("engagement_type").agg(
         F.count("*").alias("fights"), (F.lit(100.0) * F.count_if(~F.col("multi_team")) / F.count("*")).alias("two_team_pct"))
-    hits = percentiles(f, ["engagement_type"], "hits", {"hits_median": 0.5}).select(
+    hits = percentiles(f, ["engagement_type"], "hits", {"hits_median": 0.5}, few_groups=True).select(
         "engagement_type", (F.col("hits_median") / 2).alias("hits_per_side_median"))
-    dist = percentiles(f, ["engagement_type"], "dist_median_m", {"dist_median_m": 0.5}).drop("n_values")
+    dist = percentiles(f, ["engagement_type"], "dist_median_m", {"dist_median_m": 0.5}, few_groups=True).drop("n_values")
     return base.join(F.broadcast(hits), "engagement_type").join(F.broadcast(dist), "engagement_type", "left")
 
 
@@ -139,8 +139,8 @@ def merge_window_report(segmented: DataFrame, windows: Sequence[float] = MERGE_W
     base = f.groupBy("tol").agg(
         F.count("*").alias("fights"), (F.count_if(F.col("n_teams") > 2) / F.count("*")).alias("multi"),
         F.max("n_teams").alias("teams_max"), F.max("dur").alias("dur_max"), (F.count_if(F.col("dur") >= 60) / F.count("*")).alias("long_share"))
-    teams = percentiles(f, ["tol"], "n_teams", {"teams_p50": 0.5, "teams_p90": 0.9}).drop("n_values")
-    dur = percentiles(f, ["tol"], "dur", {"dur_p50": 0.5, "dur_p90": 0.9}).drop("n_values")
+    teams = percentiles(f, ["tol"], "n_teams", {"teams_p50": 0.5, "teams_p90": 0.9}, few_groups=True).drop("n_values")
+    dur = percentiles(f, ["tol"], "dur", {"dur_p50": 0.5, "dur_p90": 0.9}, few_groups=True).drop("n_values")
     return base.join(F.broadcast(teams), "tol").join(F.broadcast(dur), "tol")
 
 
