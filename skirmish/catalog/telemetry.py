@@ -39,25 +39,24 @@ class Telemetry:
 
     @cached_property
     def split(self) -> bool:
-        """Whether some match holds more rows than one task should take (one pass over `user_id`)."""
-        users = self.table("events").select(F.expr("user_id div 12").alias("match_id"))
-        return needs_split([users])
+        """Whether some match holds more rows than one task should take (one pass over `match_id`)."""
+        return needs_split([self.ev])
 
     @cached_property
     def ev(self) -> DataFrame:
-        return self.sql("""
+        """Typed events, stored once: the JSON is parsed in one pass, later scans prune and filter columns."""
+        return materialize(self.sql("""
             select event_id, concat('m', lpad(cast(user_id div 12 as string), 4, '0')) as match_id,
               cast(unix_micros(cast(ts as timestamp)) - 1704067200000000 as double) / 3600000000 as t,
               concat('P', lpad(cast(user_id % 12 as string), 2, '0')) as player,
               concat('P', lpad(cast((user_id + k) % 12 as string), 2, '0')) as other,
               event_type, value, k
             from (select event_id, user_id, event_type, value, ts, cast(get_json_object(props, '$.k') as int) as k
-                  from {events}) e0""", events=self.table("events"))
+                  from {events}) e0""", events=self.table("events")), "events")
 
     @cached_property
     def match_ids(self) -> DataFrame:
-        return self.sql("select distinct concat('m', lpad(cast(user_id div 12 as string), 4, '0')) as match_id from {events}",
-                        events=self.table("events"))
+        return self.ev.select("match_id").distinct()
 
     @cached_property
     def roster(self) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from skirmish.operators.ordered import _BLOCK
@@ -52,20 +52,20 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
                 return label
             label = new
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = np.concatenate([pdf[u[0]].to_numpy(), pdf[v[0]].to_numpy()])
-        second = np.concatenate([pdf[u[1]].to_numpy(), pdf[v[1]].to_numpy()])
+    def solve(rows: pa.Table) -> pa.Table:
+        first = np.concatenate([rows[u[0]].to_numpy(), rows[v[0]].to_numpy()])
+        second = np.concatenate([rows[u[1]].to_numpy(), rows[v[1]].to_numpy()])
         order = np.lexsort((second, first))
         fs, ss = first[order], second[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (fs[1:] != fs[:-1]) | (ss[1:] != ss[:-1])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        n = len(pdf)
+        n = rows.num_rows
         label = min_labels(number[:n], number[n:], int(fresh.sum()))[number[:n]]
-        return pdf.assign(**{root[0]: fs[fresh][label], root[1]: ss[fresh][label]})
+        return rows.append_column(root[0], pa.array(fs[fresh][label])).append_column(root[1], pa.array(ss[fresh][label]))
 
-    local = edges.groupBy(*tasks).applyInPandas(solve, schema)
+    local = edges.groupBy(*tasks).applyInArrow(solve, schema)
     if not split:
         return local
     local = materialize(local, "local-components")

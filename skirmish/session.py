@@ -14,10 +14,13 @@ def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the plans were written for. Every plan is also correct without them.
 
     Tables are laid out by match once and every later window, aggregate and join keys on (match, ...), so a
-    join may reuse that layout instead of shuffling again on its full key.
+    join may reuse that layout instead of shuffling again on its full key. Collecting aggregates hold short lists
+    (the players of a side, the pairs of a fight), so they may hash many groups before falling back to sorting.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
