@@ -8,6 +8,7 @@ from skirmish.operators.ordered import needs_split
 from skirmish.plans.fights import build_fight_sides, group_fights
 from skirmish.plans.pieces import build_pieces
 from skirmish.plans.pokes import build_pokes
+from skirmish.schema import require_columns
 from skirmish.session import materialize, tune
 from skirmish.sources.tables import write_tables
 from skirmish.sources.telemetry import PATTERN, elims_table, finished_matches, load_table
@@ -20,8 +21,9 @@ def build_tables(spark: SparkSession, telemetry_dir: str, pattern: str = PATTERN
         raise ValueError(f"no finished match folders in {telemetry_dir}")
     names = {"matches": "meta", **{n: n for n in ("players", "positions", "damage", "health", "safezones", "teams", "weapons")}}
     tables = {table: load_table(spark, telemetry_dir, file, pattern) for table, file in names.items()}
-    tables["elims"] = elims_table(load_table(spark, telemetry_dir, "eliminations", pattern))
-    builds = load_table(spark, telemetry_dir, "builds", pattern)
+    eliminations, builds = (load_table(spark, telemetry_dir, n, pattern) for n in ("eliminations", "builds"))
+    require_columns({**tables, "eliminations": eliminations, "builds": builds})
+    tables["elims"] = elims_table(eliminations)
     t = tables
     split = needs_split([t["damage"], t["positions"], builds])
     hits = materialize(group_fights(t["damage"], t["teams"], split=split), "hits")

@@ -216,6 +216,13 @@ def validation_summary(tables: dict[str, DataFrame], wanted: Sequence[str] = tup
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def require_columns(tables: dict[str, DataFrame]) -> None:
+    """Raise if a table lacks declared columns; looks at schemas only."""
+    gone = [f"{name}.{c}: missing" for name, df in tables.items() for c in TABLES[name].names if c not in df.columns]
+    if gone:
+        raise ValueError("schema validation failed:\n  " + "\n  ".join(gone))
+
+
 def problems(df: DataFrame, table: str) -> list[str]:
     """The report as messages; its length is bounded by the number of columns."""
     return [f"{r['table']}.{r['column']}: {r['check']} ({r['n']})" for r in validate(df, table).collect()]
