@@ -27,14 +27,13 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
 
     A vertex is a pair (double, long) given by the column names in `u` and `v`; order is by the double first.
     """
-    cols = edges.columns
     group = list(group)
+    tasks, rows = group, edges
     if split:
-        edges = materialize(
-            edges.repartitionByRange(*group, u[0]).withColumn(_BLOCK, F.spark_partition_id()), "edge-blocks")
+        # Parallel edges say nothing new; without them every edge is distinct and the ranges can be cut anywhere.
+        ends = [*group, *u, *v]
+        edges = materialize(edges.select(*ends).distinct().repartitionByRange(*ends).withColumn(_BLOCK, F.spark_partition_id()), "edge-blocks")
         tasks = [*group, _BLOCK]
-    else:
-        tasks = group
     schema = T.StructType([*edges.schema.fields, T.StructField(root[0], T.DoubleType()), T.StructField(root[1], T.LongType())])
 
     # Both functions stay local so that they travel to the executors by value.
@@ -80,8 +79,8 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
     final = _stars(ties.select(F.struct(*group, "_root").alias("x"), F.struct(*group, F.col("_low").alias("_root")).alias("y")))
     here = F.struct(*group, vertex(root).alias("_root"))
     out = local.withColumn("_here", here).join(final, F.col("_here") == F.col("_node"), "left")
-    return out.withColumns({root[0]: F.coalesce("_to._root.a", root[0]), root[1]: F.coalesce("_to._root.b", root[1])}).select(
-        *cols, *root)
+    solved = out.select(*ends, F.coalesce("_to._root.a", root[0]).alias(root[0]), F.coalesce("_to._root.b", root[1]).alias(root[1]))
+    return rows.join(solved, ends)
 
 
 def _stars(links: DataFrame) -> DataFrame:

@@ -64,23 +64,29 @@ class Ordered:
 
     def running(self, out: str, fn: str, value: Column, *, inclusive: bool = True, reverse: bool = False) -> "Ordered":
         """`fn` of `value` over the rows up to this one (before this one if not inclusive; after if reverse)."""
+        return self.running_all({out: (fn, value)}, inclusive=inclusive, reverse=reverse)
+
+    def running_all(self, specs: dict[str, tuple[str, Column]], *, inclusive: bool = True, reverse: bool = False) -> "Ordered":
+        """Several running values at once: name -> (fn, value). They share one pass, and one carry table if split."""
         last = 0 if inclusive else -1
         sort = [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in self.order]
         part = [*self.keys, _BLOCK] if self.split else self.keys
         frame = W.partitionBy(*part).orderBy(*sort).rowsBetween(W.unboundedPreceding, last)
+        here = {out: _FNS[fn](value).over(frame) for out, (fn, value) in specs.items()}
         if not self.split:
-            self._df = self._df.withColumn(out, _FNS[fn](value).over(frame))
+            self._df = self._df.withColumns(here)
             return self
-        totals = self._df.groupBy(*part).agg(_FNS[fn](value).alias("_total"))
+        totals = self._df.groupBy(*part).agg(*[_FNS[fn](value).alias(f"_t_{out}") for out, (fn, value) in specs.items()])
         blocks = W.partitionBy(*self.keys).orderBy(F.col(_BLOCK).desc() if reverse else F.col(_BLOCK)).rowsBetween(
             W.unboundedPreceding, -1)
-        carry = totals.withColumn("_carry", _FNS[fn]("_total").over(blocks)).where(F.col("_carry").isNotNull())
-        carry = carry.select(*[F.col(c).alias(f"_k_{c}") for c in part], "_carry")
-        local = self._df.withColumn("_local", _FNS[fn](value).over(frame))
+        carry = totals.select(*[F.col(c).alias(f"_k_{c}") for c in part], *[
+            _FNS[fn](f"_t_{out}").over(blocks).alias(f"_c_{out}") for out, (fn, _) in specs.items()])
+        carry = carry.where(reduce(lambda a, b: a | b, [F.col(f"_c_{out}").isNotNull() for out in specs]))
+        local = self._df.withColumns(here)
         # At most one row per partition boundary, so the broadcast is bounded by the partition count.
         joined = local.join(F.broadcast(carry), _null_safe(local, carry, [(c, f"_k_{c}") for c in part]), "left")
-        self._df = joined.withColumn(out, _MERGE[fn](F.col("_local"), F.col("_carry"))).drop(
-            "_local", "_carry", *[f"_k_{c}" for c in part])
+        self._df = joined.withColumns({out: _MERGE[fn](F.col(out), F.col(f"_c_{out}")) for out, (fn, _) in specs.items()}).drop(
+            *[f"_k_{c}" for c in part], *[f"_c_{out}" for out in specs])
         return self
 
     def neighbour(self, out: str, payload: dict[str, Column], *, after: bool = False) -> "Ordered":

@@ -204,26 +204,27 @@ def events_in_fights(skeleton: DataFrame, events: DataFrame, grace_s: float | Co
 
 def label_outcomes(skeleton: DataFrame, events: DataFrame, grace_s: float | Column = GRACE_S, tie_s: float = TIE_S,
                    by: Sequence[str] = ()) -> DataFrame:
-    """Skeleton rows with `outcome`: tie | loss | win | disengage.
+    """Skeleton rows with `outcome` (tie | loss | win | disengage) and `decisive`: any side of the fight has one.
 
     A side's first loss and first win decide; it is a tie if at least two sides' first losses fall within
-    `tie_s` of the fight's earliest one and this side is among them.
+    `tie_s` of the fight's earliest one and this side is among them. Only fights with an event are looked at: their
+    sides' first times are put in one row per fight, which the skeleton then looks up.
     """
     fight = [*by, "match_id", "n"]
     firsts = events_in_fights(skeleton, events, grace_s).select(*fight, F.inline(F.array(
         F.struct(F.col("victim_team").alias("team"), F.col("t").alias("loss_t"), F.lit(None).cast("double").alias("win_t")),
         F.struct(F.col("killer_team").alias("team"), F.lit(None).cast("double").alias("loss_t"), F.col("t").alias("win_t"))),
     )).groupBy(*fight, "team").agg(F.min("loss_t").alias("loss_t"), F.min("win_t").alias("win_t"))
-    sides = skeleton.join(firsts, [*fight, "team"], "left")
-    over = W.partitionBy(*fight)
-    tied = F.coalesce(F.col("loss_t") <= F.min("loss_t").over(over) + F.lit(float(tie_s)), F.lit(False))
-    sides = sides.withColumn("tied", tied).withColumn("n_tied", F.count_if("tied").over(over))
-    return sides.withColumn(
-        "outcome",
-        F.when(F.col("tied") & (F.col("n_tied") >= 2), "tie")
-        .when(F.col("loss_t").isNotNull() & (F.col("win_t").isNull() | (F.col("loss_t") <= F.col("win_t"))), "loss")
-        .when(F.col("win_t").isNotNull(), "win").otherwise("disengage"),
-    ).drop("loss_t", "win_t", "tied", "n_tied")
+    limit = F.min("loss_t") + F.lit(float(tie_s))
+    decided = firsts.groupBy(*fight).agg(
+        limit.alias("_limit"), F.map_from_entries(F.collect_list(F.struct("team", F.struct("loss_t", "win_t")))).alias("_firsts"))
+    n_tied = F.size(F.filter(F.map_values("_firsts"), lambda x: F.coalesce(x["loss_t"] <= F.col("_limit"), F.lit(False))))
+    sides = skeleton.join(decided.withColumn("_n_tied", n_tied), fight, "left")
+    mine = F.col("_firsts")[F.col("team")]
+    loss, win = mine["loss_t"], mine["win_t"]
+    outcome = (F.when((F.col("_n_tied") >= 2) & (loss <= F.col("_limit")), "tie")
+               .when(loss.isNotNull() & (win.isNull() | (loss <= win)), "loss").when(win.isNotNull(), "win").otherwise("disengage"))
+    return sides.withColumns({"outcome": outcome, "decisive": F.col("_firsts").isNotNull()}).drop("_limit", "_firsts", "_n_tied")
 
 
 # --------------------------------------------------------------------------------------------------- fight_sides
@@ -284,13 +285,10 @@ def fight_level(sides: DataFrame) -> DataFrame:
     return out.withColumn("minority_damage_share", share).drop("_rank", "_total", "_second")
 
 
-def engagement_type(labelled: DataFrame, minority_share: float | Column = POKE_MINORITY_SHARE, by: Sequence[str] = ()) -> DataFrame:
+def engagement_type(labelled: DataFrame, minority_share: float = POKE_MINORITY_SHARE) -> DataFrame:
     """Add `engagement_type`: fight if mutual with enough minority share; else pick if any side is decided; else poke."""
-    decisive = F.bool_or(F.col("outcome") != "disengage").over(W.partitionBy(*by, "match_id", "n"))
-    least = minority_share if isinstance(minority_share, Column) else F.lit(float(minority_share))
-    two_sided = F.col("mutual") & (F.col("minority_damage_share") >= least)
-    return labelled.withColumn("decisive", decisive).withColumn(
-        "engagement_type", F.when(two_sided, "fight").when(F.col("decisive"), "pick").otherwise("poke"))
+    two_sided = F.col("mutual") & (F.col("minority_damage_share") >= F.lit(float(minority_share)))
+    return labelled.withColumn("engagement_type", F.when(two_sided, "fight").when(F.col("decisive"), "pick").otherwise("poke"))
 
 
 def fight_distances(hits: DataFrame, positions: DataFrame, split: bool = False) -> DataFrame:

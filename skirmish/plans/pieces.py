@@ -17,7 +17,7 @@ EDIT_WINDOW_S = 1.5
 MAX_BUILDER_DIST = 800.0
 RANKED_DIST = 1e5
 
-MIN_BUCKET_ROWS = 64
+MIN_BUCKET_ROWS = 32
 """Least number of player states per bucket; results do not depend on it."""
 
 
@@ -83,9 +83,7 @@ def player_states(positions: DataFrame, teams: DataFrame, weapons: DataFrame | N
     events = events.groupBy(*keys, "since").agg(
         *[F.max(c).alias(c) for c in ("place", "side", "held")], F.bool_or("seen").alias("seen"))
     scan = Ordered(events, keys, ["since"], split)
-    for c in ("place", "side", "held"):
-        scan.running(f"_{c}", "max", F.col(c))
-    scan.running("_seen", "max", F.col("seen"))
+    scan.running_all({f"_{c}": ("max", F.col(c)) for c in ("place", "side", "held", "seen")})
     known = scan.rows().where(F.col("_seen")).select(
         *keys, "since", F.col("_place.x").alias("px"), F.col("_place.y").alias("py"), F.col("_place.z").alias("pz"),
         F.col("_side.v").alias("team"), F.coalesce("_held.v", F.lit(False)).alias("tool"))
