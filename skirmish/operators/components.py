@@ -22,18 +22,20 @@ from skirmish.session import materialize
 
 
 def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, str], v: tuple[str, str],
-                         root: tuple[str, str], split: bool = False) -> DataFrame:
+                         root: tuple[str, str], split: bool = False, within: Sequence[str] = ()) -> DataFrame:
     """Edges with two more columns, the smallest vertex of the edge's component.
 
     A vertex is a pair (double, long) given by the column names in `u` and `v`; order is by the double first.
+    `within` names numeric columns (settings of a sweep) that keep graphs of one group apart: they are solved in the
+    same call, as one graph with that many more vertices.
     """
-    group = list(group)
-    tasks, rows = group, edges
+    tasks, rows, within = list(group), edges, list(within)
+    group = [*group, *within]
     if split:
         # Parallel edges say nothing new; without them every edge is distinct and the ranges can be cut anywhere.
         ends = [*group, *u, *v]
         edges = materialize(edges.select(*ends).distinct().repartitionByRange(*ends).withColumn(_BLOCK, F.spark_partition_id()), "edge-blocks")
-        tasks = [*group, _BLOCK]
+        tasks = [*tasks, _BLOCK]
     schema = T.StructType([*edges.schema.fields, T.StructField(root[0], T.DoubleType()), T.StructField(root[1], T.LongType())])
 
     # Both functions stay local so that they travel to the executors by value.
@@ -52,17 +54,18 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
             label = new
 
     def solve(rows: pa.Table) -> pa.Table:
+        apart = [np.tile(rows[c].to_numpy(), 2) for c in within]
         first = np.concatenate([rows[u[0]].to_numpy(), rows[v[0]].to_numpy()])
         second = np.concatenate([rows[u[1]].to_numpy(), rows[v[1]].to_numpy()])
-        order = np.lexsort((second, first))
-        fs, ss = first[order], second[order]
+        order = np.lexsort((second, first, *apart))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (fs[1:] != fs[:-1]) | (ss[1:] != ss[:-1])
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (second, first, *apart)], axis=0)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
         n = rows.num_rows
         label = min_labels(number[:n], number[n:], int(fresh.sum()))[number[:n]]
-        return rows.append_column(root[0], pa.array(fs[fresh][label])).append_column(root[1], pa.array(ss[fresh][label]))
+        return rows.append_column(root[0], pa.array(first[order][fresh][label])).append_column(
+            root[1], pa.array(second[order][fresh][label]))
 
     local = edges.groupBy(*tasks).applyInArrow(solve, schema)
     if not split:

@@ -27,10 +27,10 @@ HOT_ROWS = 5_000_000
 _BLOCK = "_block"
 
 
-def needs_split(tables: Sequence[DataFrame], key: str = "match_id", limit: int = HOT_ROWS) -> bool:
-    """True if some key holds more than `limit` rows across the tables (one counting pass over the key column)."""
+def needs_split(tables: Sequence[DataFrame], key: str = "match_id", limit: int | None = None) -> bool:
+    """True if some key holds more than `limit` (HOT_ROWS) rows over all tables: one counting pass over the key column."""
     keys = reduce(lambda a, b: a.unionByName(b), [t.select(key) for t in tables])
-    return not keys.groupBy(key).count().where(F.col("count") > limit).isEmpty()
+    return not keys.groupBy(key).count().where(F.col("count") > (limit or HOT_ROWS)).isEmpty()
 
 
 _FNS = {"max": F.max, "min": F.min, "sum": F.sum}

@@ -124,7 +124,8 @@ def link_segments(spans: DataFrame, tol_s: float | Column = OVERLAP_TOL_S, by: S
         F.max("seg_end").alias("seg_end"), F.max("n_hits").alias("n_hits"),
         F.max(F.when(F.col("team") == F.col("team_a"), F.col("island_start"))).alias("island_a"),
         F.max(F.when(F.col("team") == F.col("team_b"), F.col("island_start"))).alias("island_b"))
-    linked = connected_components(edges, scope, ("island_a", "team_a"), ("island_b", "team_b"), ("root_t", "root_team"), split)
+    linked = connected_components(edges, ["match_id"], ("island_a", "team_a"), ("island_b", "team_b"), ("root_t", "root_team"), split,
+                                  within=by)
     linked = by_match(linked, split).drop("island_a", "island_b")
     fights = linked.groupBy(*scope, "root_t", "root_team").agg(
         F.min("seg_start").alias("t0"), F.max("seg_end").alias("t_end"), F.min("team_a").alias("low"))
