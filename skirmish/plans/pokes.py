@@ -19,16 +19,11 @@ from skirmish.session import materialize
 TILE_UU = 512.0
 STRUCTURE_RADIUS_TILES = 2.0
 
-POKE_COLUMNS = [
-    "fight_id", "match_id", "poker_team", "target_team", "t0", "t_end", "net_damage", "target_players", "converted",
-    "converted_by", "converter_team", "t_convert", "storm_death", "structure_damage", "structure_hits", "seg_version",
-]
-
 
 def check_segmentation(poke_ids: DataFrame, hits: DataFrame) -> None:
     """Raise if a poke's fight is not among the hits' fights (fight_sides came from other parameters)."""
     if not poke_ids.join(hits.select("match_id", "fight_id"), ["match_id", "fight_id"], "left_anti").isEmpty():
-        raise ValueError("fight_sides was built with a different segmentation than gap_s/overlap_tol_s")
+        raise ValueError("some pokes have no fight under this gap and tolerance: use the segmentation fight_sides came from")
 
 
 def poke_pairs(hits: DataFrame) -> DataFrame:
@@ -146,4 +141,6 @@ def build_pokes(damage: DataFrame, teams: DataFrame, elims: DataFrame, players:
     return out.withColumns({
         "converted": F.col("converted_by").isNotNull(), "storm_death": F.coalesce("storm", F.lit(False)),
         "structure_damage": F.coalesce("structure_damage", F.lit(0.0)), "structure_hits": F.coalesce("structure_hits", F.lit(0).cast("long")),
-        "seg_version": F.lit(version)}).select(*POKE_COLUMNS)
+        "seg_version": F.lit(version)}).select(
+        "fight_id", "match_id", "poker_team", "target_team", "t0", "t_end", "net_damage", "target_players", "converted", "converted_by",
+        "converter_team", "t_convert", "storm_death", "structure_damage", "structure_hits", "seg_version")

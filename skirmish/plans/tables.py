@@ -17,11 +17,12 @@ from skirmish.sources.telemetry import PATTERN, elims_table, finished_matches, l
 def build_tables(spark: SparkSession, telemetry_dir: str, pattern: str = PATTERN) -> dict[str, DataFrame]:
     """All processed tables, segmenting the damage once for fight_sides and pokes."""
     tune(spark)
-    if finished_matches(spark, telemetry_dir, pattern).isEmpty():
+    finished = materialize(finished_matches(spark, telemetry_dir, pattern), "finished")
+    if finished.isEmpty():
         raise ValueError(f"no finished match folders in {telemetry_dir}")
     names = {"matches": "meta", **{n: n for n in ("players", "positions", "damage", "health", "safezones", "teams", "weapons")}}
-    tables = {table: load_table(spark, telemetry_dir, file, pattern) for table, file in names.items()}
-    eliminations, builds = (load_table(spark, telemetry_dir, n, pattern) for n in ("eliminations", "builds"))
+    tables = {table: load_table(spark, telemetry_dir, file, pattern, finished) for table, file in names.items()}
+    eliminations, builds = (load_table(spark, telemetry_dir, n, pattern, finished) for n in ("eliminations", "builds"))
     require_columns({**tables, "eliminations": eliminations, "builds": builds})
     tables["elims"] = elims_table(eliminations)
     t = tables

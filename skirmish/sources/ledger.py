@@ -41,7 +41,7 @@ def import_files(incoming: DataFrame, stored: DataFrame, manifest: DataFrame, *,
     if source not in SOURCES or kind not in KINDS:
         raise ValueError(f"unknown source or kind: {source}, {kind}")
     if source == "donated" and not consent:
-        raise ValueError("consent is required for donated replays")
+        raise ValueError("donated files need a consent record")
     at = F.lit(acquired_at) if acquired_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     backfill = stored.join(manifest.select("replay_file"), "replay_file", "left_anti")
     known = manifest.select("sha256").where(F.col("sha256").isNotNull()).unionByName(backfill.select("sha256")).distinct()

@@ -17,6 +17,8 @@ SCHEMA_FOR = {
 DONE_MARK = "meta"
 PATTERN = "{dir}/*/{name}.csv"
 MAX_LAYOUTS = 1000
+BROADCAST_ROWS = 2_000_000
+"""Lists of matches or files up to this many rows (about 100 bytes each) are broadcast."""
 
 
 def folder_of(path: Column, name: str) -> Column:
@@ -46,11 +48,18 @@ def _layouts(lines: DataFrame, declared: list[str]) -> DataFrame:
     return lines.where(F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_]*(,[A-Za-z_][A-Za-z0-9_]*)*\s*$") & (known * 2 >= F.size(tokens)))
 
 
-def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PATTERN) -> DataFrame:
+def short_list(df: DataFrame) -> DataFrame:
+    """A list of matches or files to join with: broadcast while it is known to be short, so that tables are not shuffled
+    by match (which one large match would skew) just to drop or label a few folders."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PATTERN, finished: DataFrame | None = None) -> DataFrame:
     """One table over all finished match folders: tagged with `match_id`, columns matched by name, typed.
 
     Files may differ in column order and in which columns they have. The distinct header lines are few (one per
-    exporter version); files of one layout are read in one scan, mixed layouts are told apart per file.
+    exporter version); files of one layout are read in one scan, mixed layouts are told apart per file. `finished`
+    reuses an earlier `finished_matches`.
     """
     table = SCHEMA_FOR.get(name)
     spec = TABLES[table].schema if table else T.StructType()
@@ -77,7 +86,7 @@ def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PA
         positional = positional.select("*", F.col("_metadata.file_path").alias("file"))
         number = F.coalesce(*[F.when(F.trim(F.regexp_replace("value", r"\s+$", "")) == ",".join(x), i) for i, x in enumerate(layouts)])
         of_file = headers.select("file", number.alias("_layout")).distinct()
-        tagged = positional.join(of_file, "file")
+        tagged = positional.join(short_list(of_file), "file")
         names = list(dict.fromkeys(c for x in layouts for c in x))
 
         def pick(c: str) -> Column:
@@ -86,7 +95,7 @@ def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PA
         rows = tagged.select(*[pick(c) for c in names], "file")
     rows = rows.withColumn("match_id", folder_of(F.col("file"), name)).drop("file")
     rows = rows.select("match_id", *[c for c in rows.columns if c != "match_id"])
-    rows = rows.join(finished_matches(spark, directory, pattern), "match_id", "left_semi")
+    rows = rows.join(short_list(finished_matches(spark, directory, pattern) if finished is None else finished), "match_id", "left_semi")
     return coerce(rows, table) if table else rows
 
 

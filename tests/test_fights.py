@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from skirmish.plans import fights as fp
 
+from skirmish.schema import TABLES
+
 from frames import SOLO, World, by_match
 
 EXCHANGE = [(0, "A1", "B1", 40), (0.5, "B1", "A1", 30), (1, "A1", "B1", 30), (2, "A2", "B1", 30)]
@@ -168,7 +170,7 @@ def test_later_rows_do_not_change_earlier_fights(spark):
 def test_empty_damage_gives_the_full_column_list(spark):
     t = World().match("m", []).tables(spark)
     out = fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], split=False)
-    assert out.columns == fp.FIGHT_SIDE_COLUMNS and out.count() == 0
+    assert out.columns == TABLES["fight_sides"].names and out.count() == 0
 
 
 def test_recorder_knock_coverage(spark):
