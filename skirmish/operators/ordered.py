@@ -111,7 +111,8 @@ def asof(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_k
 
     Exact time matches count; `forward` takes the first right row at or after instead. With `max_age`, a match
     further away than that is dropped (its payload is null) and no older row is tried. Right rows with a null key
-    are ignored, left rows with a null key get null. Same time: highest `tiebreak`, then highest payload.
+    are ignored, left rows with a null key get null. Same time: highest `tiebreak`, then highest payload (lowest if
+    `forward`). Column names starting with `_` are reserved.
 
     One union and one window: no pairs are formed, so cost is linear in both inputs.
     """

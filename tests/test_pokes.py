@@ -117,3 +117,15 @@ def test_identity_ignores_later_data_but_labels_look_ahead(spark):
         rows.append(pk.build_pokes(t["damage"], t["teams"], t["elims"], t["players"], t["positions"], fs, split=False).where("fight_id = 'm:0'").first())
     assert [rows[0][c] for c in ident] == [rows[1][c] for c in ident]
     assert rows[0]["converted"] and not rows[1]["converted"]
+
+
+def test_split_plan_gives_the_same_pokes(spark):
+    t = world().tables(spark)
+    args = [t[c] for c in ("damage", "teams", "elims", "players", "positions")]
+    fs = fp.build_fight_sides(*args[:4], t["matches"], split=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plain, blocks = (sorted(map(str, pk.build_pokes(*args, fs, split=s).collect())) for s in (False, True))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert plain == blocks and len(plain) > 20
