@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skirmish.operators.ordered import Ordered, needs_split
+from skirmish.operators.ordered import Ordered, by_size, needs_split
 from skirmish.plans import fights as fp
 from skirmish.session import materialize, tune
 
@@ -157,9 +157,12 @@ class Telemetry:
         return materialize(fp.group_fights(self.damage, self.teams, split=self.split), "hits")
 
     def build_sides(self) -> DataFrame:
-        """fight_sides from the raw tables, nothing reused."""
-        return fp.build_fight_sides(self.damage, self.teams, self.elims, self.players, self.matches, self.positions,
-                                    split=self.split)
+        """fight_sides from the raw tables, nothing reused; only large matches take the split plan."""
+        def build(t: dict[str, DataFrame], split: bool) -> dict[str, DataFrame]:
+            return {"sides": fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], split=split)}
+
+        tables = {n: getattr(self, n) for n in ("damage", "teams", "elims", "players", "matches", "positions")}
+        return by_size(build, tables, ["damage", "positions"])["sides"] if self.split else build(tables, False)["sides"]
 
     @cached_property
     def sides(self) -> DataFrame:

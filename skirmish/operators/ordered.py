@@ -9,12 +9,12 @@ plans with the same result:
   before it are summed up in one carried value per block. Only keys cut by a partition boundary need a carry, so
   the carry table has at most as many rows as there are partitions.
 
-`needs_split` measures which plan a dataset needs.
+`needs_split` measures which plan a dataset needs; `by_size` uses the split plan for the large keys only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -27,10 +27,31 @@ HOT_ROWS = 5_000_000
 _BLOCK = "_block"
 
 
-def needs_split(tables: Sequence[DataFrame], key: str = "match_id", limit: int | None = None) -> bool:
-    """True if some key holds more than `limit` (HOT_ROWS) rows over all tables: one counting pass over the key column."""
+def large_keys(tables: Sequence[DataFrame], key: str = "match_id", limit: int | None = None) -> DataFrame:
+    """Keys with more than `limit` (HOT_ROWS) rows over all tables: one counting pass over the key column.
+
+    There are at most (all rows / limit) of them, so the list may be broadcast.
+    """
     keys = reduce(lambda a, b: a.unionByName(b), [t.select(key) for t in tables])
-    return not keys.groupBy(key).count().where(F.col("count") > (limit or HOT_ROWS)).isEmpty()
+    return keys.groupBy(key).count().where(F.col("count") > (limit or HOT_ROWS)).select(key)
+
+
+def needs_split(tables: Sequence[DataFrame], key: str = "match_id", limit: int | None = None) -> bool:
+    """True if there is any such key."""
+    return not large_keys(tables, key, limit).isEmpty()
+
+
+def by_size(build: Callable[[dict[str, DataFrame], bool], dict[str, DataFrame]], tables: dict[str, DataFrame],
+            sized: Sequence[str], key: str = "match_id") -> dict[str, DataFrame]:
+    """Run `build(tables, split)`, which must not mix keys, with the plain plan for ordinary keys and the split plan
+    for large ones only, and put the results together. `sized` names the tables whose rows are counted."""
+    large = materialize(large_keys([tables[n] for n in sized], key), "large-keys")
+    if large.isEmpty():
+        return build(tables, False)
+    few = F.broadcast(large)
+    ordinary = build({n: t.join(few, key, "left_anti") for n, t in tables.items()}, False)
+    heavy = build({n: t.join(few, key, "left_semi") for n, t in tables.items()}, True)
+    return {n: df.unionByName(heavy[n]) for n, df in ordinary.items()}
 
 
 _FNS = {"max": F.max, "min": F.min, "sum": F.sum}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.operators.ordered import needs_split
+from skirmish.operators.ordered import by_size
 from skirmish.plans.fights import build_fight_sides, group_fights
 from skirmish.plans.pieces import build_pieces
 from skirmish.plans.pokes import build_pokes
@@ -14,8 +14,19 @@ from skirmish.sources.tables import write_tables
 from skirmish.sources.telemetry import PATTERN, elims_table, finished_matches, load_table
 
 
+def derive(t: dict[str, DataFrame], split: bool) -> dict[str, DataFrame]:
+    """pieces, fight_sides and pokes of the given matches; the damage is segmented once for both of the latter."""
+    hits = materialize(group_fights(t["damage"], t["teams"], split=split), "hits")
+    sides = materialize(build_fight_sides(
+        t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], hits=hits, split=split), "fight_sides")
+    return {
+        "pieces": build_pieces(t["builds"], t["positions"], t["teams"], t["weapons"], split=split), "fight_sides": sides,
+        "pokes": build_pokes(t["damage"], t["teams"], t["elims"], t["players"], t["positions"], sides, hits=hits, split=split),
+    }
+
+
 def build_tables(spark: SparkSession, telemetry_dir: str, pattern: str = PATTERN) -> dict[str, DataFrame]:
-    """All processed tables, segmenting the damage once for fight_sides and pokes."""
+    """All processed tables. Only matches too large for one task pay for the plan that splits them."""
     tune(spark)
     finished = materialize(finished_matches(spark, telemetry_dir, pattern), "finished")
     if finished.isEmpty():
@@ -25,13 +36,7 @@ def build_tables(spark: SparkSession, telemetry_dir: str, pattern: str = PATTERN
     eliminations, builds = (load_table(spark, telemetry_dir, n, pattern, finished) for n in ("eliminations", "builds"))
     require_columns({**tables, "eliminations": eliminations, "builds": builds})
     tables["elims"] = elims_table(eliminations)
-    t = tables
-    split = needs_split([t["damage"], t["positions"], builds])
-    hits = materialize(group_fights(t["damage"], t["teams"], split=split), "hits")
-    t["pieces"] = build_pieces(builds, t["positions"], t["teams"], t["weapons"], split=split)
-    t["fight_sides"] = materialize(build_fight_sides(
-        t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], hits=hits, split=split), "fight_sides")
-    t["pokes"] = build_pokes(t["damage"], t["teams"], t["elims"], t["players"], t["positions"], t["fight_sides"], hits=hits, split=split)
+    tables.update(by_size(derive, {**tables, "builds": builds}, ["damage", "positions", "builds"]))
     return tables
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skirmish.operators import ordered as od
 from skirmish.plans import fights as fp
 
 from skirmish.schema import TABLES
@@ -159,6 +160,21 @@ def test_shuffled_input_and_split_plan_give_the_same_table(spark):
     assert plain == blocks
 
 
+def test_only_large_matches_take_the_split_plan(spark, monkeypatch):
+    monkeypatch.setattr(od, "HOT_ROWS", 4)
+    t = world().tables(spark)
+    names = ("damage", "teams", "elims", "players", "matches", "positions")
+    seen = {}
+
+    def build(tables, split):
+        seen[split] = {r["match_id"] for r in tables["damage"].select("match_id").distinct().collect()}
+        return {"sides": fp.build_fight_sides(*[tables[n] for n in names], split=split)}
+
+    both = sorted(map(str, od.by_size(build, t, ["damage"])["sides"].collect()))
+    assert both == sorted(map(str, fp.build_fight_sides(*[t[n] for n in names], split=False).collect()))
+    assert seen[True] == {"third_party", "friendly"} and "exchange" in seen[False] and not seen[True] & seen[False]
+
+
 def test_later_rows_do_not_change_earlier_fights(spark):
     w = World().match("m", EXCHANGE + [(60, "A1", "C1", 30), (61, "C1", "A1", 30)], [(2.5, "A1", "B1", True), (62, "A1", "C1", True)])
     full, cut = w.tables(spark), w.tables(spark, lambda r: r[1] <= 5, lambda r: r[1] <= 5000)
