@@ -55,7 +55,7 @@ def _features(fragments: list[str]) -> list[list[int]]:
 
 @lru_cache(maxsize=1)
 def _encoder() -> FragmentEncoder:
-    return FragmentEncoder(_features, 600_000)
+    return FragmentEncoder(_features, 300_000)
 
 
 def _repetition(text: str) -> list[int]:

@@ -47,8 +47,8 @@ MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements adve
     banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside widget widgets header masthead footer
     comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations skip""".split())
-#: Containers whose subtrees can be template; paragraphs, headings and inline elements are not.
-CONTAINERS = frozenset("nav header footer aside section div ul ol dl table form figure".split())
+#: Containers whose subtrees can be template; paragraphs, headings, lists, tables and inline elements are not.
+CONTAINERS = frozenset("nav header footer aside section div form".split())
 CLOSED_BY = {"li": ("li", frozenset({"ul", "ol", "menu"})), "dt": ("dt dd", frozenset({"dl"})), "dd": ("dt dd", frozenset({"dl"})),
              "tr": ("tr td th", frozenset({"table"})), "td": ("td th", frozenset({"table", "tr"})), "th": ("td th", frozenset({"table", "tr"})),
              "option": ("option", frozenset({"select"}))}

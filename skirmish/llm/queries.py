@@ -67,4 +67,42 @@ def op10_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pii, op2_hash_forest, op3_byte_bpe, op4_best_fit, op5_token_files, op6_html_text, op7_jaccard_join, op8_quality_rules, op9_edit_counts, op10_neighbour_vote)}
 
-SQL: dict[str, str] = {}
+#: The rules and the join, said again in SQL over the same tables.
+SQL: dict[str, str] = {
+    "op8_quality_rules": r"""
+        with d as (select doc_id, source, coalesce(text, '') t from documents),
+        w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') ws,
+                list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+        win as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] x from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)),
+        rep as (select doc_id, i, count(*) over (partition by doc_id, x) n from win),
+        cov as (select doc_id, count(distinct i + k) n from rep, (select unnest([0, 1, 2]) k) where n > 1 group by doc_id),
+        m as (select w.doc_id, source, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls) n_lines,
+                coalesce(cov.n, 0)::bigint n_repeat_words from w left join cov using (doc_id)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+                (n_symbols > 0.1 * n_words)::int + (n_dup_lines > 0.3 * n_lines)::int + (not word_chars / greatest(n_words, 1) between 2.0 and 20.0)::int minor from m),
+        h as (select source, count(*) n, count(*) filter (base_failed or minor > 0) failed from f group by source),
+        s as (select sum(n)::double sn, sum(failed)::double / sum(n) mean, count(*) k, sum(n * n)::double sn2, sum(failed * failed / n::double) sq from h),
+        v as (select *, (sq - sn * mean * mean - (k - 1) * mean * (1 - mean)) / nullif(sn - sn2 / sn, 0) spread from s),
+        p as (select mean, case when spread > 0 then greatest(1.0, mean * (1 - mean) / spread - 1) else sn end strength from v),
+        r as (select source, (failed + mean * strength) / (n + strength) rate from h, p)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          not base_failed and minor <= case when rate >= 0.5 then 0 else 1 end kept, round(rate, 6) host_rate
+        from f join r on f.source is not distinct from r.source""",
+    "op7_jaccard_join": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') ws from documents),
+        sh as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+                 when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end s from w),
+        k as (select doc_id, len(s) n, case when len(s) > 0 then md5(array_to_string(list_sort(s), chr(10))) end set_id, s from sh),
+        reps as (select set_id, min(doc_id) copy_id, count(*) copies, any_value(n) n, any_value(s) s from k where n > 0 group by set_id),
+        e as (select copy_id, n, unnest(s) x from reps),
+        pairs as (select a.copy_id a, b.copy_id b from e a join e b on a.x = b.x and a.copy_id < b.copy_id
+                  group by a.copy_id, b.copy_id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+        both_ways as (select a, b from pairs union all select b, a from pairs),
+        reach(a, b) as (select copy_id, copy_id from reps union select r.a, p.b from reach r join both_ways p on r.b = p.a),
+        cls as (select a copy_id, min(b) class_id from reach group by a),
+        lk as (select p.a copy_id, sum(copies) docs, count(*) texts from both_ways p join reps r on r.copy_id = p.b group by p.a)
+        select k.doc_id, coalesce(c.class_id, k.doc_id) class_id, coalesce(r.copy_id, k.doc_id) copy_id,
+          coalesce(r.copies - 1 + coalesce(lk.docs, 0), 0)::bigint n_links, coalesce(lk.texts, 0)::bigint n_text_links
+        from k left join reps r using (set_id) left join cls c on c.copy_id = r.copy_id left join lk on lk.copy_id = r.copy_id""",
+}
