@@ -98,16 +98,17 @@ def test_token_files_odd_rows(spark, sf):
 
 
 def plain_best_fit(sizes, costs):
-    """Every open bin is looked at for every size."""
+    """Every open bin is looked at for every size; of those with equal room the last one used."""
     bins, left = [], sum(sizes)
-    for s in sizes:
+    for step, s in enumerate(sizes):
         fits = [b for b in bins if b[0] - b[1] >= s]
         if fits:
-            b = min(fits, key=lambda b: b[0] - b[1])
+            b = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
         else:
-            b = [min((n for n in costs if n >= s), key=lambda n: (costs[n] / min(n, left), n)), 0]
+            b = [min((n for n in costs if n >= s), key=lambda n: (costs[n] / min(n, left), n)), 0, 0]
             bins.append(b)
         b[1] += s
+        b[2] = step
         left -= s
     return sorted(b[1] for b in bins)
 
