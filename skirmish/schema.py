@@ -118,9 +118,14 @@ def parse_bool(c: Column, kind: T.DataType) -> Column:
     return F.when(token.isin("1", "true"), True).when(token.isin("0", "false"), False)
 
 
-def parse_float(c: Column) -> Column:
-    """Number or null; NaN counts as null."""
+NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity)\s*$"
+
+
+def parse_float(c: Column, kind: T.DataType | None = None) -> Column:
+    """Number or null; NaN counts as null, and so does a text with a type suffix, which a cast alone would read."""
     n = c.try_cast("double")
+    if isinstance(kind, T.StringType):
+        n = F.when(c.rlike(NUMBER), n)
     return F.when(~F.isnan(n), n)
 
 
@@ -128,7 +133,7 @@ def parse_int(c: Column, kind: T.DataType) -> Column:
     """Nearest long with ties to even, or null."""
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return c.cast("long")
-    return F.bround(parse_float(c), 0).try_cast("long")
+    return F.bround(parse_float(c, kind), 0).try_cast("long")
 
 
 def coerce(df: DataFrame, table: str) -> DataFrame:
@@ -144,7 +149,7 @@ def coerce(df: DataFrame, table: str) -> DataFrame:
         elif isinstance(spec.dataType, T.LongType):
             c = parse_int(c, field.dataType)
         elif isinstance(spec.dataType, T.DoubleType):
-            c = parse_float(c)
+            c = parse_float(c, field.dataType)
         else:
             c = c.cast("string")
         return c.alias(field.name, metadata=spec.metadata)

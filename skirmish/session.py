@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: dict[str, str] = {}
+_RUNS: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -26,18 +27,34 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's shared `spark.checkpoint.dir`, else a local one (tests only)."""
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        _SCRATCH[app] = f"{shared.rstrip('/')}/{app}" if shared else tempfile.mkdtemp(prefix="spark-")
-    return _SCRATCH[app]
+    """Folder for intermediate tables: the one given to `setCheckpointDir`, which is `spark.checkpoint.dir` by default.
+
+    Driver and executors must share it, so there is no fallback to a local folder.
+    """
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir (or call setCheckpointDir) to a folder that driver and executors share")
+    return "/".join([shared.rstrip("/"), spark.sparkContext.applicationId, *_RUNS])
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables stored inside the block share one folder, which is deleted at its end. Results must be written
+    before that."""
+    _RUNS.append(f"run-{uuid.uuid4().hex}")
+    folder = scratch_dir(spark)
+    try:
+        yield folder
+    finally:
+        _RUNS.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 

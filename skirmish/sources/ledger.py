@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.schema import TABLES, coerce
+from skirmish.sources.telemetry import CSV
 
 # Allowed provenance and the note on backfilled rows.
 SOURCES = ("local_demos", "donated", "tournament_ingame", "partner_osirion", "partner_other")
@@ -22,11 +23,11 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The stored manifest, every column read as text and then typed."""
     names = TABLES["manifest"].names
-    return coerce(spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True), "manifest")
+    return coerce(spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, **CSV), "manifest")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.select(*TABLES["manifest"].names).write.mode("overwrite").csv(path, header=True)
+    manifest.select(*TABLES["manifest"].names).write.mode("overwrite").csv(path, header=True, quote=CSV["quote"], escape=CSV["escape"])
 
 
 def import_files(incoming: DataFrame, stored: DataFrame, manifest: DataFrame, *, source: str = "local_demos", kind: str = "client",

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skirmish.functions.columns import half_even
 from skirmish.schema import TABLES, coerce
+from skirmish.session import materialize
 
 # File name -> table that types it.
 SCHEMA_FOR = {
@@ -16,9 +24,9 @@ SCHEMA_FOR = {
 }
 DONE_MARK = "meta"
 PATTERN = "{dir}/*/{name}.csv"
-MAX_LAYOUTS = 1000
-BROADCAST_ROWS = 2_000_000
-"""Lists of matches or files up to this many rows (about 100 bytes each) are broadcast."""
+CSV = {"quote": '"', "escape": '"', "multiLine": True}
+"""How the exporter quotes: values with commas, quotes or line ends in quotes, quotes doubled."""
+HEAD_BYTES = 1 << 16
 
 
 def folder_of(path: Column, name: str) -> Column:
@@ -41,25 +49,40 @@ def finished_matches(spark: SparkSession, directory: str, pattern: str = PATTERN
     return found.select(folder_of(F.col("path"), DONE_MARK).alias("match_id")).distinct()
 
 
-def _layouts(lines: DataFrame, declared: list[str]) -> DataFrame:
-    """(file, value) of header lines: plain names, at least half of them declared."""
-    tokens = F.split(F.regexp_replace("value", r"\s+$", ""), ",")
-    known = F.size(F.array_intersect(tokens, F.array(*[F.lit(c) for c in declared])))
-    return lines.where(F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_]*(,[A-Za-z_][A-Za-z0-9_]*)*\s*$") & (known * 2 >= F.size(tokens)))
+def _head(source: fs.FileSystem, path: str) -> list[str] | None:
+    """Names in the first record of a file; only the bytes up to its end are read. None if the file is empty."""
+    with source.open_input_file(path) as file:
+        size, n = file.size(), HEAD_BYTES
+        while size:
+            text = file.read_at(min(n, size), 0).decode("utf-8-sig", errors="ignore")
+            names = next(csv.reader(io.StringIO(text, newline="")), None)
+            rest = csv.reader(io.StringIO(text, newline=""))
+            next(rest, None)
+            if n >= size or next(rest, None) is not None:  # the record ends inside what was read
+                return names
+            n *= 2
+    return None
+
+
+def headers(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, names): the header of every file, its first record. One small task list; files are not read further."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch["file"].to_pylist()
+            names = [_head(*fs.FileSystem.from_uri(quote(unquote(p), safe=":/"))) for p in paths]
+            yield pa.record_batch([batch["file"], pa.array(names, pa.list_(pa.string()))], ["file", "names"])
 
-def short_list(df: DataFrame) -> DataFrame:
-    """A list of matches or files to join with: broadcast while it is known to be short, so that tables are not shuffled
-    by match (which one large match would skew) just to drop or label a few folders."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    files = spark.read.format("binaryFile").load(glob).select(F.col("_metadata.file_path").alias("file"))
+    return files.mapInArrow(run, "file string, names array<string>").where(F.col("names").isNotNull())
 
 
 def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PATTERN, finished: DataFrame | None = None) -> DataFrame:
     """One table over all finished match folders: tagged with `match_id`, columns matched by name, typed.
 
-    Files may differ in column order and in which columns they have. The distinct header lines are few (one per
-    exporter version); files of one layout are read in one scan, mixed layouts are told apart per file. `finished`
-    reuses an earlier `finished_matches`.
+    Line 1 of each file is its header, whatever it says; files may differ in column order and in which columns they have,
+    undeclared ones included. A file without any declared column is refused by name. All files are read in one scan by
+    position and named by their own header. `finished` reuses an earlier `finished_matches`.
     """
     table = SCHEMA_FOR.get(name)
     spec = TABLES[table].schema if table else T.StructType()
@@ -67,35 +90,34 @@ def load_table(spark: SparkSession, directory: str, name: str, pattern: str = PA
         T.StructField(f.name, f.dataType) for f in spec.fields if f.name != "match_id"]))
     glob = _files(spark, directory, name, pattern)
     try:
-        lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"))
+        heads = materialize(headers(spark, glob), "headers")
     except AnalysisException:
         return empty
-    headers = _layouts(lines, [f.name for f in spec.fields])
-    layouts = [r["value"].strip().split(",") for r in headers.select("value").distinct().orderBy("value").limit(MAX_LAYOUTS + 1).collect()]
+    # One entry per way a file can be laid out: as many as exporter versions, however many files.
+    layouts = [list(r["names"]) for r in heads.groupBy("names").agg(F.min("file").alias("file")).orderBy("file").collect()]
     if not layouts:
         return empty
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"{name}: more than {MAX_LAYOUTS} different header lines, these are no exports of one tool")
+    declared = {f.name for f in spec.fields}
+    for names in layouts:
+        if declared and not declared & set(names):
+            example = heads.where(F.col("names") == F.array(*map(F.lit, names))).first()["file"]
+            raise ValueError(f"{name}: no declared column in the header of {example}")
+    width = max(map(len, layouts))
+    rows = spark.read.csv(glob, schema=", ".join(f"_c{i} string" for i in range(width)), header=True, enforceSchema=True, **CSV)
+    rows = rows.select(*[F.nullif(f"_c{i}", F.lit("")).alias(f"_c{i}") for i in range(width)], F.col("_metadata.file_path").alias("_file"))
+    columns = list(dict.fromkeys(c for x in layouts for c in x))
     if len(layouts) == 1:
-        schema = ", ".join(f"`{c}` string" for c in layouts[0])
-        rows = spark.read.csv(glob, schema=schema, header=True, enforceSchema=True)
-        rows = rows.select(*layouts[0], F.col("_metadata.file_path").alias("file"))
+        rows = rows.select(*[F.col(f"_c{layouts[0].index(c)}").alias(c) for c in columns], "_file")
     else:
-        width = max(len(x) for x in layouts)
-        positional = spark.read.csv(glob, schema=", ".join(f"_c{i} string" for i in range(width)), header=True, enforceSchema=True)
-        positional = positional.select("*", F.col("_metadata.file_path").alias("file"))
-        number = F.coalesce(*[F.when(F.trim(F.regexp_replace("value", r"\s+$", "")) == ",".join(x), i) for i, x in enumerate(layouts)])
-        of_file = headers.select("file", number.alias("_layout")).distinct()
-        tagged = positional.join(short_list(of_file), "file")
-        names = list(dict.fromkeys(c for x in layouts for c in x))
+        number = F.coalesce(*[F.when(F.col("names") == F.array(*map(F.lit, x)), i) for i, x in enumerate(layouts)])
+        tagged = rows.join(heads.select(F.col("file").alias("_file"), number.alias("_layout")), "_file")
 
         def pick(c: str) -> Column:
             return F.coalesce(*[F.when(F.col("_layout") == i, F.col(f"_c{x.index(c)}")) for i, x in enumerate(layouts) if c in x]).alias(c)
 
-        rows = tagged.select(*[pick(c) for c in names], "file")
-    rows = rows.withColumn("match_id", folder_of(F.col("file"), name)).drop("file")
-    rows = rows.select("match_id", *[c for c in rows.columns if c != "match_id"])
-    rows = rows.join(short_list(finished_matches(spark, directory, pattern) if finished is None else finished), "match_id", "left_semi")
+        rows = tagged.select(*[pick(c) for c in columns], "_file")
+    rows = rows.select(folder_of(F.col("_file"), name).alias("match_id"), *[F.col(f"`{c}`") for c in columns if c != "match_id"])
+    rows = rows.join(finished_matches(spark, directory, pattern) if finished is None else finished, "match_id", "left_semi")
     return coerce(rows, table) if table else rows
 
 
@@ -114,11 +136,9 @@ def pending(source: DataFrame, done: DataFrame, key: str, force: bool = False) -
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines) of CSV files: a line that does not fit the schema is kept aside, the rest go on."""
     base = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.fields)
-    lines = spark.read.text(path)
-    if header:
-        lines = lines.where(F.col("value") != ",".join(base.names))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"}
-    rows = lines.select(F.from_csv("value", f"{fields}, `_rejected` string", options).alias("row")).select("row.*")
-    good = rows.where(F.col("_rejected").isNull()).drop("_rejected")
-    return good, rows.where(F.col("_rejected").isNotNull()).select(F.col("_rejected").alias("line"))
+    whole = T.StructType([*base.fields, T.StructField("_rejected", T.StringType())])
+    rows = spark.read.schema(whole).options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_rejected", **CSV).csv(path)
+    # A line is only parsed as far as its columns are asked for: every column takes part in both conditions (a hash is never null).
+    parsed = F.hash(*[F.col(f"`{c}`") for c in base.names]) >= -(2**31)
+    good = rows.where(F.col("_rejected").isNull() & parsed).drop("_rejected")
+    return good, rows.where(F.col("_rejected").isNotNull() & parsed).select(F.col("_rejected").alias("line"))

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -15,6 +16,8 @@ def spark():
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "4g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    if not s.sparkContext.getCheckpointDir():  # a folder of its own only where none is named
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return tune(s)
 
 
