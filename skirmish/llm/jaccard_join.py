@@ -9,7 +9,7 @@ the pair is dropped if, with a uniform prior, the posterior probability that its
 No pair of documents is ever a row. A bucket is dealt into blocks of about `MEMBERS` by hash, however large it is, and each
 pair of blocks is one small group in some task, which compares its pairs in numpy and gives one row per member: the number
 of its links and one edge toward its class. A pair that shares several bands is treated only in the first of them. Signatures
-travel to the groups first, and shingle sets only to the groups where a pair is left after pruning. Classes are components
+travel to the groups first; shingle sets are made again, from the texts, only for the groups where a pair is left. Classes are components
 over those edges. The intermediate tables are stored in the shared folder.
 
 Defined cases: a null or empty text has no shingles, links to nothing and is a class of its own. One to four words are one
@@ -60,7 +60,7 @@ def _content(key: str, text: str) -> list:
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored (row, doc_id, k1, k2, print, signature, shingles) per document; `print` names the shingle set, null if it is empty."""
+    """Stored (row, doc_id, k1, k2, print, signature) per document; `print` names the shingle set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1_000_000):
@@ -70,14 +70,28 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             raw = [s.tobytes() for s in sets]
             prints = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in raw]
             signed = [rows[i].tobytes() if i in rows else None for i in range(len(sets))]
-            yield pa.record_batch([batch["doc_id"], batch["k1"], batch["k2"], *(pa.array(x, pa.binary()) for x in (prints, signed, raw))],
-                                  ["doc_id", "k1", "k2", "print", "signature", "shingles"])
+            yield pa.record_batch([batch["doc_id"], batch["k1"], batch["k2"], *(pa.array(x, pa.binary()) for x in (prints, signed))],
+                                  ["doc_id", "k1", "k2", "print", "signature"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *_content(key, text))
-    return materialize(rows.mapInArrow(run, "doc_id long, k1 long, k2 long, print binary, signature binary, shingles binary")
+    return materialize(rows.mapInArrow(run, "doc_id long, k1 long, k2 long, print binary, signature binary")
                        .withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
+def shingled(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, signature, shingles) of the wanted (k1, k2, row, signature), from their texts: sets are made again for the few
+    documents that need them rather than stored for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=1_000_000):
+            raw = [s.tobytes() for s in shingle_sets(text_values(batch["text"]))]
+            yield pa.record_batch([batch["row"], batch["signature"], pa.array(raw, pa.binary())], ["row", "signature", "shingles"])
+
+    texts = docs.select(*_content(key, text), F.col(text).cast("string").alias("text"))
+    once = texts.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return materialize(once.select("row", "signature", "text").mapInArrow(run, "row long, signature binary, shingles binary"), "jaccard-shingles")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole groups, as many as a batch holds: the rows come sorted by group."""
     held: list[pa.RecordBatch] = []
@@ -227,8 +241,9 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
             if linked.any():
                 yield pa.record_batch([pa.array(x[linked]) for x in (rows, links, texts, root)], ["row", "links", "texts", "root"])
 
-    active = grouped(dealt.join(signed.select("row", "signature"), "row")).mapInArrow(prune, f"{_GROUP_SCHEMA}, block int, row long")
-    carried = active.join(sets.select("row", "signature", "shingles"), "row").join(reps.select("row", "copies"), "row")
+    active = materialize(grouped(dealt.join(signed.select("row", "signature"), "row")).mapInArrow(prune, f"{_GROUP_SCHEMA}, block int, row long"), "jaccard-active")
+    wanted = sets.select("k1", "k2", "row", "signature").join(active.select("row").distinct(), "row")
+    carried = active.join(shingled(docs, wanted, key, text), "row").join(reps.select("row", "copies"), "row")
     verified = materialize(grouped(carried).mapInArrow(verify, "row long, links long, texts long, root long"), "jaccard-links")
 
     totals = verified.groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
