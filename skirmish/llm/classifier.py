@@ -32,14 +32,14 @@ SAMPLE = 4000
 DIM, RANK, NEIGHBOURS = 4096, 64, 15
 #: Features of repetition and length, counted this often so that they weigh beside thousands of words.
 EMPHASIS = 64
-BLOCK = 1000
+BLOCK = 400
 
 
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIM
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _shape(word: str) -> str:
     out: list[str] = []
     for c in word[:64]:
@@ -55,7 +55,7 @@ def _features(fragments: list[str]) -> list[list[int]]:
 
 @lru_cache(maxsize=1)
 def _encoder() -> FragmentEncoder:
-    return FragmentEncoder(_features, 300_000)
+    return FragmentEncoder(_features, 120_000)
 
 
 def _repetition(text: str) -> list[int]:

@@ -14,7 +14,7 @@ from skirmish.session import materialize
 __all__ = ["chunks", "materialize", "read", "spans_of", "text_values"]
 
 #: Characters of text that a task works on at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

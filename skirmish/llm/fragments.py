@@ -28,7 +28,7 @@ def cut(text: str) -> list[str]:
 class FragmentEncoder:
     """Ids of texts, through `encode` for lists of fragments. Holds at most `limit` fragments between two calls."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
