@@ -26,11 +26,10 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
     """Edges with two more columns, the smallest vertex of the edge's component.
 
     A vertex is a pair (double, long) given by the column names in `u` and `v`; order is by the double first.
-    `within` names numeric columns (settings of a sweep) that keep graphs of one group apart: they are solved in the
-    same call, as one graph with that many more vertices.
+    `within` names columns (settings of a sweep) that keep graphs of one group apart: each is a group of its own.
     """
-    tasks, rows, within = list(group), edges, list(within)
-    group = [*group, *within]
+    rows, group = edges, [*group, *within]
+    tasks = list(group)
     if split:
         # Parallel edges say nothing new; without them every edge is distinct and the ranges can be cut anywhere.
         ends = [*group, *u, *v]
@@ -54,12 +53,11 @@ def connected_components(edges: DataFrame, group: Sequence[str], u: tuple[str, s
             label = new
 
     def solve(rows: pa.Table) -> pa.Table:
-        apart = [np.tile(rows[c].to_numpy(), 2) for c in within]
         first = np.concatenate([rows[u[0]].to_numpy(), rows[v[0]].to_numpy()])
         second = np.concatenate([rows[u[1]].to_numpy(), rows[v[1]].to_numpy()])
-        order = np.lexsort((second, first, *apart))
+        order = np.lexsort((second, first))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (second, first, *apart)], axis=0)
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (second, first)], axis=0)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
         n = rows.num_rows

@@ -27,14 +27,14 @@ def long_rows(row: DataFrame, *names: str) -> DataFrame:
 
 def damage_facts(damage: DataFrame, teams: DataFrame, split: bool = False) -> DataFrame:
     """Row counts and rates: no target, zero magnitude, self-hits; then resolved and friendly among engagement rows."""
-    share = lambda c: F.count_if(c) / F.count("*")
+    share = lambda c: F.try_divide(F.count_if(c), F.count("*"))
     raw = damage.agg(F.count("*").alias("rows"), share(F.col("target").isNull()).alias("target_null"),
                      share(F.col("magnitude") == 0).alias("mag0"), share(F.col("source") == F.col("target")).alias("self_hits"))
     hits = by_match(damage.where(is_engagement()).select("match_id", "t", "source", "target"), split)
     placed = with_teams(hits, by_match(teams, split), split)
     known = F.col("source_team").isNotNull() & F.col("target_team").isNotNull()
     eng = placed.agg(F.count("*").alias("engagement_rows"), share(known).alias("team_resolved"),
-                     (F.count_if(F.col("source_team") == F.col("target_team")) / F.count_if(known)).alias("friendly"))
+                     F.try_divide(F.count_if(F.col("source_team") == F.col("target_team")), F.count_if(known)).alias("friendly"))
     return long_rows(raw, "rows", "target_null", "mag0", "self_hits").unionByName(
         long_rows(eng, "engagement_rows", "team_resolved", "friendly"))
 
@@ -79,7 +79,7 @@ def since_damage_report(context: DataFrame, damage: DataFrame, split: bool = Fal
     knocks = since_damage(context.where("knocked"), damage, split)
     groups = F.when(F.col("recorder"), F.array(F.lit("recorder"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     rows = materialize(knocks.select(F.explode(groups).alias("knock_group"), "since"), "since-damage")
-    base = rows.groupBy("knock_group").agg(F.count("*").alias("knocks"), (F.count_if(F.col("since").isNull()) / F.count("*")).alias("no_damage"))
+    base = rows.groupBy("knock_group").agg(F.count("*").alias("knocks"), F.try_divide(F.count_if(F.col("since").isNull()), F.count("*")).alias("no_damage"))
     return base.join(F.broadcast(percentiles(rows, ["knock_group"], "since", {"p50": 0.5, "p90": 0.9}, few_groups=True).drop("n_values")), "knock_group", "left")
 
 
@@ -101,11 +101,30 @@ def segment_links(spans: DataFrame, window_s: float) -> DataFrame:
 
 def third_party_links(spans: DataFrame, windows: Sequence[float] = LINK_WINDOWS) -> DataFrame:
     """Per window: segments, how many have a team-sharing segment of another pair within it, and that share."""
-    closest = segment_links(spans, max(windows)).groupBy("match_id", "team_a", "team_b", "seg_start").agg(F.min("lag").alias("lag"))
-    rows = each(spans.select("match_id", "team_a", "team_b", "seg_start").join(
-        closest, ["match_id", "team_a", "team_b", "seg_start"], "left"), "link_window", windows)
+    rows = each(nearest_links(spans), "link_window", windows)
     linked = F.count_if(F.col("lag") <= F.col("link_window"))
-    return rows.groupBy("link_window").agg(F.count("*").alias("segments"), linked.alias("linked"), (linked / F.count("*")).alias("share"))
+    return rows.groupBy("link_window").agg(F.count("*").alias("segments"), linked.alias("linked"), F.try_divide(linked, F.count("*")).alias("share"))
+
+
+def nearest_links(spans: DataFrame, split: bool = False) -> DataFrame:
+    """Segments with `lag`, the step to the nearest segment of another pair that shares a team; 0 or less if they overlap.
+
+    Linear, whatever the bursts: per team, the latest end among the segments that began before and the earliest start among
+    those that begin after are carried along, each with the best of any other opponent beside the best of all.
+    """
+    per_team = spans.select("match_id", "team_a", "team_b", "seg_start", "seg_end", F.explode(F.array(
+        F.struct(F.col("team_a").alias("team"), F.col("team_b").alias("opp")), F.struct(F.col("team_b").alias("team"), F.col("team_a").alias("opp")))).alias("_s"))
+    scan = Ordered(per_team.select("*", "_s.*").drop("_s"), ["match_id", "team"], ["seg_start", "seg_end", "opp"], split)
+    for side, fn, value, pick, back in (("before", "max", "seg_end", F.least, False), ("after", "min", "seg_start", F.greatest, True)):
+        own = F.struct(F.col(value).alias("v"), F.col("opp").alias("opp"))
+        best, second = f"_{side}", f"_{side}_2"
+        scan.running(best, fn, own, inclusive=False, reverse=back)
+        # When another opponent comes up, the worse of it and the best so far is the best of the others.
+        other = F.when(F.col(f"{best}.opp") != F.col("opp"), pick(own, F.col(best)))
+        scan.running(second, fn, other, inclusive=False, reverse=back)
+        scan.with_column(side, F.when(F.col(f"{best}.opp") != F.col("opp"), F.col(f"{best}.v")).otherwise(F.col(f"{second}.v")))
+    lag = F.least(F.col("seg_start") - F.col("before"), F.col("after") - F.col("seg_end"))
+    return scan.rows().groupBy("match_id", "team_a", "team_b", "seg_start").agg(F.min(lag).alias("lag"))
 
 
 def in_segment(events: DataFrame, spans: DataFrame, grace_s: float = GRACE_S) -> DataFrame:
@@ -156,8 +175,8 @@ def bot_teams(teams: DataFrame, players: DataFrame) -> DataFrame:
 def bot_report(teams: DataFrame, players: DataFrame, spans: DataFrame) -> DataFrame:
     """Shares: assignment rows of bots, teams with any / only bots, segments involving such a team."""
     flags = materialize(bot_teams(teams, players), "bot-teams")
-    share = lambda c: F.count_if(c) / F.count("*")
-    per_team = flags.agg((F.sum("bot_rows") / F.sum("known_rows")).alias("bot_rows"), share("any_bot").alias("teams_any_bot"),
+    share = lambda c: F.try_divide(F.count_if(c), F.count("*"))
+    per_team = flags.agg(F.try_divide(F.sum("bot_rows"), F.sum("known_rows")).alias("bot_rows"), share("any_bot").alias("teams_any_bot"),
                          share("all_bot").alias("teams_all_bot"))
     sides = spans.select("match_id", "team_a", "team_b", "seg_start", F.explode(F.array("team_a", "team_b")).alias("team_index"))
     segs = sides.join(flags, ["match_id", "team_index"], "left").groupBy("match_id", "team_a", "team_b", "seg_start").agg(

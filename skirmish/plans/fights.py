@@ -27,29 +27,15 @@ POKE_MINORITY_SHARE = 0.10
 POKE_CONVERT_S = 20.0
 HIT_POS_MAX_AGE_S = 2.0
 
-# Columns only known during or after an engagement.
-LABEL_ONLY_COLUMNS = (
-    "t_end", "outcome", "engagement_type", "mutual", "minority_damage_share", "n_damage_events", "hits_dealt",
-    "hits_taken", "damage_dealt", "damage_taken", "dist_median_m", "dist_max_m",
-)
-
 BUCKET_S = 30.0
 """Width of the time buckets range joins use; results do not depend on it."""
 
 
-def assert_no_label_features(columns: Sequence[str]) -> None:
-    """Raise if a label-only column is about to be used as a feature."""
-    given = set(columns)
-    leaked = [c for c in LABEL_ONLY_COLUMNS if c in given]
-    if leaked:
-        raise ValueError(f"only known during or after the engagement, not usable as features: {', '.join(leaked)}")
-
-
 def seg_version(gap_s: float = GAP_S, overlap_tol_s: float = OVERLAP_TOL_S, grace_s: float = GRACE_S,
                 poke_minority_share: float = POKE_MINORITY_SHARE, poke_convert_s: float = POKE_CONVERT_S) -> str:
     """Name of a parameter set, e.g. v2-gap10-tol1-grace3-poke10-conv20 (the poke share in percent)."""
-    parts = {"gap": gap_s, "tol": overlap_tol_s, "grace": grace_s, "poke": round(poke_minority_share * 100), "conv": poke_convert_s}
-    return "-".join(["v2"] + [name + format(value, "g") for name, value in parts.items()])
+    # Fixed format.
+    return f"v2-gap{gap_s:g}-tol{overlap_tol_s:g}-grace{grace_s:g}-poke{round(poke_minority_share * 100):g}-conv{poke_convert_s:g}"
 
 
 def by_match(df: DataFrame, split: bool = False) -> DataFrame:

@@ -56,9 +56,10 @@ def segmentation_sweep(damage: DataFrame, teams: DataFrame, elims: DataFrame, ma
         by_match(each(sides, "grace", graces), split), events, F.col("grace"), by=grid), "sweep-outcomes")
     two = F.col("n_teams") <= 2
     n_two = F.count_if(two)
-    shares = [(F.count_if(two & (F.col("outcome") == o)) / n_two).alias(o) for o in ("win", "loss", "tie", "disengage")]
+    # A setting may leave no fight of two teams: its shares are 0.
+    shares = [F.coalesce(F.try_divide(F.count_if(two & (F.col("outcome") == o)), n_two), F.lit(0.0)).alias(o) for o in ("win", "loss", "tie", "disengage")]
     counts = labelled.groupBy(*grid).agg(
-        F.count_if("first").alias("fights"), (F.count_if(F.col("first") & (F.col("n_teams") > 2)) / F.count_if("first")).alias("multi"),
+        F.count_if("first").alias("fights"), F.try_divide(F.count_if(F.col("first") & (F.col("n_teams") > 2)), F.count_if("first")).alias("multi"),
         *shares, F.floor(F.count_if(two & F.col("outcome").isin("win", "loss")) / 2).cast("long").alias("labelled_2team"),
         F.max(F.col("t_end") - F.col("t0")).alias("dur_max"))
     spread = percentiles(sides.where("first").withColumn("dur", F.col("t_end") - F.col("t0")), ["gap", "tol"], "dur",

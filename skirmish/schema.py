@@ -1,21 +1,17 @@
 """Declared tables, coercion to them, validation against them.
 
-Four column types: string, float, int, bool. A `?` marks a nullable column; a null flag means "not replicated in
-this update", not false. Columns are written `name:type` with an optional unit in brackets.
+Four column types: text, real, whole, flag. A null flag means "not sent with this update", not false. Each field's
+metadata holds a comment, a unit where it has one, and a mark if it is known only during or after what it describes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from skirmish.plans.fights import LABEL_ONLY_COLUMNS
-
-_TYPES = {"string": T.StringType(), "float": T.DoubleType(), "int": T.LongType(), "bool": T.BooleanType()}
-
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -23,6 +19,7 @@ class TableSpec:
     layer: str  # raw | interim | processed
     grain: str
     key: tuple[str, ...]
+    notes: str
     schema: T.StructType
     planned: bool = False
 
@@ -30,83 +27,153 @@ class TableSpec:
     def names(self) -> list[str]:
         return self.schema.names
 
+    @property
+    def path(self) -> str:
+        """Where a stored table lies below the data folder."""
+        return f"{self.layer}/{self.name}.parquet"
 
-def _fields(text: str) -> list[T.StructField]:
-    out = []
-    for item in text.split():
-        name, _, rest = item.partition(":")
-        kind, _, unit = rest.rstrip("]").partition("[")
-        nullable = kind.endswith("?")
-        meta = {"unit": unit} if unit else {}
-        if name in LABEL_ONLY_COLUMNS:
-            meta["label_only"] = True
-        out.append(T.StructField(name, _TYPES[kind.rstrip("?")], nullable, meta))
-    return out
-
-
-TABLES: dict[str, TableSpec] = {}
-
-
-def _table(name: str, layer: str, grain: str, key: str, columns: str, planned: bool = False) -> None:
-    TABLES[name] = TableSpec(name, layer, grain, tuple(key.split()), T.StructType(_fields(columns)), planned)
-
-
-# The tables, their keys and columns.
-_MATCH_T = "match_id:string t:float[s]"
-_XYZ = "x:float[uu] y:float[uu] z:float[uu]"
-_BUILD = f"""spawn_t:float[s] channel:int path:string {_XYZ} yaw:float[deg] close_t:float?[s] close_reason:string?
-    owner_persistent_id:int? team_index:int? max_health:int? min_health:int? player_placed:bool? editors:string?"""
-
-_table("manifest", "raw", "replay file", "replay_file", """replay_file:string sha256:string size_bytes:int source:string
-    replay_kind:string contributor:string? consent_ref:string? acquired_at:string notes:string?""")
-_table("matches", "processed", "replay", "match_id", """match_id:string branch:string session_id:string? playlist:string?
-    utc_start:string? match_end_time:float?[s] max_players:int? team_size:int? total_teams:int? total_bots:int?
-    tournament_round:int? winning_team:int? aircraft_start:float?[s] replay_owner:string? rec_eliminations:int?
-    rec_assists:int? rec_accuracy:float? rec_weapon_damage:int? rec_other_damage:int? rec_damage_taken:int?
-    rec_damage_to_structures:int? rec_materials_gathered:int? rec_materials_used:int? rec_total_traveled:int? rec_revives:int?""")
-_table("players", "processed", "match x player", "match_id player_id", """match_id:string player_id:string name:string?
-    is_bot:bool team_index:int? placement:int? kills:int? team_kills:int? is_replay_owner:bool state_player_id:int?
-    world_player_id:int? platform:string? death_time:float?[s] death_cause:int? death_x:float?[uu] death_y:float?[uu]
-    death_z:float?[uu]""")
-_table("positions", "processed", "pawn update", "", f"""{_MATCH_T} channel:int player_id:string? {_XYZ} yaw:float?[deg]
-    pitch:float?[deg] vx:float?[uu/s] vy:float?[uu/s] vz:float?[uu/s] downed:bool? in_storm:bool? targeting:bool?
-    crouched:bool? sprinting:bool? jumping:bool? skydiving:bool?""")
-_table("damage", "processed", "damage cue", "", f"""{_MATCH_T} source_channel:int source:string? hit_actor:int? target:string?
-    magnitude:float fatal:bool? critical:bool? shield:bool? shield_destroyed:bool? ballistic:bool? weapon_activate:bool?
-    x:float?[uu] y:float?[uu] z:float?[uu]""")
-_table("health", "processed", "health change", "", f"{_MATCH_T} channel:int player_id:string? health:float shield:float")
-_table("eliminations", "interim", "knock or elimination", "", """t:float[s] eliminated:string? eliminator:string? knocked:bool
-    gun_type:int? distance:float?[uu] victim_x:float? victim_y:float? victim_z:float? actor_x:float? actor_y:float? actor_z:float?""")
-_table("elims", "processed", "knock or elimination", "", """match_id:string t_ms:int[ms] eliminator:string? eliminated:string?
-    knocked:bool gun_type:string?""")
-_table("builds", "interim", "piece actor spawn", "", _BUILD)
-_table("pieces", "processed", "build piece", "", f"""match_id:string {_BUILD} material:string? shape:string? kind:string?
-    edited:bool prev_shape:string? prev_close_t:float?[s] is_edit:bool is_reset:bool builder:string? builder_dist:float[uu]
-    builder_source:string?""")
-_table("teams", "processed", "team assignment update", "", f"{_MATCH_T} player_id:string team_index:int")
-_table("weapons", "processed", "held-item change", "", f"{_MATCH_T} channel:int player_id:string? weapon_guid:int weapon_class:string?")
-_table("safezones", "processed", "storm phase", "", """match_id:string start_shrink:float[s] finish_shrink:float[s] radius:float[uu]
-    next_radius:float[uu] next_x:float?[uu] next_y:float?[uu]""")
-_table("actor_classes", "interim", "actor class", "path", "path:string spawns:int")
-_table("fight_sides", "processed", "fight x team", "fight_id team_index", """fight_id:string match_id:string team_index:int
-    opp_team_index:int t0:float[s] t_end:float[s] players:string outcome:string multi_team:bool n_damage_events:int
-    hits_dealt:int hits_taken:int damage_dealt:float damage_taken:float recorder_involved:bool has_bots:bool mutual:bool
-    minority_damage_share:float engagement_type:string dist_median_m:float?[m] dist_max_m:float?[m] seg_version:string""")
-_table("pokes", "processed", "poke", "fight_id", """fight_id:string match_id:string poker_team:int target_team:int t0:float[s]
-    t_end:float[s] net_damage:float target_players:string converted:bool converted_by:string? converter_team:int?
-    t_convert:float?[s] storm_death:bool structure_damage:float structure_hits:int seg_version:string""")
-_table("events", "processed", "competitive event", "event_id", """event_id:string name:string date:string region:string?
-    format:string is_lan:bool tier:string source:string source_key:string""", planned=True)
-_table("event_results", "processed", "event x player", "event_id player_id", """event_id:string player_id:string team_key:string
-    placement:int field_size:int points:float? earnings_usd:float?""", planned=True)
-_table("player_xref", "processed", "player x external id", "source source_key", """player_id:string source:string source_key:string
-    valid_from:string? valid_to:string? confidence:string""", planned=True)
-_table("player_meta", "processed", "player", "player_id", """player_id:string display_name:string birth_date:string?
-    birth_date_source:string? debut_date:string? region:string?""", planned=True)
+    @property
+    def status(self) -> str:
+        return "planned" if self.planned else "built"
+
+
+def _field(kind: T.DataType, name: str, comment: str, unit: str = "", null: bool = False, label: bool = False) -> T.StructField:
+    metadata = {"comment": comment} | ({"unit": unit} if unit else {}) | ({"label_only": True} if label else {})
+    return T.StructField(name, kind, null, metadata)
+
+
+_text = partial(_field, T.StringType())
+_real = partial(_field, T.DoubleType())
+_whole = partial(_field, T.LongType())
+_flag = partial(_field, T.BooleanType())
+
+MATCH = _text("match_id", "match the row belongs to")
+TIME = _real("t", "time since the match clock began", "s")
+PLACE = [_real("x", "east-west place", "uu"), _real("y", "north-south place", "uu"), _real("z", "height", "uu")]
+BUILD = [
+    _real("spawn_t", "when the piece appeared", "s"), _whole("channel", "network channel of the piece"), _text("path", "class path"), *PLACE,
+    _real("yaw", "facing", "deg"), _real("close_t", "when its channel closed", "s", null=True), _text("close_reason", "why it closed", null=True),
+    _whole("owner_persistent_id", "id of the owner", null=True), _whole("team_index", "team of the owner", null=True),
+    _whole("max_health", "health when whole", null=True), _whole("min_health", "lowest health seen", null=True),
+    _flag("player_placed", "placed by a player", null=True), _text("editors", "players seen editing it", null=True),
+]
+
+# The tables, their keys, columns and types.
+_DECLARED = [
+    TableSpec("manifest", "raw", "replay file", ("replay_file",), "what was taken in, from whom, and under which hash", T.StructType([
+        _text("replay_file", "stored name"), _text("sha256", "hash of the content"), _whole("size_bytes", "size", "B"),
+        _text("source", "where it came from"), _text("replay_kind", "client or server recording"),
+        _text("contributor", "who gave it", null=True), _text("consent_ref", "record of the consent", null=True),
+        _text("acquired_at", "when it was taken in"), _text("notes", "remarks", null=True)])),
+    TableSpec("matches", "processed", "replay", ("match_id",), "one row per recorded match, with the recorder's own totals", T.StructType([
+        MATCH, _text("branch", "game build"), _text("session_id", "server session", null=True), _text("playlist", "mode", null=True),
+        _text("utc_start", "start in UTC", null=True), _real("match_end_time", "end of the match", "s", null=True),
+        _whole("max_players", "seats", null=True), _whole("team_size", "seats per team", null=True), _whole("total_teams", "teams", null=True),
+        _whole("total_bots", "bots", null=True), _whole("tournament_round", "round", null=True), _whole("winning_team", "team that won", null=True),
+        _real("aircraft_start", "start of the flight", "s", null=True), _text("replay_owner", "player who recorded", null=True),
+        _whole("rec_eliminations", "recorder's eliminations", null=True), _whole("rec_assists", "recorder's assists", null=True),
+        _real("rec_accuracy", "recorder's accuracy", null=True), _whole("rec_weapon_damage", "recorder's weapon damage", null=True),
+        _whole("rec_other_damage", "recorder's other damage", null=True), _whole("rec_damage_taken", "damage the recorder took", null=True),
+        _whole("rec_damage_to_structures", "recorder's damage to pieces", null=True),
+        _whole("rec_materials_gathered", "recorder's materials gathered", null=True),
+        _whole("rec_materials_used", "recorder's materials used", null=True), _whole("rec_total_traveled", "recorder's way", null=True),
+        _whole("rec_revives", "recorder's revives", null=True)])),
+    TableSpec("players", "processed", "match x player", ("match_id", "player_id"), "who took part and how it ended for them", T.StructType([
+        MATCH, _text("player_id", "player"), _text("name", "shown name", null=True), _flag("is_bot", "a bot"),
+        _whole("team_index", "team", null=True), _whole("placement", "final place", null=True), _whole("kills", "eliminations", null=True),
+        _whole("team_kills", "eliminations of the team", null=True), _flag("is_replay_owner", "recorded the match"),
+        _whole("state_player_id", "id in the state channel", null=True), _whole("world_player_id", "id in the world", null=True),
+        _text("platform", "device", null=True), _real("death_time", "death", "s", null=True), _whole("death_cause", "cause", null=True),
+        _real("death_x", "place of death", "uu", null=True), _real("death_y", "place of death", "uu", null=True),
+        _real("death_z", "place of death", "uu", null=True)])),
+    TableSpec("positions", "processed", "pawn update", (), "movement updates; a null flag was not sent with the update", T.StructType([
+        MATCH, TIME, _whole("channel", "network channel of the pawn"), _text("player_id", "player", null=True), *PLACE,
+        _real("yaw", "facing", "deg", null=True), _real("pitch", "view angle", "deg", null=True), _real("vx", "speed", "uu/s", null=True),
+        _real("vy", "speed", "uu/s", null=True), _real("vz", "speed", "uu/s", null=True), _flag("downed", "knocked down", null=True),
+        _flag("in_storm", "in the storm", null=True), _flag("targeting", "aiming", null=True), _flag("crouched", "crouching", null=True),
+        _flag("sprinting", "sprinting", null=True), _flag("jumping", "jumping", null=True), _flag("skydiving", "in the air", null=True)])),
+    TableSpec("damage", "processed", "damage cue", (), "hits as shown to the recorder; structures have no target", T.StructType([
+        MATCH, TIME, _whole("source_channel", "channel of the shooter"), _text("source", "shooter", null=True),
+        _whole("hit_actor", "what was hit", null=True), _text("target", "player hit", null=True), _real("magnitude", "damage"),
+        _flag("fatal", "deadly", null=True), _flag("critical", "critical", null=True), _flag("shield", "on the shield", null=True),
+        _flag("shield_destroyed", "broke the shield", null=True), _flag("ballistic", "by a bullet", null=True),
+        _flag("weapon_activate", "weapon went off", null=True), _real("x", "place of the hit", "uu", null=True),
+        _real("y", "place of the hit", "uu", null=True), _real("z", "place of the hit", "uu", null=True)])),
+    TableSpec("health", "processed", "health change", (), "health and shield after each change", T.StructType([
+        MATCH, TIME, _whole("channel", "network channel"), _text("player_id", "player", null=True), _real("health", "health"), _real("shield", "shield")])),
+    TableSpec("eliminations", "interim", "knock or elimination", (), "kill feed as exported, before the match is added", T.StructType([
+        TIME, _text("eliminated", "victim", null=True), _text("eliminator", "who did it", null=True), _flag("knocked", "down, not out"),
+        _whole("gun_type", "weapon type", null=True), _real("distance", "distance", "uu", null=True), _real("victim_x", "place of the victim", null=True),
+        _real("victim_y", "place of the victim", null=True), _real("victim_z", "place of the victim", null=True),
+        _real("actor_x", "place of the eliminator", null=True), _real("actor_y", "place of the eliminator", null=True),
+        _real("actor_z", "place of the eliminator", null=True)])),
+    TableSpec("elims", "processed", "knock or elimination", (), "kill feed in whole milliseconds", T.StructType([
+        MATCH, _whole("t_ms", "time since the match clock began", "ms"), _text("eliminator", "who did it", null=True),
+        _text("eliminated", "victim", null=True), _flag("knocked", "down, not out"), _text("gun_type", "weapon type", null=True)])),
+    TableSpec("builds", "interim", "piece actor spawn", (), "actors of building pieces as exported", T.StructType(BUILD)),
+    TableSpec("pieces", "processed", "build piece", (), "building pieces with edits and the likely builder", T.StructType([
+        MATCH, *BUILD, _text("material", "wood, brick or metal", null=True), _text("shape", "shape in the path", null=True),
+        _text("kind", "wall, floor, stair or roof", null=True), _flag("edited", "shape is an edited one"),
+        _text("prev_shape", "shape before", null=True), _real("prev_close_t", "when that closed", "s", null=True),
+        _flag("is_edit", "follows a piece it edits"), _flag("is_reset", "edit back to the plain shape"), _text("builder", "likely builder", null=True),
+        _real("builder_dist", "distance of the builder", "uu"), _text("builder_source", "how the builder was found", null=True)])),
+    TableSpec("teams", "processed", "team assignment update", (), "change log of who is in which team", T.StructType([
+        MATCH, TIME, _text("player_id", "player"), _whole("team_index", "team from then on")])),
+    TableSpec("weapons", "processed", "held-item change", (), "change log of what is in hand", T.StructType([
+        MATCH, TIME, _whole("channel", "network channel"), _text("player_id", "player", null=True), _whole("weapon_guid", "item"),
+        _text("weapon_class", "class of the item", null=True)])),
+    TableSpec("safezones", "processed", "storm phase", (), "one row per phase of the storm", T.StructType([
+        MATCH, _real("start_shrink", "shrinking begins", "s"), _real("finish_shrink", "shrinking ends", "s"), _real("radius", "radius", "uu"),
+        _real("next_radius", "radius after", "uu"), _real("next_x", "next centre", "uu", null=True), _real("next_y", "next centre", "uu", null=True)])),
+    TableSpec("actor_classes", "interim", "actor class", ("path",), "how often each class was spawned", T.StructType([
+        _text("path", "class path"), _whole("spawns", "spawns")])),
+    TableSpec("fight_sides", "processed", "fight x team", ("fight_id", "team_index"), "each team's view of each fight", T.StructType([
+        _text("fight_id", "fight"), MATCH, _whole("team_index", "this team"), _whole("opp_team_index", "main opponent"),
+        _real("t0", "first hit", "s"), _real("t_end", "last hit", "s", label=True), _text("players", "players engaged, joined by semicolons"),
+        _text("outcome", "win, loss, tie or disengage", label=True), _flag("multi_team", "more than two teams"),
+        _whole("n_damage_events", "hits in the fight", label=True), _whole("hits_dealt", "hits dealt", label=True),
+        _whole("hits_taken", "hits taken", label=True), _real("damage_dealt", "damage dealt", label=True),
+        _real("damage_taken", "damage taken", label=True), _flag("recorder_involved", "the recorder takes part"), _flag("has_bots", "a bot takes part"),
+        _flag("mutual", "damage both ways", label=True), _real("minority_damage_share", "damage share of the weaker side", label=True),
+        _text("engagement_type", "fight, pick or poke", label=True), _real("dist_median_m", "median distance of hits", "m", null=True, label=True),
+        _real("dist_max_m", "largest distance of hits", "m", null=True, label=True), _text("seg_version", "settings the row was made with")])),
+    TableSpec("pokes", "processed", "poke", ("fight_id",), "one-sided exchanges and what became of them", T.StructType([
+        _text("fight_id", "fight"), MATCH, _whole("poker_team", "team that dealt the damage"), _whole("target_team", "team that took it"),
+        _real("t0", "first hit", "s"), _real("t_end", "last hit", "s", label=True), _real("net_damage", "damage dealt less taken"),
+        _text("target_players", "players hit, joined by semicolons"), _flag("converted", "a player hit went down soon after"),
+        _text("converted_by", "who did it", null=True), _whole("converter_team", "their team", null=True),
+        _real("t_convert", "time from the last hit", "s", null=True), _flag("storm_death", "a player hit died in the storm"),
+        _real("structure_damage", "damage to pieces near the targets"), _whole("structure_hits", "hits on such pieces"),
+        _text("seg_version", "settings the row was made with")])),
+    TableSpec("events", "processed", "competitive event", ("event_id",), "tournaments", T.StructType([
+        _text("event_id", "event"), _text("name", "name"), _text("date", "day"), _text("region", "region", null=True), _text("format", "format"),
+        _flag("is_lan", "on site"), _text("tier", "rank of the event"), _text("source", "origin"), _text("source_key", "key there")]), True),
+    TableSpec("event_results", "processed", "event x player", ("event_id", "player_id"), "placings", T.StructType([
+        _text("event_id", "event"), _text("player_id", "player"), _text("team_key", "team"), _whole("placement", "place"),
+        _whole("field_size", "entrants"), _real("points", "points", null=True), _real("earnings_usd", "prize", "USD", null=True)]), True),
+    TableSpec("player_xref", "processed", "player x external id", ("source", "source_key"), "one player under several names", T.StructType([
+        _text("player_id", "player"), _text("source", "origin"), _text("source_key", "key there"), _text("valid_from", "from", null=True),
+        _text("valid_to", "until", null=True), _text("confidence", "how sure")]), True),
+    TableSpec("player_meta", "processed", "player", ("player_id",), "about players", T.StructType([
+        _text("player_id", "player"), _text("display_name", "name to show"), _text("birth_date", "born", null=True),
+        _text("birth_date_source", "origin of that", null=True), _text("debut_date", "first event", null=True), _text("region", "region", null=True)]), True),
+]
+TABLES: dict[str, TableSpec] = {t.name: t for t in _DECLARED}
 
 PROCESSED = [t.name for t in TABLES.values() if t.layer == "processed" and not t.planned]
 
 
+def label_only(table: str | None = None) -> set[str]:
+    """Columns known only during or after what they describe, by the fields' own marks."""
+    return {f.name for t in TABLES.values() if table in (None, t.name) for f in t.schema.fields if f.metadata.get("label_only")}
+
+
+def assert_no_label_features(columns: Sequence[str], table: str | None = None) -> None:
+    """Refuse feature columns that a table marks as label-only."""
+    if late := sorted(label_only(table) & set(columns)):
+        raise ValueError(f"label-only columns among the features: {late}")
+
+
 # ------------------------------------------------------------------------------------------------------- coercion
 def parse_bool(c: Column, kind: T.DataType) -> Column:
     """1 / 0 / true / false in any case, trimmed; anything else is null."""
@@ -114,7 +181,7 @@ def parse_bool(c: Column, kind: T.DataType) -> Column:
         return c
     if not isinstance(kind, T.StringType):
         return F.when(c == 1, True).when(c == 0, False)
-    token = F.lower(F.trim(c))
+    token = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     return F.when(token.isin("1", "true"), True).when(token.isin("0", "false"), False)
 
 

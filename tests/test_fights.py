@@ -1,212 +1,231 @@
-"""Fight scenarios: win / loss / tie / disengage, merging, types, distances, flags, coverage, leakage."""
+"""Fights on random matches against plain loops, and what must hold whatever the data."""
+
+from collections import defaultdict
 
 import pytest
+from frames import random_tables
 from pyspark.sql import functions as F
 
 from skirmish.operators import ordered as od
-from skirmish.plans import fights as fp
-
-from skirmish.schema import TABLES
-
-from frames import SOLO, World, by_match
-
-EXCHANGE = [(0, "A1", "B1", 40), (0.5, "B1", "A1", 30), (1, "A1", "B1", 30), (2, "A2", "B1", 30)]
-TIE = [(3.0, "A1", "B1", True)]
-
-
-def world():
-    w = World()
-    w.match("exchange", EXCHANGE, [(2.5, "A1", "B1", True)])
-    w.match("grace_in", EXCHANGE, [(2 + 2.9, "A1", "B1", True)])
-    w.match("grace_out", EXCHANGE, [(2 + 3.1, "A1", "B1", True)])
-    w.match("grace_edge", EXCHANGE, [(2 + 3.0, "A1", "B1", True)])
-    w.match("knock_before", EXCHANGE, [(-1, "A1", "B1", True)])
-    w.match("tie", EXCHANGE, TIE + [(3.8, "B2", "A2", True)])
-    w.match("no_tie", EXCHANGE, TIE + [(4.5, "B2", "A2", True)])
-    w.match("tie_edge", EXCHANGE, TIE + [(4.0, "B2", "A2", True)])
-    w.match("no_knock", EXCHANGE)
-    w.match("own_team_knock", EXCHANGE, [(2.5, "B2", "B1", True)])
-    w.match("third_party", EXCHANGE + [(1.5, "C1", "B1", 20), (2.5, "B2", "C1", 20)], [(2.6, "A1", "B1", True)])
-    w.match("outsider_knock", EXCHANGE, [(1.0, "C1", "B1", True)])
-    w.match("team_change", [(10, "A1", "B1", 10), (60, "A1", "B1", 10)], team_rows=[("B1", 50, 3)])
-    w.match("friendly", [(0, "A1", "A2", 10), (1, "A1", "A1", 10), (2, "A1", None, 10), (3, "A1", "B1", 0), (4, "A1", "ZZ", 9)])
-    w.match("gap_equal", [(0, "A1", "B1", 10), (10, "A1", "B1", 10), (20.01, "A1", "B1", 10)])
-    w.match("solo_direct", [(0, "A1", "B1", 60), (1, "B1", "A1", 40)], [(1.5, "A1", "B1", False)], teams=SOLO)
-    w.match("duo_direct", EXCHANGE, [(2.5, "A1", "B1", False)])
-    w.match("solo_knocked_before", [(0, "A1", "B1", 60), (1, "B1", "A1", 40)],
-            [(-5, "C1", "B1", True), (1.5, "A1", "B1", False)], teams=SOLO)
-    w.match("share_low", [(0, "A1", "B1", 95), (1, "B1", "A1", 5)])
-    w.match("share_mid", [(0, "A1", "B1", 85), (1, "B1", "A1", 15)])
-    w.match("pick", [(0, "A1", "B1", 100)], [(0.5, "A1", "B1", True)])
-    w.match("poke", [(0, "A1", "B1", 100)])
-    w.match("bots", EXCHANGE, bots=("B1",))
-    w.match("bot_name", [(0, "A1", "BOT_7", 10)], teams={"A1": 1, "BOT_7": 2})
-    w.match("owner_away", [(0, "A1", "B1", 10)], owner="C1")
-    w.match("distance", [(1, "A1", "B1", 10), (1.2, "A1", "B1", 10)],
-            positions=[("A1", 0, 0, 0, 0, None), ("B1", 0.5, 3000, 4000, 0, None)])
-    w.match("stale", [(5, "A1", "B1", 10)], positions=[("A1", 0, 0, 0, 0, None), ("B1", 4, 3000, 4000, 0, None)])
-    w.match("chain", [(0, "A1", "B1", 10), (1, "B1", "A1", 10), (1.5, "B1", "C1", 10), (2, "C1", "B1", 10)])
-    w.match("opponent_tie", [(0, "A1", "B1", 10), (0.5, "A1", "C1", 10), (1, "A1", "C1", 5), (1.5, "A1", "B1", 5)])
-    return w
-
-
-@pytest.fixture(scope="module")
-def sides(spark):
-    t = world().tables(spark)
-    df = fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], split=False)
-    return df.orderBy("match_id", "fight_id", "team_index").collect()
-
-
-def outcomes(rows, m):
-    return {r["team_index"]: r["outcome"] for r in rows if r["match_id"] == m}
-
-
-def kinds(rows, m):
-    return {r["engagement_type"] for r in rows if r["match_id"] == m}
-
-
-def test_exchange_row(sides):
-    a, b = by_match(sides)["exchange"]
-    assert (a["outcome"], b["outcome"], a["engagement_type"]) == ("win", "loss", "fight")
-    assert (a["hits_dealt"], a["hits_taken"], a["damage_dealt"], a["damage_taken"], a["players"]) == (3, 1, 100.0, 30.0, "A1;A2")
-    assert (b["players"], b["n_damage_events"], a["t0"], a["t_end"], a["fight_id"]) == ("B1", 4, 0.0, 2.0, "exchange:0")
-    assert a["opp_team_index"] == 2 and a["mutual"] and not a["multi_team"] and a["recorder_involved"]
-    assert a["minority_damage_share"] == pytest.approx(30 / 130) and a["seg_version"] == "v2-gap10-tol1-grace3-poke10-conv20"
-
-
-@pytest.mark.parametrize("m,want", [
-    ("grace_in", {1: "win", 2: "loss"}), ("grace_edge", {1: "win", 2: "loss"}), ("grace_out", {1: "disengage", 2: "disengage"}),
-    ("knock_before", {1: "disengage", 2: "disengage"}), ("tie", {1: "tie", 2: "tie"}), ("tie_edge", {1: "tie", 2: "tie"}),
-    ("no_tie", {1: "win", 2: "loss"}), ("no_knock", {1: "disengage", 2: "disengage"}), ("own_team_knock", {1: "disengage", 2: "disengage"}),
-    ("third_party", {1: "win", 2: "loss", 3: "disengage"}), ("outsider_knock", {1: "disengage", 2: "disengage"}),
-    ("solo_direct", {1: "win", 2: "loss"}), ("duo_direct", {1: "disengage", 2: "disengage"}),
-    ("solo_knocked_before", {1: "disengage", 2: "disengage"}),
-])
-def test_outcomes(sides, m, want):
-    assert outcomes(sides, m) == want
-
-
-def test_third_party_is_one_multi_team_fight(sides):
-    rows = by_match(sides)["third_party"]
-    assert {r["fight_id"] for r in rows} == {"third_party:0"} and all(r["multi_team"] for r in rows)
-
-
-def test_team_is_taken_at_hit_time(sides):
-    got = {r["t0"]: set() for r in by_match(sides)["team_change"]}
-    for r in by_match(sides)["team_change"]:
-        got[r["t0"]].add(r["team_index"])
-    assert got == {10.0: {1, 2}, 60.0: {1, 3}}
+from skirmish.plans import explore as ex, fights as fp, sweeps as sw
+from skirmish.schema import TABLES, assert_no_label_features, label_only
 
+NAMES = ("damage", "teams", "elims", "players", "matches", "positions")
 
-def test_only_opposing_player_damage_counts(sides):
-    assert "friendly" not in by_match(sides)
 
+def team_of(tables, match, player, t):
+    known = [(at, team) for m, at, p, team in tables.of("teams", match) if p == player and at <= t]
+    return max(known)[1] if known else None
 
-def test_gap_is_strict(sides):
-    assert sorted({(r["t0"], r["t_end"]) for r in by_match(sides)["gap_equal"]}) == [(0.0, 10.0), (20.01, 20.01)]
 
+def plain_hits(tables, match):
+    """(t, source, target, magnitude, source team, target team) of hits between two known teams."""
+    for _, t, s, g, d, *_ in tables.of("damage", match):
+        if s and g and s != g and d > 0:
+            a, b = team_of(tables, match, s, t), team_of(tables, match, g, t)
+            if a is not None and b is not None and a != b:
+                yield t, s, g, d, a, b
 
-@pytest.mark.parametrize("m,want", [("share_low", "poke"), ("share_mid", "fight"), ("exchange", "fight"), ("pick", "pick"), ("poke", "poke")])
-def test_engagement_types(sides, m, want):
-    assert kinds(sides, m) == {want}
 
+def plain_fights(tables, match, gap=10.0, tol=1.0):
+    """Lists of hits, one per fight: segments of a team pair, linked while they share a team and come close."""
+    pairs = defaultdict(list)
+    for h in sorted(plain_hits(tables, match), key=lambda h: h[0]):
+        runs = pairs[frozenset(h[4:])]
+        if runs and h[0] - runs[-1][-1][0] <= gap:
+            runs[-1].append(h)
+        else:
+            runs.append([h])
+    segments = [(pair, run) for pair, runs in pairs.items() for run in runs]
+    fight = list(range(len(segments)))
 
-def test_flags(sides):
-    rows = by_match(sides)
-    assert all(r["has_bots"] for r in rows["bots"] + rows["bot_name"]) and not any(r["has_bots"] for r in rows["exchange"])
-    assert not any(r["recorder_involved"] for r in rows["owner_away"])
+    def near(x, y):
+        (p, a), (q, b) = segments[x], segments[y]
+        return p & q and max(a[0][0], b[0][0]) - min(a[-1][0], b[-1][0]) <= tol
 
+    for x in range(len(segments)):
+        for y in range(x):
+            if fight[x] != fight[y] and near(x, y):
+                old, new = fight[x], fight[y]
+                fight = [new if f == old else f for f in fight]
+    out = defaultdict(list)
+    for f, (_, run) in zip(fight, segments):
+        out[f] += run
+    return sorted(out.values(), key=lambda hits: (min(h[0] for h in hits), min(min(h[4:]) for h in hits)))
 
-def test_distances(sides):
-    rows = by_match(sides)
-    assert rows["distance"][0]["dist_median_m"] == 50.0 and rows["distance"][0]["dist_max_m"] == 50.0
-    assert rows["stale"][0]["dist_median_m"] is None
 
-
-def test_primary_opponent_tie_goes_to_the_lowest_team(sides):
-    assert next(r for r in by_match(sides)["opponent_tie"] if r["team_index"] == 1)["opp_team_index"] == 2
-
-
-def test_overlap_tolerance(spark):
-    t = World().match("t", [(0, "A1", "B1", 10), (1, "B1", "A1", 10), (1.5, "B1", "C1", 10), (3, "C1", "B1", 10)]).match(
-        "u", [(0, "A1", "B1", 10), (1, "B1", "A1", 10), (3, "B1", "C1", 10)]).tables(spark)
-    for tol, want in ((0.0, {"t": 2, "u": 2}), (0.5, {"t": 1, "u": 2})):
-        hits = fp.group_fights(t["damage"], t["teams"], overlap_tol_s=tol, split=False)
-        got = {r["match_id"]: r["n"] for r in hits.groupBy("match_id").agg(F.count_distinct("fight_id").alias("n")).collect()}
-        assert got == want
-    with pytest.raises(ValueError):
-        fp.group_fights(t["damage"], t["teams"], overlap_tol_s=-1.0, split=False)
-
-
-def test_minority_share_and_direct_elims_are_parameters(spark):
-    t = World().match("share_mid", [(0, "A1", "B1", 85), (1, "B1", "A1", 15)]).match(
-        "duo_direct", EXCHANGE, [(2.5, "A1", "B1", False)]).tables(spark)
-    rows = fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], direct_elim_all_modes=True,
-                                poke_minority_share=0.2, split=False).collect()
-    assert kinds(rows, "share_mid") == {"poke"} and outcomes(rows, "duo_direct") == {1: "win", 2: "loss"}
-    assert rows[0]["dist_median_m"] is None and "poke20" in rows[0]["seg_version"]
+@pytest.fixture(scope="module")
+def tables():
+    return random_tables()
 
 
-def test_shuffled_input_and_split_plan_give_the_same_table(spark):
-    t = world().tables(spark)
-    args = [t[c] for c in ("damage", "teams", "elims", "players", "matches", "positions")]
-    plain = sorted(map(tuple, fp.build_fight_sides(*args, split=False).collect()), key=str)
-    shuffled = [d.orderBy(F.xxhash64(*d.columns)) for d in args]
+@pytest.fixture(scope="module")
+def sides(spark, tables):
+    t = tables.frames(spark)
+    return fp.build_fight_sides(*[t[n] for n in NAMES], split=False).collect()
+
+
+@pytest.mark.parametrize("gap,tol", [(10.0, 1.0), (3.0, 0.0), (0.0, 5.0)])
+def test_fights_equal_plain_linking(spark, tables, gap, tol):
+    t = tables.frames(spark)
+    hits = fp.group_fights(t["damage"], t["teams"], gap, tol, split=False)
+    got = {r["fight_id"]: (r["n"], r["a"], r["b"]) for r in hits.groupBy("fight_id").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).collect()}
+    want = {f"{m[0]}:{i}": (len(f), min(h[0] for h in f), max(h[0] for h in f)) for m in tables.rows["matches"] for i, f in enumerate(plain_fights(tables, m[0], gap, tol))}
+    assert got == want and len(got) > 20
+
+
+def test_sides_add_up_to_their_hits(tables, sides):
+    by = {(r["fight_id"], r["team_index"]): r for r in sides}
+    for m, owner in tables.rows["matches"]:
+        bots = {p for _, p, is_bot, _ in tables.of("players", m) if is_bot}
+        for i, hits in enumerate(plain_fights(tables, m)):
+            engaged = {p for h in hits for p in h[1:3]}
+            total = sum(h[3] for h in hits)
+            for team in {x for h in hits for x in h[4:]}:
+                r = by.pop((f"{m}:{i}", team))
+                dealt, taken = [h for h in hits if h[4] == team], [h for h in hits if h[5] == team]
+                assert (r["hits_dealt"], r["hits_taken"], r["damage_dealt"], r["damage_taken"]) == (len(dealt), len(taken), sum(h[3] for h in dealt), sum(h[3] for h in taken))
+                assert set(r["players"].split(";")) == {h[1] for h in dealt} | {h[2] for h in taken} and r["n_damage_events"] == len(dealt) + len(taken)
+                assert r["has_bots"] == any(p in bots or p.startswith("BOT_") for p in engaged) and r["recorder_involved"] == (owner in engaged)
+                against = defaultdict(float)
+                for h in dealt + taken:
+                    against[h[5] if h[4] == team else h[4]] += h[3]
+                assert against[r["opp_team_index"]] == max(against.values()) and r["multi_team"] == (len({x for h in hits for x in h[4:]}) > 2)
+                if not r["multi_team"]:
+                    weaker = min(r["damage_dealt"], r["damage_taken"])
+                    assert r["minority_damage_share"] == pytest.approx(weaker / total) and r["mutual"] == (weaker > 0)
+    assert not by
+
+
+def plain_events(tables, match):
+    """(t, killer team, victim team) of knocks, and of eliminations without an earlier knock where teams are of one."""
+    members = defaultdict(set)
+    for _, _, p, team in tables.of("teams", match):
+        members[team].add(p)
+    solo = all(len(x) < 2 for x in members.values())
+    knocks = [(e[1], e[3]) for e in tables.of("elims", match) if e[4]]
+    for _, ms, a, b, knocked in tables.of("elims", match):
+        direct = not knocked and not any(v == b and at <= ms for at, v in knocks)
+        if a and b and (knocked or solo and direct):
+            yield ms / 1000, team_of(tables, match, a, ms / 1000), team_of(tables, match, b, ms / 1000)
+
+
+def test_outcomes_of_two_teams_follow_their_first_knocks(tables, sides):
+    fights, seen = defaultdict(list), set()
+    for r in sides:
+        fights[r["fight_id"]].append(r)
+    for pair in fights.values():
+        if len(pair) != 2:
+            continue
+        a, b = pair
+        first = lambda x, y: min((t for t, k, v in plain_events(tables, a["match_id"]) if (k, v) == (x["team_index"], y["team_index"])
+                                  and a["t0"] <= t <= a["t_end"] + fp.GRACE_S), default=None)
+        mine, theirs = first(a, b), first(b, a)
+        if mine is None and theirs is None:
+            want = ("disengage", "disengage")
+        elif None not in (mine, theirs) and abs(mine - theirs) <= fp.TIE_S:
+            want = ("tie", "tie")
+        else:
+            want = ("win", "loss") if theirs is None or mine is not None and mine < theirs else ("loss", "win")
+        assert (a["outcome"], b["outcome"]) == want, (a, b)
+        kind = "fight" if a["minority_damage_share"] >= fp.POKE_MINORITY_SHARE else "poke" if want[0] == "disengage" else "pick"
+        assert a["engagement_type"] == b["engagement_type"] == kind
+        seen |= {want[0], kind}
+    assert {"disengage", "poke", "fight"} <= seen
+
+
+def test_distances_use_fresh_positions_only(tables, sides):
+    checked = 0
+    for m, _ in tables.rows["matches"]:
+        track = defaultdict(list)
+        for _, p, t, x, y, z, _ in tables.of("positions", m):
+            track[p].append((t, x, y, z))
+
+        def at(p, t):
+            near = max((q for q in track[p] if q[0] <= t), default=None)
+            return near[1:] if near and t - near[0] <= fp.HIT_POS_MAX_AGE_S else None
+
+        for i, hits in enumerate(plain_fights(tables, m)):
+            apart = [sum((u - v) ** 2 for u, v in zip(a, b)) ** 0.5 / 100 for h in hits if (a := at(h[1], h[0])) and (b := at(h[2], h[0]))]
+            for r in sides:
+                if r["fight_id"] == f"{m}:{i}":
+                    assert r["dist_max_m"] == (pytest.approx(max(apart)) if apart else None)
+                    checked += 1
+    assert checked == len(sides)
+
+
+def test_both_plans_and_any_row_order_give_the_same_table(spark, tables):
+    t = tables.frames(spark)
+    plain = sorted(map(str, fp.build_fight_sides(*[t[n] for n in NAMES], split=False).collect()))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        blocks = sorted(map(tuple, fp.build_fight_sides(*shuffled, split=True).collect()), key=str)
+        mixed = [t[n].orderBy(F.xxhash64(*t[n].columns)) for n in NAMES]
+        assert plain == sorted(map(str, fp.build_fight_sides(*mixed, split=True).collect()))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert plain == blocks
 
 
-def test_only_large_matches_take_the_split_plan(spark, monkeypatch):
-    monkeypatch.setattr(od, "HOT_ROWS", 4)
-    t = world().tables(spark)
-    names = ("damage", "teams", "elims", "players", "matches", "positions")
-    seen = {}
+def test_by_size_divides_the_matches(spark, tables, monkeypatch):
+    counts = sorted(len(tables.of("damage", m)) for m, _ in tables.rows["matches"])
+    monkeypatch.setattr(od, "HOT_ROWS", counts[len(counts) // 2])
+    t, seen = tables.frames(spark), {}
 
-    def build(tables, split):
-        seen[split] = {r["match_id"] for r in tables["damage"].select("match_id").distinct().collect()}
-        return {"sides": fp.build_fight_sides(*[tables[n] for n in names], split=split)}
+    def build(part, split):
+        seen[split] = {r["match_id"] for r in part["damage"].select("match_id").distinct().collect()}
+        return {"n": part["damage"].groupBy("match_id").count()}
 
-    both = sorted(map(str, od.by_size(build, t, ["damage"])["sides"].collect()))
-    assert both == sorted(map(str, fp.build_fight_sides(*[t[n] for n in names], split=False).collect()))
-    assert seen[True] == {"third_party", "friendly"} and "exchange" in seen[False] and not seen[True] & seen[False]
+    got = {r["match_id"]: r["count"] for r in od.by_size(build, t, ["damage"])["n"].collect()}
+    assert got == {m: len(tables.of("damage", m)) for m, _ in tables.rows["matches"]}
+    assert seen[True] and seen[False] and not seen[True] & seen[False]
 
 
-def test_later_rows_do_not_change_earlier_fights(spark):
-    w = World().match("m", EXCHANGE + [(60, "A1", "C1", 30), (61, "C1", "A1", 30)], [(2.5, "A1", "B1", True), (62, "A1", "C1", True)])
-    full, cut = w.tables(spark), w.tables(spark, lambda r: r[1] <= 5, lambda r: r[1] <= 5000)
-    got = [sorted(map(tuple, fp.build_fight_sides(
-        t["damage"], t["teams"], t["elims"], t["players"], t["matches"], split=False).where("fight_id = 'm:0'").collect())) for t in (full, cut)]
-    assert got[0] == got[1] and got[0]
+def test_fights_before_a_cut_do_not_see_what_follows(spark, tables):
+    cut = 60.0
+    t = tables.frames(spark)
+    early = {**t, "damage": t["damage"].where(F.col("t") <= cut), "elims": t["elims"].where(F.col("t_ms") <= cut * 1000)}
+    ended = F.col("t_end") + 15 < cut
+    rows = [sorted(map(str, fp.build_fight_sides(*[x[n] for n in NAMES], split=False).where(ended).collect())) for x in (t, early)]
+    assert rows[0] == rows[1] and rows[0]
 
 
-def test_empty_damage_gives_the_full_column_list(spark):
-    t = World().match("m", []).tables(spark)
-    out = fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], t["positions"], split=False)
-    assert out.columns == TABLES["fight_sides"].names and out.count() == 0
-
-
-def test_recorder_knock_coverage(spark):
-    w = World()
-    w.match("in", EXCHANGE, [(2.5, "A1", "B1", True)])
-    w.match("out", EXCHANGE, [(40, "A1", "B1", True), (2.5, "A2", "B2", True)])
-    w.match("direct", EXCHANGE, [(2.5, "A1", "B1", False)])
-    w.match("wrong_pair", EXCHANGE, [(1, "C1", "A1", True)])
-    t = w.tables(spark)
-    fs = fp.build_fight_sides(t["damage"], t["teams"], t["elims"], t["players"], t["matches"], split=False)
-    rows = fp.recorder_knock_coverage(t["elims"], fs, t["teams"], t["matches"], split=False).collect()
-    assert {(r["match_id"], r["in_fight"], r["covered"]) for r in rows} == {
-        ("in", True, True), ("out", False, False), ("wrong_pair", False, False)} and len(rows) == 3
-
-
-def test_label_columns_are_rejected_as_features():
-    fp.assert_no_label_features(["t0", "players"])
-    with pytest.raises(ValueError, match="outcome"):
-        fp.assert_no_label_features(["t0", "outcome"])
-
-
-def test_seg_version_formats_numbers_shortly():
-    assert fp.seg_version(gap_s=7.5, overlap_tol_s=0) == "v2-gap7.5-tol0-grace3-poke10-conv20"
+def test_nothing_to_group(spark, tables):
+    t = tables.frames(spark)
+    none = fp.build_fight_sides(t["damage"].limit(0), *[t[n] for n in NAMES[1:]], split=False)
+    assert none.columns == TABLES["fight_sides"].names and none.count() == 0
+    with pytest.raises(ValueError):
+        fp.group_fights(t["damage"], t["teams"], overlap_tol_s=-0.5, split=False)
+
+
+def test_reports_without_rows_or_known_teams_do_not_divide_by_zero(spark, tables):
+    t = tables.frames(spark)
+    facts = lambda d, k: {r["metric"]: r["value"] for r in ex.damage_facts(d, k).collect()}
+    assert facts(t["damage"].limit(0), t["teams"])["target_null"] is None
+    unresolved = facts(t["damage"], t["teams"].limit(0))
+    assert unresolved["team_resolved"] == 0.0 and unresolved["friendly"] is None
+    spans = fp.segment_spans(fp.team_pair_segments(fp.engagement_damage(t["damage"], t["teams"])))
+    assert {r["metric"]: r["value"] for r in ex.bot_report(t["teams"], t["players"].limit(0), spans).collect()}["bot_rows"] is None
+    # three teams in one exchange: no fight of two teams in any cell
+    three = spark.createDataFrame([("m", 0.0, "a", "b", 5.0), ("m", 0.5, "b", "c", 5.0), ("m", 0.5, "a", "c", 5.0)], "match_id string, t double, source string, target string, magnitude double")
+    roster = spark.createDataFrame([("m", 0.0, p, i) for i, p in enumerate("abc")], "match_id string, t double, player_id string, team_index long")
+    cell = sw.segmentation_sweep(three, roster, t["elims"].limit(0), t["matches"].limit(0), gaps=[5.0], tols=[1.0], graces=[1.0], split=False).first()
+    assert (cell["fights"], cell["multi"], cell["win"], cell["disengage"]) == (1, 1.0, 0.0, 0.0)
+
+
+def test_nearest_links_equal_all_pairs(spark, tables):
+    t = tables.frames(spark)
+    spans = fp.segment_spans(fp.team_pair_segments(fp.engagement_damage(t["damage"], t["teams"]), 3.0)).cache()
+    rows = [tuple(r) for r in spans.select("match_id", "team_a", "team_b", "seg_start", "seg_end").collect()]
+    for r in ex.third_party_links(spans).collect():
+        linked = sum(any(x[0] == y[0] and x[1:3] != y[1:3] and set(x[1:3]) & set(y[1:3]) and max(x[3], y[3]) - min(x[4], y[4]) <= r["link_window"] for y in rows) for x in rows)
+        assert (r["segments"], r["linked"]) == (len(rows), linked)
+
+
+def test_label_columns_are_known_by_their_marks():
+    assert {"outcome", "t_end", "mutual"} <= label_only("fight_sides") and "t0" not in label_only()
+    assert_no_label_features(["t0", "players", "opp_team_index"])
+    with pytest.raises(ValueError, match="damage_taken"):
+        assert_no_label_features(["players", "damage_taken"], "fight_sides")
+
+
+def test_parameter_set_names():
+    assert fp.seg_version(gap_s=0.25, overlap_tol_s=2, grace_s=1.5, poke_minority_share=0.3, poke_convert_s=45) == "v2-gap0.25-tol2-grace1.5-poke30-conv45"

@@ -1,4 +1,4 @@
-"""Piece scenarios and builder attribution."""
+"""Pieces on random builds against plain loops; builder attribution against all candidates."""
 
 import random
 
@@ -7,78 +7,58 @@ import pytest
 from skirmish.plans import pieces as pc
 
 BUILD = "match_id string, spawn_t double, path string, x double, y double, z double, yaw double, close_t double, team_index long"
-
-
-def builds(spark, rows):
-    return spark.createDataFrame([(m, float(t), p, float(x), 0.0, 0.0, 0.0, c if c is None else float(c), k) for m, t, p, x, c, k in rows], BUILD)
+SHAPES = ("Solid", "Floor", "DoorC", "Windows", "StairW", "RoofO", "ArchwayLarge")
 
 
 def wall(shape="Solid"):
     return f"PBWA_W1_{shape}_C"
 
 
-@pytest.fixture(scope="module")
-def scenario(spark):
-    b = builds(spark, [
-        ("dup", 10.00, wall(), 0, 10.02, None), ("dup", 10.05, wall(), 0, 50, 3),
-        ("edit", 1.0, wall(), 0, 5.0, 3), ("edit", 5.1, wall("ArchwayLarge"), 0, 8.0, 3), ("edit", 8.1, wall(), 0, 20, 3), ("edit", 9.0, wall(), 512, 20, 3),
-        ("slow", 1.0, wall(), 0, 5.0, 3), ("slow", 6.6, wall("DoorC"), 0, None, 3),
-        ("kinds", 1.0, wall(), 0, 5.0, 3), ("kinds", 5.1, "PBWA_W1_Floor_C", 0, 9, 3),
-        ("odd", 1.0, "Something_Else", 0, 5.0, 3),
-        ("team", 10, "PBWA_W1_Floor_C", 0, 30, 7), ("tool", 10, wall(), 0, 30, 7),
-        ("editor", 1.0, wall(), 0, 10, 7), ("editor", 10.1, wall("DoorC"), 0, 30, 7),
-        ("open", 10, wall(), 0, 30, None), ("far", 10, wall(), 0, 30, None), ("tool_far", 10, wall(), 0, 30, None), ("early", 1, wall(), 0, 30, None),
-        ("nobody", 10, wall(), 0, 30, 7), ("moved", 10, wall(), 0, 30, 7), ("wrong_team", 10, wall(), 0, 30, 9)])
-    positions = spark.createDataFrame(
-        [("team", 9.0, "enemy", 10.0), ("team", 9.0, "mate", 700.0), ("tool", 9.0, "shooter", 100.0), ("tool", 9.0, "holder", 500.0),
-         ("editor", 0.5, "a", 100.0), ("editor", 0.5, "b", 500.0), ("open", 9.0, "p", 300.0), ("open", 9.0, "q", 200.0), ("far", 9.0, "p", 900.0),
-         ("tool_far", 9.0, "near", 100.0), ("tool_far", 9.0, "tooled", 2000.0), ("early", 9.0, "p", 0.0), ("moved", 5.0, "x", 10.0), ("moved", 5.0, "y", 20.0),
-         ("wrong_team", 9.0, "p", 50.0), ("dup", 0.0, "z", 0.0)], "match_id string, t double, player_id string, x double")
-    positions = positions.selectExpr("*", "0.0D as y", "0.0D as z")
-    teams = spark.createDataFrame(
-        [("team", 0.0, "enemy", 4), ("team", 0.0, "mate", 7), ("tool", 0.0, "shooter", 7), ("tool", 0.0, "holder", 7), ("editor", 0.0, "a", 7),
-         ("editor", 0.0, "b", 7), ("moved", 0.0, "x", 7), ("moved", 6.0, "x", 2), ("moved", 6.0, "y", 7), ("wrong_team", 0.0, "p", 1)],
-        "match_id string, t double, player_id string, team_index long")
-    weapons = spark.createDataFrame(
-        [("tool", 8.0, "shooter", "B_Shotgun_Pump_Athena_C"), ("tool", 8.0, "holder", "DefaultBuildingTool_C"), ("editor", 0.0, "b", "DefaultBuildingTool_C"),
-         ("tool_far", 8.0, "tooled", "DefaultBuildingTool_C")], "match_id string, t double, player_id string, weapon_class string")
-    rows = pc.build_pieces(b, positions, teams, weapons, split=False).collect()
-    return {(r["match_id"], r["spawn_t"]): r for r in rows}
-
-
-def test_predicted_spawn_merges_into_the_confirmed_piece(scenario):
-    rows = [r for (m, _), r in scenario.items() if m == "dup"]
-    assert len(rows) == 1
-    assert [rows[0][c] for c in ("spawn_t", "close_t", "team_index", "kind", "material")] == [10.0, 50.0, 3, "wall", "wood"]
-
-
-def test_edit_and_reset(scenario):
-    assert [scenario["edit", t]["is_edit"] for t in (1.0, 5.1, 8.1, 9.0)] == [False, True, False, False]
-    assert [scenario["edit", t]["is_reset"] for t in (1.0, 5.1, 8.1, 9.0)] == [False, False, True, False]
-    assert scenario["edit", 5.1]["prev_shape"] == "Solid" and scenario["edit", 5.1]["prev_close_t"] == 5.0
-    assert not scenario["slow", 6.6]["is_edit"] and not scenario["kinds", 5.1]["is_reset"]
-
-
-def test_unknown_class_has_no_kind_but_counts_as_edited(scenario):
-    r = scenario["odd", 1.0]
-    assert (r["material"], r["shape"], r["kind"], r["edited"]) == (None, None, None, True)
-
-
-@pytest.mark.parametrize("key,builder,source,dist", [
-    (("team", 10.0), "mate", "team", 700.0), (("tool", 10.0), "holder", "team+tool", 500.0), (("editor", 10.1), "a", "team+nearest", 100.0),
-    (("open", 10.0), "q", "nearest", 200.0), (("far", 10.0), None, None, 900.0), (("tool_far", 10.0), None, None, 2000.0),
-    (("early", 1.0), None, None, float("inf")), (("nobody", 10.0), None, None, float("inf")), (("moved", 10.0), "y", "team", 20.0),
-    (("wrong_team", 10.0), "p", "nearest", 50.0),
-])
-def test_builders(scenario, key, builder, source, dist):
-    r = scenario[key]
-    assert (r["builder"], r["builder_source"], r["builder_dist"]) == (builder, source, dist)
-
-
-def test_kinds(spark):
-    rows = [("m", i, wall(s), 0, None, None) for i, s in enumerate(["RoofWall", "StairF", "BalconyI", "Windows", "RoofC", "Floor", "FloorX"])]
-    got = [r["kind"] for r in pc.classify(builds(spark, rows)).orderBy("spawn_t").collect()]
-    assert got == ["cone", "stair", "floor", "wall", "cone", "floor", "floor"]
+def builds(spark, rows):
+    return spark.createDataFrame([(m, float(t), p, float(x), 0.0, 0.0, 0.0, c if c is None else float(c), k) for m, t, p, x, c, k in rows], BUILD)
+
+
+def random_builds(seed, n=240):
+    """Pieces in a few slots, closing a moment before or after the next one appears."""
+    r = random.Random(seed)
+    rows = []
+    for m in ("p", "q"):
+        for slot in range(12):
+            t = r.uniform(1, 20)
+            for _ in range(n // 24):
+                stay = r.choice([0.5, 2.0, 4.0])
+                rows.append((m, round(t, 3), wall(r.choice(SHAPES)), 512 * slot, round(t + stay, 3), r.choice([None, 1, 2])))
+                t += stay + r.choice([0.0, 0.05, 0.4, 0.9, 1.1, 3.0])
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_edits_follow_a_piece_of_the_same_place_and_kind(spark, seed):
+    rows = random_builds(seed)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    out = pc.build_pieces(builds(spark, rows), empty("match_id string, t double, player_id string, x double, y double, z double"),
+                          empty("match_id string, t double, player_id string, team_index long"),
+                          empty("match_id string, t double, player_id string, weapon_class string"), split=False).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault((r["match_id"], r["x"], r["kind"]), []).append(r)
+    edits = 0
+    for same in slots.values():
+        same.sort(key=lambda r: r["spawn_t"])
+        for before, r in zip([None, *same], same):
+            if r["is_edit"] or r["is_reset"]:
+                edits += 1
+                assert before is not None and r["prev_shape"] == before["shape"] != r["shape"] and r["prev_close_t"] == before["close_t"]
+                assert r["prev_close_t"] <= r["spawn_t"] + 1.0 and not (r["is_edit"] and r["is_reset"])
+            if r["is_reset"]:
+                assert before["edited"] and not r["edited"]
+            assert r["builder"] is None and r["builder_dist"] == float("inf")
+    assert edits > 10 and {r["kind"] for r in out} == {"wall", "floor", "stair", "cone"}
+
+
+def test_what_is_no_building_piece_stays_without_kind(spark):
+    got = {r["path"]: (r["material"], r["shape"], r["kind"]) for r in pc.classify(builds(spark, [("m", 1, "Tree_C", 0, None, None), ("m", 2, "PBWA_S1_Solid_C", 0, None, 4)])).collect()}
+    assert got["Tree_C"] == (None, None, None) and got["PBWA_S1_Solid_C"] == ("brick", "Solid", "wall")
 
 
 def test_attribution_equals_brute_force_with_one_large_match(spark, split):

@@ -15,7 +15,8 @@ from skirmish.sources.telemetry import elims_table, finished_matches, load_table
 def test_registry_has_the_declared_tables():
     assert len(TABLES) == 20 and len(TABLES["fight_sides"].names) == 22 and len(TABLES["pokes"].names) == 16
     assert len(TABLES["matches"].names) == 25 and TABLES["players"].key == ("match_id", "player_id")
-    assert "events" not in PROCESSED and TABLES["positions"].schema["x"].metadata == {"unit": "uu"}
+    assert "events" not in PROCESSED and TABLES["positions"].schema["x"].metadata["unit"] == "uu"
+    assert all(f.metadata["comment"] for t in TABLES.values() for f in t.schema.fields) and all(t.notes and t.path and t.status for t in TABLES.values())
     assert TABLES["fight_sides"].schema["outcome"].metadata["label_only"]
 
 
@@ -23,16 +24,21 @@ def test_coerce_text_columns_and_validate(spark):
     raw = spark.createDataFrame([("m", "1.5", "A", "3"), ("m", "2", "A", "4")], "match_id string, t string, player_id string, team_index string")
     df = coerce(raw, "teams")
     assert [f.dataType for f in df.schema.fields] == [T.StringType(), T.DoubleType(), T.StringType(), T.LongType()]
-    assert problems(df, "teams") == [] and df.schema["t"].metadata == {"unit": "s"}
+    assert problems(df, "teams") == [] and df.schema["t"].metadata["unit"] == "s"
 
 
-def test_coerce_rules(spark):
-    raw = spark.createDataFrame(
-        [("1", "2.5", "x"), ("0", "3.5", "1e3"), (" TRUE ", "bad", "NaN"), ("", None, ""), ("False", "-0.5", "inf"), ("maybe", "7", "2")],
-        "downed string, channel string, x string").withColumn("other", F.lit("kept"))
-    got = [tuple(r) for r in coerce(raw, "positions").collect()]
-    assert got == [(True, 2, None, "kept"), (False, 4, 1000.0, "kept"), (True, None, None, "kept"), (None, None, None, "kept"),
-                   (False, 0, float("inf"), "kept"), (None, 7, 2.0, "kept")]
+def test_coercion_of_every_kind_of_text(spark):
+    """Flags, whole and real numbers, one text at a time."""
+    cases = {
+        "downed": {"true": True, "\tFALSE ": False, "1": True, "0": False, "yes": None, "2": None, "": None},
+        "channel": {"6.5": 6, "7.5": 8, "-1.5": -2, "12": 12, "12.0d": None, "1e2": 100, "one": None, "": None},
+        "x": {"1.25": 1.25, " 2 ": 2.0, ".5": 0.5, "5.": 5.0, "1.0d": None, "3f": None, "7D": None, "-Infinity": float("-inf"), "nan": None, "1,5": None, "1e-3": 0.001},
+    }
+    for column, texts in cases.items():
+        raw = spark.createDataFrame([(t,) for t in [*texts, None]], f"{column} string").withColumn("extra", F.lit("kept"))
+        got = coerce(raw, "positions").collect()
+        assert [r[column] for r in got] == [*texts.values(), None], column
+        assert all(r["extra"] == "kept" for r in got)
 
 
 def test_validate_reports_every_kind_of_problem(spark):
@@ -78,6 +84,60 @@ def test_load_table_unions_by_name_and_tags_matches(spark, tmp_path):
     assert {(r["match_id"], r["branch"]) for r in same.collect()} == {("m 1", "b"), ("m+2", "b"), ("empty", "b")}
 
 
+def test_headers_and_quoting_as_the_exporter_writes_them(spark, tmp_path):
+    """Line 1 of a file is its header, whatever the other files look like; quoted values may hold anything."""
+    d = str(tmp_path)
+    texts = {
+        "a": 'player_id,name,is_bot,team_index\nA,"x ""q"", y",0,3\nB,"two\nlines",1,4\nC,"ends in \\",0,5\n',
+        "b": '"team_index","a name, with comma",extra one,z1,z2,z3,player_id\n6,v,w,1,2,3,D\n',
+        "c": "is_bot,player_id\n1,E\nis_bot,player_id\n",
+        "d": 'name,player_id\n"",F\n',
+    }
+    for m, text in texts.items():
+        write(f"{d}/{m}/meta.csv", "branch\nb\n")
+        write(f"{d}/{m}/players.csv", text)
+    rows = {(r["match_id"], r["player_id"]): r for r in load_table(spark, d, "players").collect()}
+    assert len(rows) == 7
+    assert (rows["a", "A"]["name"], rows["a", "A"]["is_bot"], rows["a", "A"]["team_index"]) == ('x "q", y', False, 3)
+    assert rows["a", "B"]["name"] == "two\nlines" and rows["a", "C"]["name"] == "ends in \\" and rows["a", "C"]["team_index"] == 5
+    assert (rows["b", "D"]["team_index"], rows["b", "D"]["a name, with comma"], rows["b", "D"]["extra one"], rows["b", "D"]["z3"]) == (6, "v", "w", "3")
+    assert rows["c", "E"]["is_bot"] and rows["c", "player_id"]["is_bot"] is None and rows["d", "F"]["name"] is None
+    write(f"{d}/e/meta.csv", "branch\nb\n")
+    write(f"{d}/e/players.csv", "nothing,known\n1,2\n")
+    with pytest.raises(ValueError, match="e/players.csv"):
+        load_table(spark, d, "players")
+
+
+def test_manifest_keeps_quotes(spark, tmp_path):
+    rows = [("a.replay", "h", 1, "local_demos", "client", 'said "yes", twice', None, "t", "line\nbreak"), ("b.replay", "i", 2, "local_demos", "client", None, None, "t", None)]
+    manifest = coerce(spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'size_bytes' else 'string'}" for c in TABLES["manifest"].names)), "manifest")
+    ledger.write_manifest(manifest, f"{tmp_path}/manifest.csv")
+    assert sorted(map(str, ledger.load_manifest(spark, f"{tmp_path}/manifest.csv").collect())) == sorted(map(str, manifest.collect()))
+
+
+def test_scratch_needs_a_shared_folder(spark, tmp_path):
+    import types
+
+    from skirmish import session
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value or default
+
+    fake = lambda checkpoint, conf: types.SimpleNamespace(conf=Conf(conf), sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: checkpoint, applicationId="app"))
+    assert session.scratch_dir(fake("file:/one", "file:/two")) == "file:/one/app" and session.scratch_dir(fake(None, "file:/two/")) == "file:/two/app"
+    with pytest.raises(ValueError, match="share"):
+        session.scratch_dir(fake(None, None))
+    with session.stages(spark) as folder:
+        stored = session.materialize(spark.range(3))
+        assert stored.count() == 3 and folder in stored.inputFiles()[0].replace("///", "/")
+    with pytest.raises(Exception):
+        stored.count()
+
+
 def test_elims_table_rounds_half_even(spark):
     e = spark.createDataFrame([("m", 0.0005, "a", "b", None, 7), ("m", 0.0015, "a", "b", True, None)],
                               "match_id string, t double, eliminated string, eliminator string, knocked boolean, gun_type long")

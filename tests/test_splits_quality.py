@@ -20,22 +20,23 @@ def test_unit_hash_is_the_documented_number(spark):
     assert row["u"] == int(hashlib.sha256(f"salt:{row['id']}".encode()).hexdigest()[:12], 16) / 16**12
 
 
-def test_holdout(spark):
-    ids = spark.createDataFrame([(f"{i:032X}",) for i in range(5000)], "id string")
-    r = ids.select(sp.is_held_out_player("id").alias("a"), sp.is_held_out_player(F.lower("id")).alias("b"))
-    n, same = r.agg(F.count_if("a"), F.bool_and(F.col("a") == F.col("b"))).first()
-    assert same and 0.18 < n / 5000 < 0.22
-    edge = spark.createDataFrame([("BOT_257",), (None,)], "id string").select(sp.is_held_out_player("id", frac=1.0).alias("h"))
-    assert [x["h"] for x in edge.collect()] == [False, False]
-    assert spark.createDataFrame([("bot_257",)], "id string").select(sp.is_held_out_player("id", frac=1.0).alias("h")).first()["h"]
+def test_holdout_share_follows_the_fraction_and_spares_bots(spark):
+    ids = spark.range(4000).select(F.md5(F.col("id").cast("string")).alias("id"))
+    shares = ids.select(*[F.avg(sp.is_held_out_player("id", frac=f).cast("int")).alias(f"f{i}") for i, f in enumerate((0.05, 0.2, 0.5))],
+                        F.bool_and(sp.is_held_out_player("id") == sp.is_held_out_player(F.upper("id"))).alias("same")).first()
+    assert shares["same"] and all(abs(shares[f"f{i}"] - f) < 0.03 for i, f in enumerate((0.05, 0.2, 0.5)))
+    nested = ids.where(sp.is_held_out_player("id", frac=0.05) & ~sp.is_held_out_player("id", frac=0.2)).count()
+    assert nested == 0  # a larger share holds the smaller one
+    special = spark.createDataFrame([("BOT_x9",), (None,), ("x9",)], "id string").select(sp.is_held_out_player("id", frac=1.0).alias("h"))
+    assert [r["h"] for r in special.collect()] == [False, False, True]
 
 
-def test_chronological_split(spark):
-    m = spark.createDataFrame([(f"UnsavedReplay-2026.08.{d:02d}-12.00.00", None) for d in range(1, 21)], "match_id string, utc_start string")
-    rows = sp.chronological_split(m).collect()
-    by = {s: [r["start"] for r in rows if r["split"] == s] for s in ("train", "val", "test")}
-    assert {s: len(v) for s, v in by.items()} == {"train": 14, "val": 3, "test": 3}
-    assert max(by["train"]) < min(by["val"]) and max(by["val"]) < min(by["test"])
+def test_chronological_split_has_no_overlap_in_time(spark):
+    m = spark.range(97).selectExpr("concat('r', id) as match_id", "date_format(timestamp_seconds(1700000000 + (id * 7919 % 97) * 3600), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as utc_start")
+    rows = sp.chronological_split(m, val_frac=0.1, test_frac=0.25).collect()
+    by = {s: sorted(r["start"] for r in rows if r["split"] == s) for s in ("train", "val", "test")}
+    assert sum(map(len, by.values())) == 97 and abs(len(by["test"]) - 24) <= 1 and abs(len(by["val"]) - 10) <= 1
+    assert by["train"][-1] < by["val"][0] and by["val"][-1] < by["test"][0]
 
 
 def test_match_start_prefers_utc_and_unknown_goes_last(spark):
@@ -48,9 +49,11 @@ def test_match_start_prefers_utc_and_unknown_goes_last(spark):
     assert rows["none"] == rows["x-2026.02.30-00.00.00"] == "test" and rows["y"] == "train"
 
 
-def test_folds(spark):
-    df = spark.range(200).select(F.concat(F.lit("m"), "id").alias("m")).select(sp.cross_fit_fold("m").alias("f"))
-    assert {r["f"] for r in df.collect()} == set(range(5))
+def test_folds_are_even_and_by_match(spark):
+    df = spark.range(3000).selectExpr("concat('k', id % 1500) as m").select("m", sp.cross_fit_fold("m").alias("f"))
+    assert df.groupBy("m").agg(F.count_distinct("f").alias("n")).where("n > 1").count() == 0
+    sizes = [r["count"] for r in df.groupBy("f").count().collect()]
+    assert len(sizes) == 5 and min(sizes) > 450
 
 
 def test_rolling_origins(spark):
