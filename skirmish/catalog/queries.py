@@ -705,9 +705,9 @@ def j3_union_all(t):
 
 @query
 def j4_except(t):
-    seen = t.builds.select(fc.piece_shape("path").alias("shape"))
-    known = t.builds.where(F.col("team_index").isNull()).where(F.col("row_id") >= 1000000000).select(fc.piece_shape("path").alias("shape")).where("shape <> 'DoorC'")
-    return seen.distinct().join(known.distinct(), "shape", "left_anti")
+    """Shapes seen in a match, but not on any of its pieces without a team."""
+    seen = t.builds.select("match_id", fc.piece_shape("path").alias("shape"), "team_index")
+    return seen.select("match_id", "shape").distinct().join(seen.where(F.col("team_index").isNull()).select("match_id", "shape").distinct(), ["match_id", "shape"], "left_anti")
 
 
 @query
@@ -754,7 +754,7 @@ def k5_rolling_membership(t):
 # ------------------------------------------------------------------------------------------------------- quality
 @query
 def l1_damage_gate(t):
-    return rounded(ql.damage_vs_stats(t.damage, t.matches), "value")
+    return rounded(ql.with_verdict(ql.damage_vs_stats(t.damage, t.matches)), "value")
 
 
 @query
@@ -794,7 +794,7 @@ def l6_unexported(t):
 @query
 def l7_quality_report(t):
     out = ql.quality_report(damage=t.damage, matches=t.matches, positions=t.positions, elims=t.elims, teams=t.teams, fight_sides=t.sides,
-                            actor_classes=identity.class_counts(t.builds), manifest=replay_manifest(t), known_shapes=SHAPES_WITHOUT_DOORS, split=t.split)
+                            actor_classes=identity.class_counts(t.builds), manifest=replay_manifest(t), split=t.split)
     return rounded(out, "value")
 
 

@@ -110,7 +110,11 @@ def quality_report(*, damage: DataFrame, matches: DataFrame, positions: DataFram
         _counted(unknown_build_shapes(actor_classes, known_shapes), "unknown_build_shapes"),
         _counted(unexported_replays(manifest, matches), "unexported_replays"),
     ]
-    rows = reduce(lambda a, b: a.unionByName(b), metrics)
+    return with_verdict(reduce(lambda a, b: a.unionByName(b), metrics))
+
+
+def with_verdict(rows: DataFrame) -> DataFrame:
+    """Metric rows (gate, value, n) with `ok`, by the gate's own rule; a value that could not be measured fails."""
     v = F.col("value")
     rules = {
         "damage_corr": v >= GATES["damage_corr"],

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.schema import coerce, require_valid
-from skirmish.session import materialize
 
 
 def read_table(spark: SparkSession, directory: str, name: str, columns: Sequence[str] | None = None,
@@ -27,13 +27,37 @@ def clustered(df: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> list[str]:
-    """Coerce and validate all tables, then write one parquet dataset each. Nothing is written if any is invalid."""
-    # Staged once: validation and the final write read the staged files instead of computing every table twice.
-    typed = {name: materialize(coerce(df, name), name) for name, df in tables.items()}
-    require_valid(typed)
-    paths = []
-    for name, df in typed.items():
-        path = f"{directory.rstrip('/')}/{name}.parquet"
-        clustered(df).write.mode("overwrite").parquet(path)
-        paths.append(path)
-    return paths
+    """Coerce, validate and write all tables, one parquet dataset each. Nothing appears under `directory` if any is invalid.
+
+    Each table is written once, in its final order, to a staging folder beside the target; the staged files are validated
+    and then renamed.
+    """
+    directory = directory.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    staging = f"{directory}.staging-{uuid.uuid4().hex}"
+    try:
+        staged = {}
+        for name, df in tables.items():
+            typed = coerce(df, name)
+            clustered(typed).write.parquet(f"{staging}/{name}.parquet")
+            staged[name] = spark.read.schema(typed.schema).parquet(f"{staging}/{name}.parquet")
+        require_valid(staged)
+        return [_replace(spark, f"{staging}/{name}.parquet", f"{directory}/{name}.parquet") for name in tables]
+    finally:
+        path = _path(spark, staging)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _path(spark: SparkSession, text: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+
+
+def _replace(spark: SparkSession, source: str, target: str) -> str:
+    """Rename a folder, over an older one of that name."""
+    old, new = _path(spark, target), _path(spark, source)
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(old.getParent())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot rename {source} to {target}")
+    return target
