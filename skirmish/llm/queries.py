@@ -71,8 +71,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 SQL: dict[str, str] = {
     "op8_quality_rules": r"""
         with d as (select doc_id, source, coalesce(text, '') t from documents),
-        w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') ws,
-                list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+        w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
         win as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] x from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)),
         rep as (select doc_id, i, count(*) over (partition by doc_id, x) n from win),
         cov as (select doc_id, count(distinct i + k) n from rep, (select unnest([0, 1, 2]) k) where n > 1 group by doc_id),
@@ -90,8 +90,8 @@ SQL: dict[str, str] = {
           not base_failed and minor <= case when rate >= 0.5 then 0 else 1 end kept, round(rate, 6) host_rate
         from f join r on f.source is not distinct from r.source""",
     "op7_jaccard_join": r"""
-        with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') ws from documents),
-        sh as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+        sh as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
                  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end s from w),
         k as (select doc_id, len(s) n, case when len(s) > 0 then md5(array_to_string(list_sort(s), chr(10))) end set_id, s from sh),
         reps as (select set_id, min(doc_id) copy_id, count(*) copies, any_value(n) n, any_value(s) s from k where n > 0 group by set_id),
