@@ -26,18 +26,31 @@ def cut(text: str) -> list[str]:
 
 
 class FragmentEncoder:
-    """Ids of texts, through `encode` for lists of fragments. Holds at most `limit` fragments between two calls."""
+    """Ids of texts, through `encode` for lists of fragments. Holds at most `limit` fragments between two calls: beyond that it
+    forgets those used once, and if need be the rarer ones, since most distinct fragments never return."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.inner: defaultdict[str, int] = defaultdict()  # with a space before
         self.first: defaultdict[str, int] = defaultdict()
         self.known = 0
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        half = self.limit // 2
+        keep = self.uses >= 2
+        if keep.sum() > half:
+            keep = self.uses > np.partition(self.uses, -half)[-half]
+        number = np.cumsum(keep) - 1
+        flags = keep.tolist()
+        for name in ("inner", "first"):  # the order of numbers stays the order of insertion
+            setattr(self, name, defaultdict(None, {f: int(number[k]) for f, k in getattr(self, name).items() if flags[k]}))
+        self.ids = self.ids[spans_of(self.starts[keep], self.lengths[keep])]
+        self.lengths, self.uses = self.lengths[keep], self.uses[keep] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.known = len(self.lengths)
 
     def _codes(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of each fragment of each text, and the fragments per text."""
@@ -80,10 +93,13 @@ class FragmentEncoder:
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
         if self.known > self.limit:
-            self._clear()
+            self._forget()
         before = self.known
         codes, counts = self._codes(texts)
         self._learn(before)
+        uses = np.bincount(codes, minlength=self.known)
+        uses[:before] += self.uses
+        self.uses = uses
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         last = np.cumsum(counts)

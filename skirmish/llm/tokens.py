@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 
@@ -33,39 +34,40 @@ def rank_fragments(path: str) -> FragmentEncoder:
     return FragmentEncoder(lambda fragments: [encode(f) for f in fragments])
 
 
-#: Fragments joined into one text for the tokenizers library, which is slow to start on each of many short texts.
-JOINED = 2000
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in prints)
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
+
+
+#: Distinct pre-tokens that a task remembers beside its fragments.
+REMEMBERED = 150_000
 
 
 @lru_cache(maxsize=2)
 def library_fragments(path: str) -> FragmentEncoder:
-    """Ids of the tokenizers library. Fragments without white space are joined by line ends, whose id parts them again:
-    the pattern never joins a line end to a letter, digit or sign, nor to the single space before one."""
+    """Ids of the tokenizers library: its model encodes each distinct pre-token of the new fragments, in byte signs. Whole
+    fragments would go through the library's alignment of every character with its source, which takes most of its time."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    run = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    (line_end,), = run(["\n"])
-
-    def encode(fragments: list[str]) -> list:
-        words = [f.split() for f in fragments]
-        plain = [i for i, (f, w) in enumerate(zip(fragments, words)) if len(w) == 1 and f in (w[0], " " + w[0])]
-        out: list = [None] * len(fragments)
-        for k in range(0, len(plain), JOINED):
-            part = plain[k:k + JOINED]
-            ids = run(["\n".join([fragments[i] for i in part])])[0]
-            start = 0
-            for i in part[:-1]:
-                end = ids.index(line_end, start)
-                out[i] = ids[start:end]
-                start = end + 1
-            out[part[-1]] = ids[start:]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, run([fragments[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+    model, split, signs = Tokenizer.from_file(path).model, regex.compile(public_tokenizers.PATTERN).findall, _byte_signs()
+
+    tokenize = model.tokenize
+    known: dict[str, list[int]] = {}
+
+    def encode(fragments: list[str]) -> list[list[int]]:
+        if len(known) > REMEMBERED:
+            known.clear()
+        # one space and letters, or letters alone, are one pre-token
+        pieces = [None if f[1:].isalpha() and (f[0] == " " or f[0].isalpha()) else split(f) for f in fragments]
+        new = [x for x in dict.fromkeys(chain.from_iterable([f] if p is None else p for f, p in zip(fragments, pieces))) if x not in known]
+        for piece in new:
+            known[piece] = [t.id for t in tokenize((piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(signs)))]
+        return [known[f] if p is None else [i for x in p for i in known[x]] for f, p in zip(fragments, pieces)]
 
     return FragmentEncoder(encode)
