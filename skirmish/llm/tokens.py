@@ -48,25 +48,35 @@ REMEMBERED = 150_000
 @lru_cache(maxsize=2)
 def library_fragments(path: str) -> FragmentEncoder:
     """Ids of the tokenizers library: its model encodes each distinct pre-token of the new fragments, in byte signs. Whole
-    fragments would go through the library's alignment of every character with its source, which takes most of its time."""
+    fragments would go through the library's alignment of every character with its source, which takes most of its time; only
+    those that hold the content of an added token do, since the library takes that out before the pattern is applied."""
     import os
+    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
     from tokenizers import Tokenizer
 
-    model, split, signs = Tokenizer.from_file(path).model, regex.compile(public_tokenizers.PATTERN).findall, _byte_signs()
+    tokenizer = Tokenizer.from_file(path)
+    split, signs = regex.compile(public_tokenizers.PATTERN).findall, _byte_signs()
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.rstrip or re.search(r"\s", t.content) for t in added):
+        raise ValueError(f"{path}: an added token with white space in it or taken after it would be cut between fragments")
+    holds_added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)").search
 
-    tokenize = model.tokenize
+    tokenize, whole = tokenizer.model.tokenize, tokenizer.encode
     known: dict[str, list[int]] = {}
 
     def encode(fragments: list[str]) -> list[list[int]]:
         if len(known) > REMEMBERED:
             known.clear()
-        # one space and letters, or letters alone, are one pre-token
-        pieces = [None if f[1:].isalpha() and (f[0] == " " or f[0].isalpha()) else split(f) for f in fragments]
+        # one space and letters, or letters alone, are one pre-token; no pre-token of other fragments holds an added token
+        pieces = [None if f[1:].isalpha() and (f[0] == " " or f[0].isalpha()) or holds_added(f) else split(f) for f in fragments]
         new = [x for x in dict.fromkeys(chain.from_iterable([f] if p is None else p for f, p in zip(fragments, pieces))) if x not in known]
         for piece in new:
+            if holds_added(piece):
+                known[piece] = whole(piece, add_special_tokens=False).ids
+                continue
             known[piece] = [t.id for t in tokenize((piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(signs)))]
         return [known[f] if p is None else [i for x in p for i in known[x]] for f, p in zip(fragments, pieces)]
 

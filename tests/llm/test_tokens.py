@@ -32,6 +32,26 @@ def test_fragments_encode_like_whole_texts():
             assert got.tolist() == encode(t), t
 
 
+def test_added_tokens_are_taken_out_like_in_whole_texts(spark):
+    """The library takes the content of an added token out of a text before anything else, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    tokenizer, end, r = Tokenizer.from_file(TOKENIZER), "<|endoftext|>", random.Random(12)
+    texts = [end, f"end of one.{end}Start of two", f"{end}start", f"{end} start", f"stop{end}", f"stop {end}", f"wo{end}rd", f"a  {end}  b", f"{end}{end} {end}",
+             f"a\n{end}\n b", f"<|endof{end}text|>", "<|endoftext|", "< |endoftext|>", "<|endoftext |>"]
+    texts += ["".join(r.choice([*PARTS, end, "<|", "|>"]) for _ in range(r.randrange(30))) for _ in range(1000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = library_fragments(TOKENIZER)(texts)
+    for t, w, got in zip(texts, want, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == w, t
+    folder = scratch_path(spark, "test-tokens")
+    manifest = token_files.write_token_files(spark.createDataFrame(list(enumerate(texts[:14])), "doc_id long, text string"), folder)
+    place = 0
+    for r, w in zip(sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r["doc_id"]), want):
+        assert (r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (place, [*w, 2])
+        place += len(w) + 1
+
+
 def test_matrix_merges_equal_the_library():
     pairs, encode = byte_pairs.byte_pairs(RANKS), rank_encoder(RANKS).encode_ordinary
     texts = made(2000, 60, 2) + LONG
