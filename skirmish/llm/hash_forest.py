@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by a forest of long hash strings.
 
-Method (hash-prefix forest): in each of `TREES` trees every vector gets a string of `SYMBOLS` cross-polytope hashes (the
-nearest signed axis after a random rotation), read as a long number, so that a tree is the sorted array of its strings. A
+Method (hash-prefix forest): in each of `TREES` trees every vector gets a string of `SYMBOLS` hashes of one bit (the side of
+the axes of a random rotation it lies on), read as a long number, so that a tree is the sorted array of its strings. A
 query descends to its longest matching prefix in each tree; all trees then ascend together, one symbol at a time, until
-they hold `candidates` entries between them, and every vector below those prefixes is compared exactly. If even one symbol
-is too much to ask, the query ascends to the root, that is, to all vectors: small or odd cases are exact.
-
-Spark holds the trees as rows (tree, prefix, block, ids of a block of vectors), so a bucket of any size is many short lists
-and no pair of vectors is ever a row. Queries meet the blocks in chunks of `CHUNK` queries and about `BLOCK` vectors. Equal
-vectors are indexed once with their `k + 1` smallest ids, which is all that an answer can use. Everything is indexed and no
-bucket is capped. Recall on random 64-dimensional data, the worst case, is measured in the tests and the README.
+they hold enough distinct vectors between them, and every vector below those prefixes is compared exactly. Enough is
+`wanted` of the size of the index: the share a query has to see for a given recall falls only slowly as the index grows, so
+a fixed number would lose recall, and one bit a step keeps what is compared within about twice of what is asked for. If even one symbol is too much to ask, the query ascends to the root, that
+is, to all vectors: small or odd cases are exact.
+
+The level at which a query stops is found on the strings of about `SAMPLE` vectors, all of them if there are no more; the
+vectors compared are all those below the prefixes. The index is dealt into blocks of about `BLOCK` vectors, each with the
+sorted strings of its own; chunks of `CHUNK` queries meet every block and look up their prefixes there, so no list of
+candidates and no pair of vectors is ever a row. Equal vectors are indexed once with their `k + 1` smallest ids, which is all
+that an answer can use. Everything is indexed and no bucket is capped. Recall on random 64-dimensional data, the worst case,
+is measured in the README, on smaller data in the tests.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite parts, or differ in length from the most common
 length take no part; rows without an id neither. Several rows of one id count as one if equal; otherwise each takes part.
@@ -26,28 +30,42 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skirmish.llm.common import materialize
+from skirmish.llm.common import materialize, spans_of
 
-TREES, SYMBOLS, CANDIDATES = 64, 3, 4096
-BLOCK, CHUNK = 8192, 512
+TREES, SYMBOLS, CANDIDATES = 64, 30, 4096
+#: The distinct vectors a query has to reach in an index of n: FACTOR * n ** POWER, if that is more than CANDIDATES.
+FACTOR, POWER = 1.7, 0.85
+BLOCK, CHUNK, SAMPLE = 16384, 4096, 16384
 SEED = 17
 
 
 @lru_cache(maxsize=2)
-def _rotations(trees: int, symbols: int, width: int) -> np.ndarray:
+def _axes(trees: int, symbols: int, width: int) -> np.ndarray:
+    """(trees, width, symbols): columns of random rotations, a tree's own at right angles as far as the width goes."""
     random = np.random.default_rng(SEED)
-    return np.stack([np.linalg.qr(random.standard_normal((width, width)))[0] for _ in range(trees * symbols)]).astype(np.float32)
+    rotation = lambda: np.linalg.qr(random.standard_normal((width, width)))[0]
+    return np.stack([np.concatenate([rotation() for _ in range(-(-symbols // width))], 1)[:, :symbols] for _ in range(trees)]).astype(np.float32)
 
 
 def hash_strings(x: np.ndarray, trees: int, symbols: int) -> np.ndarray:
-    """(rows, trees) of long numbers: `symbols` base-2^12 digits each, the first digit highest."""
-    out = np.zeros((len(x), trees), np.int64)
+    """(rows, trees) of long numbers: `symbols` bits each, 30 at most, the first symbol highest."""
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    for t, rotation in enumerate(_rotations(trees, symbols, x.shape[1])):
-        y = unit @ rotation
-        axis = np.abs(y).argmax(1)
-        out[:, t // symbols] = out[:, t // symbols] << 12 | 2 * axis + (y[np.arange(len(y)), axis] < 0)
-    return out
+    values = 1 << np.arange(symbols - 1, -1, -1, dtype=np.int32)
+    return np.stack([(unit @ axes > 0) @ values for axes in _axes(trees, symbols, x.shape[1])], 1).astype(np.int32)
+
+
+def wanted(total: int, candidates: int = CANDIDATES) -> float:
+    """The distinct vectors that a query has to reach in an index of `total`."""
+    return max(candidates, FACTOR * total ** POWER)
+
+
+def stop_levels(strings: np.ndarray, sample: np.ndarray, symbols: int, need: float) -> np.ndarray:
+    """For each query the longest prefix, in symbols, below which all trees hold `need` distinct vectors of the sample."""
+    if need >= len(sample):
+        return np.zeros(len(strings), np.int32)
+    at = max(0, int(np.ceil(need)) - 1)
+    # the trees' longest common prefix with a vector is where their least difference begins
+    return np.array([symbols - int(np.partition((sample ^ s).min(1), at)[at]).bit_length() for s in strings], np.int32)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,10 +82,6 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return rows.filter(F.size("v") == (common["n"] if common else 0))
 
 
-def _prefix(string: Column, level: Column | int, symbols: int) -> Column:
-    return F.call_function("shiftrightunsigned", string, 12 * (F.lit(symbols) - level))
-
-
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES,
            symbols: int = SYMBOLS, candidates: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest found of each row that `is_query` (over vec_id) picks."""
@@ -77,75 +91,69 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     distinct = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vid", F.element_at("ids", 1)), "ann-vectors")
     total = distinct.count()
     blocks = max(1, -(-total // BLOCK))
-    block = F.pmod(F.xxhash64("vid", "v"), F.lit(blocks)).cast("int")
-    indexed = materialize(distinct.select("v", "ids", block.alias("block"), F.monotonically_increasing_id().alias("row")), "ann-index")
-    queries = materialize(rows.filter(is_query).distinct().withColumn("query", F.monotonically_increasing_id()), "ann-queries")
+    place = F.xxhash64("vid", "v")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h = hash_strings(_matrix(batch["v"]), trees, symbols)
+                strings = pa.ListArray.from_arrays(np.arange(0, h.size + 1, trees, dtype=np.int32), pa.array(h.ravel()))
+                yield pa.record_batch([*batch.columns, strings], [*batch.schema.names, "strings"])
+
+    placed = distinct.select("v", "ids", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64(place), F.lit(1 << 20)).alias("lot"))
+    indexed = materialize(placed.mapInArrow(hashed, "v array<double>, ids array<long>, block int, lot long, strings array<int>"), "ann-index")
+    sampled = indexed.filter(F.col("lot") < (1 << 20) * SAMPLE / max(total, 1)).select("strings").toArrow()["strings"]
+    sample = _matrix(sampled) if len(sampled) else np.zeros((0, trees), np.int32)
+    need = wanted(total, candidates) * len(sample) / max(total, 1)
+
+    def stopped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in hashed(batches):
+            level = stop_levels(_matrix(batch["strings"]), sample, symbols, need)
+            yield pa.record_batch([*batch.columns, pa.array(level, pa.int32())], [*batch.schema.names, "level"])
+
+    asked = rows.filter(is_query).distinct().withColumn("query", F.monotonically_increasing_id())
+    queries = materialize(asked.select("v", "query", "vec_id").mapInArrow(stopped, "v array<double>, query long, vec_id long, strings array<int>, level int"), "ann-queries")
     chunk_count = max(1, -(-queries.count() // CHUNK))
 
-    def strings(*carried: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if n := batch.num_rows:
-                    h = hash_strings(_matrix(batch["v"]), trees, symbols)
-                    tree = np.tile(np.arange(trees, dtype=np.int32), n)
-                    every = pa.array(np.repeat(np.arange(n), trees))
-                    yield pa.record_batch([pa.array(tree), pa.array(h.ravel()), *(batch[c].take(every) for c in carried)], ["tree", "string", *carried])
-        return run
-
-    entries = materialize(indexed.select("v", "row", "block").mapInArrow(strings("row", "block"), "tree int, string long, row long, block int"), "ann-strings")
-    probes = materialize(queries.select("v", "query").mapInArrow(strings("query"), "tree int, string long, query long"), "ann-probes")
-
-    # how many entries each query's trees hold below each prefix length, summed over the trees
-    sizes = entries.groupBy("tree", "string").agg(F.count("*").alias("n"))
-    levels = F.explode(F.sequence(F.lit(1), F.lit(symbols))).alias("level")
-    asked = probes.select("query", "tree", levels, "string").withColumn("prefix", _prefix(F.col("string"), F.col("level"), symbols)).drop("string")
-    held = sizes.select("tree", "n", "string", levels).groupBy("tree", "level", _prefix(F.col("string"), F.col("level"), symbols).alias("prefix")).agg(F.sum("n").alias("n"))
-    reach = asked.join(held, ["tree", "level", "prefix"]).groupBy("query", "level").agg(F.sum("n").alias("n")).filter(F.col("n") >= candidates)
-    depth = reach.groupBy("query").agg(F.max("level").alias("depth"))
-    stops = materialize(queries.select("query").join(depth, "query", "left").select("query", F.coalesce("depth", F.lit(0)).alias("level")), "ann-levels")
-
-    # the prefixes at which the queries stop, and the lists of ids below them; level 0 is the root, one list per block
-    wanted = probes.join(stops, "query").filter((F.col("level") > 0) | (F.col("tree") == 0)).select(
-        "query", "tree", "level", F.when(F.col("level") > 0, _prefix(F.col("string"), F.col("level"), symbols)).otherwise(F.lit(0)).alias("prefix"))
-    below = F.explode(F.sequence(F.lit(0), F.lit(symbols))).alias("level")
-    lists = (entries.select("tree", "string", "row", "block", below).filter((F.col("level") > 0) | (F.col("tree") == 0))
-             .withColumn("prefix", F.when(F.col("level") > 0, _prefix(F.col("string"), F.col("level"), symbols)).otherwise(F.lit(0)))
-             .join(wanted.select("tree", "level", "prefix").distinct(), ["tree", "level", "prefix"], "left_semi")
-             .groupBy("tree", "level", "prefix", "block").agg(F.collect_list("row").alias("rows")))
-    met = wanted.join(lists, ["tree", "level", "prefix"]).select("block", F.pmod("query", F.lit(chunk_count)).cast("int").alias("chunk"), "query", "rows")
-    asking = queries.select(F.pmod("query", F.lit(chunk_count)).cast("int").alias("chunk"), "query", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    vectors_side = indexed.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunk_count - 1))).alias("chunk"), "row", "v", "ids",
-                                  F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("query_id"))
-    queries_side = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "chunk", F.lit(None).cast("long").alias("row"), F.col("q").alias("v"),
-                                 F.lit(None).cast("array<long>").alias("ids"), "query", "query_id")
-
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    def none(kind: str, name: str) -> Column:
+        return F.lit(None).cast(kind).alias(name)
+
+    vectors_side = indexed.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunk_count - 1))).alias("chunk"), "v", "strings", "ids",
+                                  none("long", "query"), none("long", "query_id"), none("int", "level"))
+    queries_side = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("query", F.lit(chunk_count)).cast("int").alias("chunk"),
+                                  "v", "strings", none("array<long>", "ids"), "query", F.col("vec_id").alias("query_id"), "level")
+
+    def nearest(group: pa.Table) -> pa.Table:
         """Exact distances of the candidates in one block for one chunk of queries."""
-        query = left.filter(pa.compute.is_valid(left["query"]))
-        own = left.filter(pa.compute.is_valid(left["row"]))
+        query = group.filter(pa.compute.is_valid(group["query"]))
+        own = group.filter(pa.compute.is_null(group["query"]))
         out: list[tuple[int, int, int, float]] = []
-        if query.num_rows and own.num_rows and right.num_rows:
-            order = np.argsort(own["row"].to_numpy())
-            rows_, x, ids = own["row"].to_numpy()[order], _matrix(own["v"])[order], own["ids"].to_pylist()
-            wants = right["query"].to_numpy()
-            by = np.argsort(wants, kind="stable")
-            starts = np.searchsorted(wants[by], query["query"].to_numpy(), side="left")
-            ends = np.searchsorted(wants[by], query["query"].to_numpy(), side="right")
-            column = right["rows"].combine_chunks()
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            for q, qid, v, a, b in zip(query["query"].to_pylist(), query["query_id"].to_pylist(), _matrix(query["v"]), starts, ends):
-                if a == b:
-                    continue
-                found = np.unique(np.concatenate([flat[offsets[i]:offsets[i + 1]] for i in by[a:b]]))
-                at = np.searchsorted(rows_, found)
+        if (n := own.num_rows) and query.num_rows:
+            x, ids = _matrix(own["v"]), own["ids"].to_pylist()
+            h, level = _matrix(query["strings"]), query["level"].to_numpy()
+            below = symbols - level
+            order, starts, ends = np.empty((trees, n), np.int32), np.empty(h.shape, np.int64), np.empty(h.shape, np.int64)
+            for t, strings in enumerate(_matrix(own["strings"]).T):
+                order[t] = np.argsort(strings)
+                tree = strings[order[t]]
+                low = h[:, t].astype(np.int64) >> below << below
+                starts[:, t] = np.searchsorted(tree, low) + t * n
+                ends[:, t] = np.searchsorted(tree, low + (np.int64(1) << below)) + t * n
+            entries = order.ravel()
+            for i, (q, qid, v) in enumerate(zip(query["query"].to_pylist(), query["query_id"].to_pylist(), _matrix(query["v"]))):
+                if level[i]:
+                    hit = np.zeros(n, bool)
+                    hit[entries[spans_of(starts[i], ends[i] - starts[i])]] = True
+                    at = np.flatnonzero(hit)
+                else:
+                    at = np.arange(n)
                 distance = np.sqrt(((x[at] - v) ** 2).sum(1))
                 keep = np.flatnonzero(distance <= np.partition(distance, k)[k]) if len(distance) > k + 1 else np.arange(len(distance))
-                best = sorted((distance[i], j) for i in keep for j in ids[order[at[i]]] if j != qid)[:k]
-                out += [(q, qid, j, float(d)) for d, j in best]
+                best = sorted((distance[j], m) for j in keep for m in ids[at[j]] if m != qid)[:k]
+                out += [(q, qid, m, float(d)) for d, m in best]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                         ["query", "query_id", "vec_id", "score"])
 
-    left = vectors_side.unionByName(queries_side)
-    found = left.groupBy("block", "chunk").cogroup(met.groupBy("block", "chunk")).applyInArrow(nearest, "query long, query_id long, vec_id long, score double")
+    found = vectors_side.unionByName(queries_side).groupBy("block", "chunk").applyInArrow(nearest, "query long, query_id long, vec_id long, score double")
     best = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id")))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

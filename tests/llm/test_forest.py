@@ -48,3 +48,15 @@ def test_recall_without_the_root(spark):
     want = plain(rows, queries)
     recall = np.mean([len(got[q] & {v for v, _ in want[q]}) / 10 for q in queries])
     assert recall >= 0.9, recall
+
+
+def test_candidates_follow_the_index(spark):
+    """A number of candidates that is small for the index: the trees still ascend as far as its size asks, to distinct vectors."""
+    x = np.random.default_rng(3).normal(size=(6000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    got = {}
+    for row in hf.search(table(spark, rows), F.col("vec_id") % 200 == 0, candidates=64).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    want = plain(rows, [i for i in range(6000) if i % 200 == 0])
+    recall = np.mean([len(got.get(q, set()) & {v for v, _ in found}) / 10 for q, found in want.items()])
+    assert recall >= 0.9, recall
