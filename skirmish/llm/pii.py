@@ -5,7 +5,9 @@ account numbers); words near a span raise its score. Email, ip, card and phone s
 their score (`base`); account numbers and national ids are added where the score reaches `threshold`.
 
 The patterns are possessive and start only where a run of their first characters starts, so a scan is linear in the text
-and needs no recursion, however long a run is; the matches are those of the plain patterns.
+and needs no recursion, however long a run is; the matches of the `BASE` kinds are those of the plain patterns. An account
+number is looked for at every start of a run, with the exact length of its country (`IBAN_LENGTHS`), so neither the words
+after it nor a false start before it can hide it. Codes without a known length are taken as far as their signs go.
 
 Defined cases: a null text counts as empty and has no spans. Repeated rows and null doc_id are searched as they stand. Other
 columns are ignored here; `redact` keeps every column and replaces only the text. An empty table gives an empty table.
@@ -18,13 +20,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skirmish.llm.native import blocks_of, let, matches, piece, scan
 
 _RUN = "[A-Za-z0-9._%+-]"
+#: Account number lengths by country: the registry, then countries that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+_IBAN = "|".join([*(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()),
+                  rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"])
 #: Fixed patterns. A match may also start where the last one ended (\G), in the middle of a run.
 PATTERNS = {
     "email": rf"(?:(?<!{_RUN})|\G){_RUN}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=({_IBAN})(?![A-Za-z0-9]))[A-Z]",  # the number is group 1: numbers may overlap
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -58,6 +69,15 @@ def mod_97(value: Column) -> Column:
     return rest == 1
 
 
+def _proposed(text: Column, kind: str) -> Column:
+    """The matches of a kind as array<struct<start, end, value>>."""
+    found = matches(text, PATTERNS[kind])
+    if kind != "iban":
+        return found
+    numbers = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))
+    return F.zip_with(found, numbers, lambda m, n: F.struct(m["start"].alias("start"), (m["start"] + F.length(n)).alias("end"), n.alias("value")))
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         parts = F.transform(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
@@ -77,7 +97,7 @@ def spans(text: Column, threshold: float = 0.5) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def of(rank: int, kind: str) -> Column:
-        confirmed = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+        confirmed = F.filter(_proposed(text, kind), lambda m: _valid(kind, m["value"]))
 
         def scored(m: Column) -> Column:
             low = F.greatest(m["start"] - NEAR, F.lit(0))
