@@ -5,7 +5,8 @@ hashed with their text; Spark counts, per host, on how many distinct pages each
 `MIN_PAGES` pages and `MIN_SHARE` of the host's pages are deleted. Copies of a page count once, so repeated articles do
 not look like a template, and neither paragraphs nor what holds most of an article's text can be deleted. Elements
 that are never main text (navigation, forms, scripts, adverts, comments and so on) go by their tag, role or class, so that
-small hosts are cleaned too. Where a page has an article (else a main element), the text is what is inside.
+small hosts are cleaned too; by class or id only if they hold no article (outside another) or main element and less than half of the page's
+text, since layout wrappers carry such words as well. Where a page has an article (else a main element), the text is what is inside.
 
 Per host at most (subtrees per page) / MIN_SHARE hashes can recur, which bounds the list joined to its pages. Pages meet that
 list by a join salted by `SALT`, so a host with a third of all pages is dealt out; counts use partial aggregates.
@@ -58,7 +59,7 @@ class Page:
     """Elements of a page and the pieces of text in them, from one pass over the markup."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.drops, self.names = ["#"], [-1], [False], [""]
+        self.tags, self.parents, self.drops, self.names, self._marked = ["#"], [-1], [False], [""], [False]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, raw text
         self._stack, self._open, self._block = [0], Counter(), 0
         at, n = 0, len(source)
@@ -81,6 +82,8 @@ class Page:
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                     at = close.start() if close else n
         self._hashes: list[int] | None = None
+        if any(self._marked):
+            self._drop_marked()
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -102,16 +105,32 @@ class Page:
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         words = re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}") if found else []
         drop = (tag in DROPPED or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-                or tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words)
                 or tag == "article" and any(w in ("comment", "comments", "reply") for w in words))
         parent = self._stack[-1]
         self.tags.append(tag)
         self.parents.append(parent)
         self.drops.append(self.drops[parent] or drop)
         self.names.append(found.get("class", ""))
+        self._marked.append(tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words))
         self._stack.append(len(self.tags) - 1)
         self._open[tag] += 1
 
+    def _drop_marked(self) -> None:
+        """Drops the elements with a marked name, but for those that hold an article or main element or half of the page's text. An
+        article inside an article (a comment, most often) does not count."""
+        sizes, holds, within = [0] * len(self.tags), [False] * len(self.tags), [False] * len(self.tags)
+        for e in range(1, len(sizes)):
+            within[e] = within[self.parents[e]] or self.tags[self.parents[e]] == "article"
+        for e, _, text in self.pieces:
+            if not self.drops[e]:
+                sizes[e] += len(text.strip())
+        for e in range(len(sizes) - 1, 0, -1):
+            parent = self.parents[e]
+            sizes[parent] += sizes[e]
+            holds[parent] = holds[parent] or holds[e] or self.tags[e] in ("article", "main") and not (self.drops[e] or within[e])
+        for e in range(1, len(sizes)):
+            self.drops[e] = self.drops[e] or self.drops[self.parents[e]] or self._marked[e] and not holds[e] and 2 * sizes[e] < sizes[0]
+
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._block += 1

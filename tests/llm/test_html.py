@@ -55,3 +55,14 @@ def test_query_keeps_articles_whole(spark, sf):
         inside = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r["page_id"]], re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*(>|\Z)", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", inside)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_wrappers_with_marked_names_keep_the_article():
+    """Layout words in the names of what surrounds the text, with and without an article; small marked boxes still go."""
+    words, ad = "Main words of the page that go on for a while.", "<div class='ad'>Buy</div>"
+    for name in ("class='layout has-sidebar'", "class='header-fixed'", "id='page' class='no-comments'"):
+        for inner in (f"<article><p>{words}</p>{ad}</article>", f"<main><p>{words}</p>{ad}</main>", f"<p>{words}</p>{ad}"):
+            page = html_text.Page(f"<html><head><script>{'x' * 500}</script></head><body><div {name}><div {name}>{inner}</div></div><p>End</p></body></html>")
+            assert page.text().split("\n")[0] == words and "Buy" not in page.text(), (name, inner)
+    short = html_text.Page(f"<body><div class='has-sidebar'><article>Short</article></div><p>{words}</p></body>")
+    assert short.text() == "Short"
