@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skirmish.llm import byte_pairs, classifier, edit_counts, hash_forest, html_text, jaccard_join, packing, pii, rules, token_files
+from skirmish.llm import (
+    byte_pairs, classifier, edit_counts, forced_cuts, hash_forest, html_text, importance, jaccard_join, packing, pii, rules, token_files, zone_clusters,
+)
 from skirmish.llm.common import read
 from skirmish.session import scratch_path
 
@@ -64,10 +66,34 @@ def op10_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_pii, op2_hash_forest, op3_byte_bpe, op4_best_fit, op5_token_files, op6_html_text, op7_jaccard_join, op8_quality_rules, op9_edit_counts, op10_neighbour_vote)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.cluster(read(spark, sf_dir, "embeddings"))
+
 
-#: The rules and the join, said again in SQL over the same tables.
+def op13_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = forced_cuts.decode_documents(forced_cuts.encode_documents(read(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_pii, op2_hash_forest, op3_byte_bpe, op4_best_fit, op5_token_files, op6_html_text, op7_jaccard_join, op8_quality_rules, op9_edit_counts, op10_neighbour_vote,
+    op11_importance, op12_zone_clusters, op13_forced_cuts)}
+
+_DISTANCE = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+#: One round: each vector to its nearest centroid, each centroid to the floor of its mean.
+_ROUND = """
+        near{after} as (select row, any_value(v) v, arg_min(c, d * 16 + c) c from (select row, v, c, {distance} d from v, m{before}) group by row),
+        parts{after} as (select c, i, sum(v[i])::bigint s, count(*) n from near{after}, (select unnest(range(1, 65)) i) group by c, i),
+        m{after} as (select c, coalesce(x.m, m{before}.m) m from m{before}
+                     left join (select c, list((s - ((s % n) + n) % n) // n order by i) m from parts{after} group by c) x using (c))""".replace("{distance}", _DISTANCE)
+
+#: The rules, the join, the draw and the clusters, said again in SQL over the same tables.
 SQL: dict[str, str] = {
     "op8_quality_rules": r"""
         with d as (select doc_id, source, coalesce(text, '') t from documents),
@@ -105,4 +131,36 @@ SQL: dict[str, str] = {
         select k.doc_id, coalesce(c.class_id, k.doc_id) class_id, coalesce(r.copy_id, k.doc_id) copy_id,
           coalesce(r.copies - 1 + coalesce(lk.docs, 0), 0)::bigint n_links, coalesce(lk.texts, 0)::bigint n_text_links
         from k left join reps r using (set_id) left join cls c on c.copy_id = r.copy_id left join lk on lk.copy_id = r.copy_id""",
+    "op11_importance": r"""
+        with crc_table as (select list(list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b) t
+                           from (select unnest(range(256)) b)),
+        w as (select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from documents),
+        q as (select list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from benchmark),
+        terms as (select distinct x from (select unnest(ws) x from w union all select unnest(ws) from q)),
+        signs as (select x, list_transform(range(1, length(hex(x)), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(hex(x), i, 1)) - 1)
+                    + instr('0123456789ABCDEF', substr(hex(x), i + 1, 1)) - 1) bs from terms),
+        hashed as (select x, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 bucket from signs, crc_table),
+        s as (select bucket, count(*) n from (select unnest(ws) x from w) join hashed using (x) group by bucket),
+        t as (select bucket, count(*) n from (select unnest(ws) x from q) join hashed using (x) group by bucket),
+        gains as (select h.x, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+                    / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint g
+                  from hashed h left join s using (bucket) left join t using (bucket)),
+        docs as (select row_number() over () row, doc_id, ws from w),
+        sums as (select row, sum(g)::bigint g from (select row, unnest(ws) x from docs) join gains using (x) group by row),
+        scored as (select doc_id, len(ws)::bigint n_features, coalesce(g, 0) weight, row,
+                     coalesce(g, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+                   from docs left join sums using (row)),
+        placed as (select row, row_number() over (order by score desc, doc_id) rank, count(*) over () n from scored where n_features >= 20)
+        select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end rank from scored left join placed using (row)""",
+    "op12_zone_clusters": f"""
+        with v as (select row_number() over () row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        m0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 c, v m from v qualify c < 16),
+        {",".join(_ROUND.format(before=i, after=i + 1) for i in range(3))},
+        last as (select row, vec_id, {_DISTANCE} distance, c, m from v, m3),
+        b as (select * from last qualify row_number() over (partition by row order by distance, c) = 1)
+        select vec_id, c::int "cluster", distance, (sum(distance) over (partition by c))::bigint cluster_inertia, (sum(distance) over ())::bigint inertia,
+          sha256(array_to_string(m, ',')) centroid_sha256 from b""",
 }
