@@ -15,6 +15,7 @@ keeps every column. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,14 +40,15 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIM
 
 
-@lru_cache(maxsize=20_000)
+#: The kind of each ASCII sign, and runs of one kind.
+_KINDS = {c: "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "0" if chr(c).isdigit() else chr(c) for c in range(128)}
+_REPEATS = re.compile(r"(.)\1+", re.S)
+
+
 def _shape(word: str) -> str:
-    out: list[str] = []
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    """The whole word with each run of capitals as A, of other letters as a, of digits as 0, and of any other sign as that sign."""
+    kinds = word.translate(_KINDS) if word.isascii() else "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
+    return _REPEATS.sub(r"\1", kinds)
 
 
 def _features(fragments: list[str]) -> list[list[int]]:

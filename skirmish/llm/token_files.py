@@ -5,8 +5,9 @@ the levels. Level k holds the k-th 8-bit chunk (lowest first) of every id that h
 a continuation bit, and every 512 bits a rank directory says how many bits were set before; the place of an id's next chunk
 is the rank of its bit. A range of ids is contiguous on every level, so ranges are decoded at once.
 
-Shards are ranges of doc_id, so that reading them in order gives the corpus in ascending doc_id order (nulls first, equal ids
-by length and content). A task writes a shard under a name of its own and renames it: a repeated attempt gives the same bytes.
+Rows are range-partitioned by doc_id and encoded where they are written, so that reading the shards in order gives the corpus in
+ascending doc_id order (nulls first, equal ids in the order of the input). A task closes a shard whenever it holds `SHARD_IDS`
+ids, whatever the size of its range; it writes under a name of its own and renames: a repeated attempt gives the same bytes.
 
 Defined cases: null and empty texts hold the end id only. Repeated rows are all stored. Other columns are ignored. An empty
 table gives no shard.
@@ -21,17 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skirmish.llm.byte_pairs import binaries
-from skirmish.llm.common import chunks, materialize, text_values
+from skirmish.llm.common import CHUNK_CHARS, chunks, materialize, text_values
 from skirmish.llm.tokens import TOKENIZER, library_fragments
 
 MAGIC = b"DAC1"
 HEADER = struct.Struct("<4sIQQI")  # magic, levels, documents, ids, 0
 SAMPLE = 512  # bits between two entries of a rank directory
-#: Text bytes per shard.
-SHARD_BYTES = 32 << 20
+#: Ids per shard: a shard is closed with the batch of documents that reaches this.
+SHARD_IDS = 8 << 20
 #: Ids decoded at once while reading a whole shard.
 READ_IDS = 1 << 20
 
@@ -131,61 +133,48 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = 2, shard_bytes_: int = SHARD_BYTES,
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = 2, shard_ids: int = SHARD_IDS,
                       key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the shards; returns the stored manifest (shard, path, documents, ids), one row per shard."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(1, -(-size // shard_bytes_)))
-    # A bound per shard: the list grows with the bytes of text / shard_bytes_, not with the rows.
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 100 * shards))).first()[0] if shards > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = library_fragments(tokenizer)
-        for batch in chunks(batches):
-            ids, counts = run(text_values(batch["text"]))
-            with_end = np.insert(ids, np.cumsum(counts), end_id).astype("<u2" if max(end_id, int(ids.max(initial=0))) < 1 << 16 else "<u4")
-            keys = np.array(batch["doc_id"].fill_null(np.iinfo(np.int64).min))
-            shard = np.searchsorted(bounds, keys, side="left").astype(np.int32)
-            width = pa.array(np.full(len(keys), with_end.itemsize, np.int32))
-            yield pa.record_batch([pa.array(shard), batch["doc_id"], width, binaries(with_end, counts + 1)], ["shard", "doc_id", "width", "ids"])
-
-    def store(target: fs.FileSystem, base: str, shard: int, keys: list, ids: list[np.ndarray]) -> tuple:
-        final = f"{base}/shard-{shard:08d}.dac"
-        own = f"{base}/.{uuid.uuid4().hex}"
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    """Write the shards; returns the stored manifest (part, shard, path, documents, ids), one row per shard, in corpus order by
+    (part, shard)."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("turn"))
+    # equal and null ids are told apart by their place, so that no id makes a large range; finding the bounds reads ids only
+    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id"), "turn").sortWithinPartitions(F.asc_nulls_first("doc_id"), "turn")
+
+    def store(target: fs.FileSystem, base: str, part: int, shard: int, keys: list, counts: list[np.ndarray], ids: list[np.ndarray]) -> tuple:
+        name, own = f"part-{part:06d}-shard-{shard:06d}.dac", f"{base}/.{uuid.uuid4().hex}"
+        flat = np.concatenate(ids)
         with target.open_output_stream(own) as out:
-            for part in shard_bytes(keys, counts, np.concatenate(ids)):
-                out.write(part)
-        target.move(own, final)
-        return shard, final.rpartition("/")[2], len(keys), int(counts.sum())
+            for piece in shard_bytes(keys, np.concatenate(counts), flat):
+                out.write(piece)
+        target.move(own, f"{base}/{name}")
+        return part, shard, name, len(keys), len(flat)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = filesystem(folder)
         target.create_dir(base, recursive=True)
-        now, keys, ids, done = None, [], [], []
-        for batch in batches:
-            for shard, doc, width, raw in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "width", "ids"))):
-                if shard != now and keys:
-                    done.append(store(target, base, now, keys, ids))
-                    keys, ids = [], []
-                now = shard
-                keys.append(doc)
-                ids.append(np.frombuffer(raw, f"<u{width}"))
+        part, run = TaskContext.get().partitionId(), library_fragments(tokenizer)
+        keys, counts, ids, held, done = [], [], [], 0, []
+        for batch in chunks(batches, limit=min(CHUNK_CHARS, 4 * shard_ids)):
+            flat, n = run(text_values(batch["text"]))
+            keys += batch["doc_id"].to_pylist()
+            ids.append(np.insert(flat, np.cumsum(n), end_id))
+            counts.append(n + 1)
+            held += len(ids[-1])
+            if held >= shard_ids:
+                done.append(store(target, base, part, len(done), keys, counts, ids))
+                keys, counts, ids, held = [], [], [], 0
         if keys:
-            done.append(store(target, base, now, keys, ids))
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))],
-                                         ["shard", "path", "documents", "ids"])
+            done.append(store(target, base, part, len(done), keys, counts, ids))
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+                                         ["part", "shard", "path", "documents", "ids"])
 
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, width int, ids binary")
-    placed = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.length("ids"), "ids")
-    return materialize(placed.mapInArrow(write, "shard int, path string, documents long, ids long"), "token-shards")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(write, "part int, shard int, path string, documents long, ids long"), "token-shards")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, ids): every stored document, its first id's place in the corpus, its ids as unsigned 32-bit."""
-    before = F.coalesce(F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per shard
+    before = F.coalesce(F.sum("ids").over(W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per shard
     shards = manifest.select("path", before.alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,4 +193,4 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         first = last
 
     n = max(1, manifest.count())
-    return shards.repartition(n, "path").mapInArrow(run, "doc_id long, start long, ids binary")
+    return shards.repartition(n).mapInArrow(run, "doc_id long, start long, ids binary")

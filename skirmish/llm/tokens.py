@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import chain
 
 import public_tokenizers
 
@@ -41,43 +40,33 @@ def _byte_signs() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
 
 
-#: Distinct pre-tokens that a task remembers beside its fragments.
-REMEMBERED = 150_000
-
-
 @lru_cache(maxsize=2)
 def library_fragments(path: str) -> FragmentEncoder:
-    """Ids of the tokenizers library: its model encodes each distinct pre-token of the new fragments, in byte signs. Whole
-    fragments would go through the library's alignment of every character with its source, which takes most of its time; only
-    those that hold the content of an added token do, since the library takes that out before the pattern is applied."""
+    """Ids of the tokenizers library for a byte-level file. Its own pipeline keeps the source of every character, which takes most of
+    its time. Where the file's merges come in the order of their ids (checked here), merging by rank over the same vocabulary gives
+    the same ids; tests hold both against each other for every code point and every token. Fragments that hold the content of an
+    added token go to the library, which takes that out before the pattern is applied."""
+    import json
     import os
     import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
+    import tiktoken
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, signs = model["vocab"], {chr(s): b for b, s in _byte_signs().items()}
+    merged = [vocab[a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    if odd or any(a >= b for a, b in zip(merged, merged[1:])) or len(vocab) != 256 + len(merged):
+        raise ValueError(f"{path}: not a plain byte-level model with merges in the order of ids {odd}")
     tokenizer = Tokenizer.from_file(path)
-    split, signs = regex.compile(public_tokenizers.PATTERN).findall, _byte_signs()
     added = tokenizer.get_added_tokens_decoder().values()
     if any(t.rstrip or re.search(r"\s", t.content) for t in added):
         raise ValueError(f"{path}: an added token with white space in it or taken after it would be cut between fragments")
     holds_added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)").search
-
-    tokenize, whole = tokenizer.model.tokenize, tokenizer.encode
-    known: dict[str, list[int]] = {}
-
-    def encode(fragments: list[str]) -> list[list[int]]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        # one space and letters, or letters alone, are one pre-token; no pre-token of other fragments holds an added token
-        pieces = [None if f[1:].isalpha() and (f[0] == " " or f[0].isalpha()) or holds_added(f) else split(f) for f in fragments]
-        new = [x for x in dict.fromkeys(chain.from_iterable([f] if p is None else p for f, p in zip(fragments, pieces))) if x not in known]
-        for piece in new:
-            if holds_added(piece):
-                known[piece] = whole(piece, add_special_tokens=False).ids
-                continue
-            known[piece] = [t.id for t in tokenize((piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(signs)))]
-        return [known[f] if p is None else [i for x in p for i in known[x]] for f, p in zip(fragments, pieces)]
-
-    return FragmentEncoder(encode)
+    names = {t.content for t in added}
+    ranks = {bytes(map(signs.__getitem__, name)): i for name, i in vocab.items() if name not in names}
+    plain, whole = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, tokenizer.encode
+    return FragmentEncoder(lambda fragments: [whole(f, add_special_tokens=False).ids if holds_added(f) else plain(f) for f in fragments])

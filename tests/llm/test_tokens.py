@@ -9,7 +9,7 @@ from pyarrow import fs
 
 from skirmish.llm import byte_pairs, edit_counts, packing, queries, token_files
 from skirmish.llm.fragments import FragmentEncoder
-from skirmish.llm.tokens import RANKS, TOKENIZER, library_fragments, rank_encoder
+from skirmish.llm.tokens import RANKS, TOKENIZER, library_fragments, rank_encoder, ranks_of
 from skirmish.session import scratch_path
 
 PARTS = [" ", "  ", "\n", "\t", "a", "bc", "é", "1", "23", "!", "..", "'s", "'re", " ", "　", "😀", "\r\n", "ß", "中", "the", "ing", "THE"]
@@ -78,10 +78,12 @@ def test_token_files(spark):
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = made(200, 40, 5)
+    texts[5], texts[90] = "end.<|endoftext|>Start", "<|endoftext|> x<|endoftext|>"
     rows = [(7 * i % 200, t) for i, t in enumerate(texts)] + [(None, "null id"), (500, None), (501, "twice"), (501, "twice")]
+    rows += [(None, "null id")] * 60 + [(501, "twice")] * 60
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     folder = scratch_path(spark, "test-tokens")
-    manifest = token_files.write_token_files(docs, folder, shard_bytes_=800)
+    manifest = token_files.write_token_files(docs, folder, shard_ids=200)
     got = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r["start"])
     want, place = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), 0
     assert manifest.count() > 3 and len(got) == len(want)
@@ -91,6 +93,19 @@ def test_token_files(spark):
         place += len(ids)
 
 
+def test_both_libraries_agree_on_the_vocabulary():
+    """Merging by rank gives the library's ids for every token that is a text, and for every code point inside a word and alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer, run = Tokenizer.from_file(TOKENIZER), library_fragments(TOKENIZER)
+    texts = [t.decode() for t in ranks_of(RANKS) if t.decode(errors="ignore").encode() == t]
+    texts += [f"a{chr(c)}1 {chr(c)}." for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    ids, counts = run(texts)
+    ends = np.cumsum(counts)
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(ids[e - n:e].tolist() == w.ids for e, n, w in zip(ends, counts, want))
+
+
 @pytest.mark.parametrize("ids", [[], [5], [255, 256, 70000, 1 << 25, 0, 3], [i * 37 % 60000 for i in range(5000)]])
 def test_shard_gives_any_token(tmp_path, ids):
     path = str(tmp_path / "s.dac")
