@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skirmish.catalog import planned_sql
+
 # Tables derived from `events` and `orders`, in dependency order. FIXTURES.md section 2.
 BASE = {
     "ev": """select event_id, concat('m', lpad(cast(user_id // 12 as varchar),4,'0')) as match_id,
@@ -233,7 +235,7 @@ def _words(sql: str) -> set[str]:
 
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     """`sql` preceded by the definitions it needs."""
-    defs = {**ALL, **(extra or {})}
+    defs = {**ALL, **planned_sql.DEFS, **(extra or {})}
     needed: set[str] = set()
     todo = [w for w in _words(sql) if w in defs]
     while todo:
@@ -531,7 +533,8 @@ def _m7() -> tuple[str, dict[str, str]]:
 def oracle_sql() -> dict[str, str]:
     """Full SQL text per query."""
     h = {"h": "select * from hits0 where target is not null and source <> target and magnitude > 0"}
-    out = {name: with_ctes(sql, h if name == "m4_damage_facts" else None) for name, sql in SQL.items()}
+    out = {name: with_ctes(sql) for name, sql in planned_sql.SQL.items()}
+    out |= {name: with_ctes(sql, h if name == "m4_damage_facts" else None) for name, sql in SQL.items()}
     for name, (sql, extra) in {"m1_segmentation_sweep": sweep_sql(), "m3_convert_sweep": _m3(), "m7_merge_windows": _m7()}.items():
         out[name] = with_ctes(sql, extra)
     return out

@@ -97,6 +97,29 @@ class Telemetry:
               cast((event_id * 59) % 2003 as double), cast((event_id % 5) * 100 as double), false,
               case k % 3 when 0 then true end from {ev} where event_id % 2 = 0""", ev=self.ev)
 
+    @cached_property
+    def poses(self) -> DataFrame:
+        """Positions with a view direction in whole degrees."""
+        return self.positions.withColumn("yaw", (F.col("row_id") * 73 % 360 - 180).cast("double"))
+
+    @cached_property
+    def placed_pieces(self) -> DataFrame:
+        """Pieces with a known builder, and where they stand."""
+        return self.sql("""
+            select event_id as row_id, match_id, player as builder, t as spawn_t,
+              case event_id % 4 when 3 then null else t + cast(5 + event_id % 90 as double) end as close_t,
+              cast((event_id * 37) % 2001 as double) as x, cast((event_id * 53) % 2003 as double) as y, cast((event_id % 7) * 100 as double) as z
+            from {ev} where event_type in ('view','purchase')""", ev=self.ev)
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        """Four storm phases per match."""
+        return self.sql("""
+            select match_id, cast(60 + 150 * k + n % 7 * 5 as double) as start_shrink, cast(120 + 150 * k + n % 7 * 5 as double) as finish_shrink,
+              cast(2000 as double) / power(2, k) as radius, cast(1000 as double) / power(2, k) as next_radius,
+              cast(800 + (n * 31 + k * 170) % 400 as double) as next_x, cast(800 + (n * 57 + k * 230) % 400 as double) as next_y
+            from (select match_id, cast(substr(match_id, 2) as int) as n, explode(sequence(0, 3)) as k from {ids}) m""", ids=self.match_ids)
+
     @cached_property
     def players(self) -> DataFrame:
         return self.sql("""
