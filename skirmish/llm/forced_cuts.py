@@ -2,9 +2,10 @@
 
 Method: two neighbouring bytes that stand together inside no token of the vocabulary can never be merged, whatever surrounds
 them, so a word may be cut there and its parts encoded on their own; their ids are then put one after the other. White space
-is the plainest case and cuts texts into fragments, which a task encodes once each (`FragmentEncoder`). New fragments go
-through the library's own normaliser and splitter, all words of a batch become one line of symbols (a byte, or a byte that
-ends a word), one table look-up per neighbouring pair marks the cuts, and each distinct part is merged by rank.
+is the plainest case and cuts texts into fragments, which a task encodes once each (`FragmentEncoder`). New fragments are
+normalised and split as the library does (by its own code where they are not plain ASCII), their distinct words become one line
+of symbols (a byte, or a byte that ends a word), one table look-up per neighbouring pair marks the cuts, and all parts are
+merged by rank side by side.
 
 Added tokens are taken out of the raw fragment first, as the library does. Decoding joins the tokens' own writing by spaces:
 the vocabulary file names no decoder.
@@ -20,6 +21,7 @@ import heapq
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,17 +31,20 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skirmish.llm.common import chunks, text_values
+from skirmish.llm.common import chunks, spans_of, text_values
 from skirmish.llm.fragments import FragmentEncoder
 from skirmish.llm.tokens import _byte_signs
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 #: A symbol is a byte, or END + a byte that ends its word.
 END = 256
-#: Distinct parts and words that a task remembers.
-REMEMBERED = 200_000
-#: Parts up to this length look for their next pair by comparing all.
-SHORT = 24
+#: Parts of more symbols are merged on their own, through a heap.
+LONG = 64
+NONE = np.int64(2**31 - 1)
+#: Between two fragments that go through the library's splitter in one text: a sign of its own that no rule joins to anything.
+MARK = "\ue000"
+#: Fragments per such text.
+TOGETHER = 500
 
 
 class ForcedCuts:
@@ -76,100 +81,147 @@ class ForcedCuts:
             self.together[symbols[:-1], symbols[1:]] = True
             if len(symbols) == 1:
                 self.single[symbols[0]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.parts: dict[bytes, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            self.merges[vocab[x], vocab[y]] = rank
+        self.joined = np.zeros(len(self.merges), np.int64)  # id by rank
+        keys = np.empty(len(self.merges), np.int64)
+        for (x, y), rank in self.merges.items():
+            keys[rank], self.joined[rank] = x << 32 | y, vocab[self.names[x] + self.names[y]]
+        self.by_key = np.argsort(keys)
+        self.keys = keys[self.by_key]
+        self.first = self._ranks(np.repeat(self.single[:END], 2 * END), np.tile(self.single, END)).reshape(END, 2 * END)
+        # printable ASCII is lowered and split alike by plain rules; everything else goes through the library
+        self.ascii = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 
     def _symbols(self, name: str, suffix: str) -> list[int]:
         ends = name.endswith(suffix) and name != suffix
         symbols = [self.to_byte[c] for c in (name[:-len(suffix)] if ends else name)]
         return [*symbols[:-1], END + symbols[-1]] if ends else symbols
 
-    def merge(self, ids: list[int]) -> list[int]:
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE where it is never merged."""
+        wanted = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.by_key[at], NONE)
+
+    def merge_long(self, ids: list[int]) -> list[int]:
         """Ids of one part: the pair of least rank first, leftmost among equals."""
-        merges = self.merges
-        if len(ids) <= SHORT:
-            found = [merges.get(p) for p in zip(ids, ids[1:])]
-            while True:
-                best = min((f for f in found if f), default=None)
-                if best is None:
-                    return ids
-                i = found.index(best)
-                ids[i:i + 2] = [best[1]]
-                del found[i]
-                if i:
-                    found[i - 1] = merges.get((ids[i - 1], ids[i]))
-                if i < len(found):
-                    found[i] = merges.get((ids[i], ids[i + 1]))
+        merges, joined = self.merges, self.joined
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*f, i) for i, p in enumerate(zip(ids, ids[1:])) if (f := merges.get(p))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        heap = [(rank, i) for i, pair in enumerate(zip(ids, ids[1:])) if (rank := merges.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= len(ids) or merges.get((ids[i], ids[j])) != (rank, new):
+            if ids[i] < 0 or j >= len(ids) or merges.get((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = int(joined[rank]), -1
             after[i] = after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-                if f := merges.get((new, ids[after[j]])):
-                    heapq.heappush(heap, (f[0], i, f[1]))
-            if before[i] >= 0 and (f := merges.get((ids[before[i]], new))):
-                heapq.heappush(heap, (f[0], before[i], f[1]))
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(ids):
+                    before[y] = x
+                    if (rank := merges.get((ids[x], ids[y]))) is not None:
+                        heapq.heappush(heap, (rank, x))
         return [i for i in ids if i >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, each given in byte signs: cut at forced boundaries, every distinct part merged once."""
+    def merge(self, symbols: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, part of each id) of parts that stand one after the other: every round merges the leftmost least pair of each
+        part, looks the two pairs beside it up again, and puts finished parts aside."""
+        ids, done = self.single[symbols].astype(np.int64), []
+        rank = np.full(len(ids), NONE)  # of each id and the next in its part
+        inner = np.flatnonzero(part[:-1] == part[1:])
+        rank[inner] = self.first[symbols[inner], symbols[inner + 1]]
+        while len(ids):
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            least, place = best >> 32, best & 0xFFFFFFFF
+            over = least == NONE
+            if over.any():
+                finished = np.repeat(over, np.diff(starts, append=len(ids)))
+                done.append((ids[finished], part[finished]))
+                before = np.cumsum(finished)
+                least, place = least[~over], place[~over]
+                place -= before[place]
+                ids, part, rank = ids[~finished], part[~finished], rank[~finished]
+                if not len(ids):
+                    break
+            ids[place] = self.joined[least]
+            stay = np.ones(len(ids), bool)
+            stay[place + 1] = False
+            ids, part, rank = ids[stay], part[stay], rank[stay]
+            changed = place - np.arange(len(place))
+            changed = np.concatenate([changed, changed[changed > 0] - 1])
+            follows = np.minimum(changed + 1, len(ids) - 1)
+            rank[changed] = np.where((changed + 1 < len(ids)) & (part[changed] == part[follows]), self._ranks(ids[changed], ids[follows]), NONE)
+        ids, part = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(2))
+        order = np.argsort(part, kind="stable")
+        return ids[order], part[order]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of words given in byte signs: cut at forced boundaries, parts merged on their own."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths)
         line = np.frombuffer("".join(words).translate(self.table).encode("latin-1"), np.uint8).astype(np.int64)
         closing = np.zeros(len(line), bool)
-        closing[ends - 1] = True
+        closing[np.cumsum(lengths) - 1] = True
         symbols = line + END * closing
         cut = closing.copy()
         cut[:-1] |= ~self.together[line[:-1], symbols[1:]]
-        stops = np.flatnonzero(cut) + 1
-        starts = np.concatenate([[0], stops[:-1]])
-        raw, base = symbols.astype("<u2").tobytes(), self.single[symbols]
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        known, out = self.parts, []
-        for a, b in zip(starts.tolist(), stops.tolist()):
-            part = raw[2 * a:2 * b]
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self.merge(base[a:b].tolist())
-            out.append(ids)
-        per_word = np.searchsorted(stops, ends, side="left") + 1  # parts up to each word's end
-        result, first = [], 0
-        for last in per_word.tolist():
-            result.append(out[first] if last == first + 1 else list(chain.from_iterable(out[first:last])))
-            first = last
-        return result
-
-    def split(self, fragment: str) -> list[str]:
-        """Words of a fragment without added tokens, in byte signs."""
-        if fragment.isascii() and (word := fragment.strip(" ")).isalpha():
-            return [word.lower()]
-        return [w for w, _ in self.pre_tokenize(self.normalize(fragment))]
-
-    def __call__(self, fragments: list[str]) -> list[list[int]]:
-        """Ids of each fragment."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known, pieces = self.words, []
-        for f in fragments:
-            parts = self.holds_added.split(f) if "<" in f else [f]
-            pieces.append([x for k, p in enumerate(parts) for x in ([self.added[p]] if k % 2 else self.split(p) if p else [])])
-        new = [w for w in dict.fromkeys(chain.from_iterable(pieces)) if isinstance(w, str) and w not in known]
-        if new:
-            known.update(zip(new, self.encode_words(new)))
-        return [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for x in p for i in (known[x] if isinstance(x, str) else [x])] for p in pieces]
+        part = np.cumsum(cut) - cut
+        sizes = np.bincount(part)
+        word_of = np.repeat(np.arange(len(words)), lengths)[np.flatnonzero(cut)]
+        wide = sizes[part] > LONG
+        ids, owner = self.merge(symbols[~wide], part[~wide])
+        if wide.any():
+            ends = np.cumsum(sizes)
+            long = {int(p): self.merge_long(self.single[symbols[ends[p] - sizes[p]:ends[p]]].tolist()) for p in np.unique(part[wide])}
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(long.values()), np.int64)])
+            owner = np.concatenate([owner, np.repeat(np.array(list(long), np.int64), [len(x) for x in long.values()])])
+            order = np.argsort(owner, kind="stable")
+            ids, owner = ids[order], owner[order]
+        return ids, np.bincount(word_of[owner], minlength=len(words))
+
+    def _library(self, fragments: list[str]) -> list[str]:
+        """Words of the fragments in byte signs, a line end after each fragment."""
+        mark, = [w for w, _ in self.pre_tokenize(MARK)]
+        out: list[str] = []
+        for k in range(0, len(fragments), TOGETHER):
+            text = self.normalize(f" {MARK} ".join([*fragments[k:k + TOGETHER], ""]))
+            out += ["\n" if w == mark else w for w, _ in self.pre_tokenize(text)]
+        return out
+
+    def _with_added(self, fragment: str) -> list:
+        """Words and added tokens (by id) of one fragment, then a line end."""
+        out: list = []
+        for k, piece in enumerate(self.holds_added.split(fragment)):
+            out += [self.added[piece]] if k % 2 else [w for w, _ in self.pre_tokenize(self.normalize(piece))] if piece else []
+        return [*out, "\n"]
+
+    def __call__(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per fragment)."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])  # plain, for the library, on their own
+        for i, f in enumerate(fragments):
+            kinds[2 if "<" in f and self.holds_added.search(f) or MARK in f else 0 if f.isascii() and f.isprintable() else 1].append(i)
+        plain, library, alone = ([fragments[i] for i in k] for k in kinds)
+        pieces = [*self.ascii("\n".join([*plain, ""]).lower()), *self._library(library), *chain.from_iterable(map(self._with_added, alone))]
+        number: defaultdict = defaultdict(lambda: len(number))
+        codes = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        known = list(number)
+        flat, lengths = self.encode_words(words) if (words := [w for w in known if isinstance(w, str) and w != "\n"]) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        size, start = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        is_word = np.fromiter((isinstance(w, str) and w != "\n" for w in known), bool, len(known))
+        size[is_word], start[is_word] = lengths, np.cumsum(lengths) - lengths
+        tokens = [k for k, w in enumerate(known) if isinstance(w, int)]
+        size[tokens], start[tokens] = 1, len(flat) + np.arange(len(tokens))
+        flat = np.concatenate([flat, np.array([known[k] for k in tokens], np.int64)])
+        ids, taken = flat[spans_of(start[codes], size[codes])], size[codes]
+        ends = codes == number["\n"]
+        per = np.bincount(np.cumsum(ends) - ends, weights=taken, minlength=len(fragments)).astype(np.int64)[:len(fragments)]
+        order = np.array([*chain.from_iterable(kinds)], np.int64)  # the fragment of each run
+        starts, counts = np.empty(len(fragments), np.int64), np.empty(len(fragments), np.int64)
+        starts[order], counts[order] = np.cumsum(per) - per, per
+        return ids[spans_of(starts, counts)].astype(np.uint32), counts
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +251,9 @@ def decode_documents(encoded: DataFrame, tokenizer: str = WORDS) -> DataFrame:
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
-                decoded = [" ".join(map(name, ids or ())) for ids in part["ids"].to_pylist()]
+                flat = part["ids"].flatten().to_numpy().tolist()
+                ends = np.cumsum(part["ids"].value_lengths().fill_null(0).to_numpy()).tolist()
+                decoded = [" ".join(map(name, flat[a:b])) for a, b in zip([0, *ends], ends)]
                 yield pa.record_batch([part["doc_id"], part["ids"], pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -26,10 +26,10 @@ def cut(text: str) -> list[str]:
 
 
 class FragmentEncoder:
-    """Ids of texts, through `encode` for lists of fragments. Holds at most `limit` fragments between two calls: beyond that it
+    """Ids of texts, through `encode` for lists of fragments, which gives a list of ids each or all ids and their numbers. Holds at most `limit` fragments between two calls: beyond that it
     forgets those used once, and if need be the rarer ones, since most distinct fragments never return."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.inner: defaultdict[str, int] = defaultdict()  # with a space before
         self.first: defaultdict[str, int] = defaultdict()
@@ -83,9 +83,12 @@ class FragmentEncoder:
                 new[k - before] = prefix + fragment
         if not new:
             return
-        lists = self.encode(new)
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+        found = self.encode(new)
+        if isinstance(found, tuple):
+            flat, lengths = found
+        else:
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, flat])
