@@ -1,18 +1,22 @@
 """Main text of web pages, after removing what a site repeats on its pages.
 
-Method (site template removal): each page is parsed into elements; the subtrees that could be template (containers) are
-hashed with their text; Spark counts, per host, on how many distinct pages each hash occurs; subtrees that recur on at least
-`MIN_PAGES` pages and `MIN_SHARE` of the host's pages are deleted. Copies of a page count once, so repeated articles do
-not look like a template, and neither paragraphs nor what holds most of an article's text can be deleted. Elements
-that are never main text (navigation, forms, scripts, adverts, comments and so on) go by their tag, role or class, so that
-small hosts are cleaned too; by class or id only if they hold no article (outside another) or main element and less than half of the page's
-text, since layout wrappers carry such words as well. Where a page has an article (else a main element), the text is what is inside.
+Method (site template removal): each page is parsed into elements; the subtrees that could be template (containers, and
+lists, tables and paragraphs of links only) are hashed with their text; Spark counts, per host, on how many distinct pages each hash
+occurs; subtrees that recur on at least `MIN_PAGES` pages are deleted. Copies of a page count once, so repeated articles do not
+look like a template, and neither paragraphs, lists and tables of text nor what holds half of the main text can be deleted.
 
-Per host at most (subtrees per page) / MIN_SHARE hashes can recur, which bounds the list joined to its pages. Pages meet that
-list by a join salted by `SALT`, so a host with a third of all pages is dealt out; counts use partial aggregates.
+Elements that are never main text go by their tag or role, so that small hosts are cleaned too; containers also by class or id,
+if one whole name of it says so (`NAMES`, alone or with words of `PLACES`). Both spare what wraps the text: an element that
+holds an article (outside another) or main element, a form or a named container with half of the page's text, and, for the
+weaker names, sections with a heading of their own. Where a page has an article, the text is what is inside; where it has a
+main element in which articles are the lesser part, all of that; without either, everything.
+
+Counts use partial aggregates. Each page gets the recurring hashes of its own subtrees by a join on (host, hash of the page),
+in which a page with many copies is dealt out; nothing is collected per host.
 
 Defined cases: null or empty html gives an empty text; a page cut off anywhere is read as far as it goes; a null or
-unreadable url counts as one host. Repeated rows are all returned. Other columns are ignored. An empty table gives no rows.
+unreadable url counts as one host. Quotes in a tag open only after an equals sign; of an attribute given twice the first
+counts. Repeated rows are all returned. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,17 +26,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from skirmish.llm.common import chunks, materialize, text_values
+from skirmish.llm.common import chunks, join_dealt, materialize, text_values
 
-MIN_PAGES, MIN_SHARE, SALT = 8, 0.3, 16
+#: Distinct pages of a host from which on a subtree is its template.
+MIN_PAGES = 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+))(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 #: Fixed names of HTML: elements without content, with raw content, and those that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,26 +44,50 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead
     title tr ul""".split())
-DROPPED = frozenset("""head nav header footer aside form script style noscript template iframe object svg canvas button select textarea title dialog
-    menu noembed noframes audio video search""".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id names, whole or between hyphens and underscores, that mark what is not main text.
-MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion
-    banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall
-    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside widget widgets header masthead footer
-    comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations skip""".split())
-#: Containers whose subtrees can be template; paragraphs, headings, lists, tables and inline elements are not.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Never text of the page, whatever they hold; and what stands beside it, unless it wraps the text.
+NEVER = frozenset("head script style noscript template iframe object svg canvas button select textarea title noembed noframes audio video".split())
+BESIDE = frozenset("nav header footer aside form dialog menu search".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Names of classes and ids that mark what is not main text; the second set only without a heading inside; words that may stand beside either.
+NAMES = frozenset("""ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors cookie cookies consent gdpr popup modal
+    overlay newsletter subscribe subscription signup paywall nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar sidebars masthead footer
+    comment comments commentlist disqus""".split())
+WEAK_NAMES = frozenset("""promo promos promotion banner banners notice notices alert menu menus toc aside widget widgets header reply replies respond share sharing
+    social related recommended recommendations skip""".split())
+PLACES = frozenset("""box bar block container wrapper wrap inner outer section list area button buttons link links left right top bottom site page main global
+    primary secondary mobile desktop post row item items unit slot zone message panel form""".split())
+#: Elements that a name can mark.
+NAMED = frozenset("div section ul ol dl table details figure center".split())
+#: Elements whose subtrees can be template; and those that can if they hold links only.
 CONTAINERS = frozenset("nav header footer aside section div form".split())
+LINKS = frozenset("p ul ol dl table".split())
 CLOSED_BY = {"li": ("li", frozenset({"ul", "ol", "menu"})), "dt": ("dt dd", frozenset({"dl"})), "dd": ("dt dd", frozenset({"dl"})),
              "tr": ("tr td th", frozenset({"table"})), "td": ("td th", frozenset({"table", "tr"})), "th": ("td th", frozenset({"table", "tr"})),
              "option": ("option", frozenset({"select"}))}
 
 
+def _named(tag: str, names: list[str]) -> str:
+    """strong or weak if a whole name marks the element, else empty."""
+    if tag == "article":
+        return "strong" if any(n in ("comment", "comments", "reply") for n in names) else ""
+    if tag not in NAMED:
+        return ""
+    found = ""
+    for name in names:
+        words = re.split(r"[_-]+", name)
+        if all(w in NAMES or w in WEAK_NAMES or w in PLACES for w in words):
+            if any(w in NAMES for w in words):
+                return "strong"
+            found = "weak" if any(w in WEAK_NAMES for w in words) else found
+    return found
+
+
 class Page:
     """Elements of a page and the pieces of text in them, from one pass over the markup."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.drops, self.names, self._marked = ["#"], [-1], [False], [""], [False]
+        self.tags, self.parents, self.drops, self.names, self._beside = ["#"], [-1], [False], [""], [""]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, raw text
         self._stack, self._open, self._block = [0], Counter(), 0
         at, n = 0, len(source)
@@ -82,8 +110,8 @@ class Page:
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                     at = close.start() if close else n
         self._hashes: list[int] | None = None
-        if any(self._marked):
-            self._drop_marked()
+        if any(self._beside):
+            self._drop_beside()
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -102,34 +130,45 @@ class Page:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
-        found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}") if found else []
-        drop = (tag in DROPPED or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-                or tag == "article" and any(w in ("comment", "comments", "reply") for w in words))
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        names = f"{found.get('class', '')} {found.get('id', '')}".split() if found else []
         parent = self._stack[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.drops.append(self.drops[parent] or drop)
+        self.drops.append(self.drops[parent] or tag in NEVER or "hidden" in found or found.get("aria-hidden") == "true")
         self.names.append(found.get("class", ""))
-        self._marked.append(tag not in ("html", "body", "article", "main") and any(w in MARKS for w in words))
+        self._beside.append("tag" if tag in BESIDE or found.get("role") in BESIDE_ROLES else _named(tag, names) if names else "")
         self._stack.append(len(self.tags) - 1)
         self._open[tag] += 1
 
-    def _drop_marked(self) -> None:
-        """Drops the elements with a marked name, but for those that hold an article or main element or half of the page's text. An
-        article inside an article (a comment, most often) does not count."""
-        sizes, holds, within = [0] * len(self.tags), [False] * len(self.tags), [False] * len(self.tags)
-        for e in range(1, len(sizes)):
-            within[e] = within[self.parents[e]] or self.tags[self.parents[e]] == "article"
+    def _below(self) -> list[int]:
+        """Characters of text below each element, of what is not dropped."""
+        out = [0] * len(self.tags)
         for e, _, text in self.pieces:
             if not self.drops[e]:
-                sizes[e] += len(text.strip())
-        for e in range(len(sizes) - 1, 0, -1):
+                out[e] += len(text.strip())
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def _drop_beside(self) -> None:
+        """Drops what stands beside the text: by tag and role first, then, by what is left, forms and named elements."""
+        n = len(self.tags)
+        wraps, within, headed = [False] * n, [False] * n, [False] * n
+        for e in range(1, n):
+            within[e] = within[self.parents[e]] or self.tags[self.parents[e]] == "article"
+        for e in range(n - 1, 0, -1):
             parent = self.parents[e]
-            sizes[parent] += sizes[e]
-            holds[parent] = holds[parent] or holds[e] or self.tags[e] in ("article", "main") and not (self.drops[e] or within[e])
-        for e in range(1, len(sizes)):
-            self.drops[e] = self.drops[e] or self.drops[self.parents[e]] or self._marked[e] and not holds[e] and 2 * sizes[e] < sizes[0]
+            wraps[parent] = wraps[parent] or wraps[e] or self.tags[e] in ("article", "main") and not (self.drops[e] or within[e])
+            headed[parent] = headed[parent] or headed[e] or self.tags[e] in HEADINGS
+        for e in range(1, n):
+            self.drops[e] = self.drops[e] or self.drops[self.parents[e]] or self._beside[e] == "tag" and self.tags[e] != "form" and not wraps[e]
+        sizes = self._below()
+        for e in range(1, n):
+            named = self._beside[e] in ("strong", "tag") or self._beside[e] == "weak" and not headed[e]
+            self.drops[e] = self.drops[e] or self.drops[self.parents[e]] or named and not wraps[e] and 2 * sizes[e] < sizes[0]
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -142,15 +181,19 @@ class Page:
             if closed == tag:
                 return
 
+    def _inside(self, want: str) -> list[bool]:
+        inside = [False] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            inside[e] = inside[self.parents[e]] or self.tags[e] == want and not self.drops[e]
+        return inside
+
     def mains(self) -> list[bool]:
-        """For each element, whether it is in the article, or else in the main element, or else anywhere."""
-        for want in ("article", "main"):
-            inside = [False] * len(self.tags)
-            for e in range(1, len(self.tags)):
-                inside[e] = inside[self.parents[e]] or self.tags[e] == want and not self.drops[e]
-            if any(inside):
-                return inside
-        return [True] * len(self.tags)
+        """For each element, whether it is in the article, or in the main element where that holds more beside its articles, or else anywhere."""
+        article, main = self._inside("article"), self._inside("main")
+        if any(article) and any(main):
+            size = lambda inside: sum(len(t.strip()) for e, _, t in self.pieces if inside[e] and not self.drops[e])
+            return article if 2 * size(article) >= size(main) else main
+        return article if any(article) else main if any(main) else [True] * len(self.tags)
 
     def sizes(self) -> list[int]:
         """Characters of text below each element."""
@@ -178,11 +221,18 @@ class Page:
         return self._hashes
 
     def candidates(self) -> list[int]:
-        """Elements that could be template: containers with text that hold less than half of the main text."""
+        """Elements that could be template: containers, and lists, tables and paragraphs of links only, with less than half of the main text."""
         sizes, inside = self.sizes(), self.mains()
+        plain = [0] * len(self.tags)  # characters outside links
+        for e, _, text in self.pieces:
+            if self.tags[e] != "a":
+                plain[e] += len(text.strip())
+        for e in range(len(plain) - 1, 0, -1):
+            if self.tags[e] != "a":
+                plain[self.parents[e]] += plain[e]
         top = [e for e in range(1, len(self.tags)) if inside[e] and not inside[self.parents[e]]]
         limit = sum(sizes[e] for e in top) / 2 if top else sizes[0] / 2
-        return [e for e in range(1, len(self.tags)) if self.tags[e] in CONTAINERS and 0 < sizes[e] < limit]
+        return [e for e in range(1, len(self.tags)) if (self.tags[e] in CONTAINERS or self.tags[e] in LINKS and not plain[e]) and 0 < sizes[e] < limit]
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
         dropped, inside = list(self.drops), self.mains()
@@ -200,40 +250,41 @@ class Page:
 
 def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host.alias("host"))
+    source = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), source.alias("html"), host.alias("host"),
+                        F.xxhash64(source, host).alias("page"))
 
 
-def site_templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, templates): the hashes of the subtrees that recur on a host."""
+def site_templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(page, templates): the recurring hashes among the subtrees of each distinct page that has any; and (page, n), the rows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
             found = [Page(h) for h in text_values(batch["html"])]
             content = [xxhash.xxh64_intdigest(p.text()) - (1 << 63) for p in found]
             hashes = [sorted({p.hashes()[e] for e in p.candidates()}) for p in found]
-            yield pa.record_batch([batch["host"], pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "content", "hashes"])
+            yield pa.record_batch([batch["host"], batch["page"], pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "content", "hashes"])
 
-    parsed = _rows(pages, key, url, html).select("host", "html").mapInArrow(run, "host string, content long, hashes array<long>")
+    parsed = _rows(pages, key, url, html).select("host", "page", "html").mapInArrow(run, "host string, page long, content long, hashes array<long>")
     stored = materialize(parsed, "page-subtrees")
-    n = stored.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = stored.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("on"))
-    templates = recurring.filter(F.col("on") >= MIN_PAGES).join(n, "host").filter(F.col("on") >= MIN_SHARE * F.col("pages"))
-    return materialize(templates.groupBy("host").agg(F.collect_list("hash").alias("templates")), "site-templates")
+    subtrees = stored.select("host", "page", "content", F.explode("hashes").alias("hash")).distinct()
+    recurring = subtrees.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("on")).filter(F.col("on") >= MIN_PAGES)
+    matched = subtrees.join(recurring.select("host", "hash"), ["host", "hash"], "left_semi")
+    templates = materialize(matched.groupBy("page").agg(F.collect_set("hash").alias("templates")), "site-templates")
+    return templates, stored.groupBy("page").agg(F.count("*").alias("n"))
 
 
-def main_texts(pages: DataFrame, templates: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_texts(pages: DataFrame, templates: DataFrame, sizes: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of each page."""
-    rows = _rows(pages, key, url, html).withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int"))
-    salted = templates.select("host", "templates", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
             texts = [Page(h).text(frozenset(t or ())) for h, t in zip(text_values(batch["html"]), batch["templates"].to_pylist())]
             yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(salted, ["host", "salt"], "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "templates")
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    joined = join_dealt(_rows(pages, key, url, html), templates, ["page"], sizes, "left")
+    return joined.select("page_id", "url", "html", "templates").mapInArrow(run, "page_id long, url string, text string")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    return main_texts(pages, site_templates(pages, key, url, html), key, url, html)
+    return main_texts(pages, *site_templates(pages, key, url, html), key, url, html)

@@ -6,7 +6,7 @@ joined back: a document of a host with a high shrunk rate needs to pass every ru
 minor rule. So a good document stays, whatever its host.
 
 Hosts are summed with partial aggregates and the prior comes from sums over hosts, so a host with a third of all rows is no
-large group; the join back carries a few numbers per document, salted by `SALT` so that such a host is dealt out.
+large group; the join back carries a few numbers per document and deals a large host out by row.
 
 Defined cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated rows count as often
 as they stand. `filter_documents` keeps every column of the rows it keeps. An empty table gives an empty table.
@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skirmish.llm.common import materialize
+from skirmish.llm.common import join_dealt, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Limits of the minor rules.
 MAX_SYMBOLS_PER_WORD, MAX_DUPLICATE_LINES, WORD_CHARS = 0.1, 0.3, (2.0, 20.0)
 #: Shrunk share of failing documents from which a host counts as poor.
 POOR_HOST = 0.5
-SALT = 16
+
 MINOR = ("symbols", "lines", "word_length")
 
 
@@ -100,11 +100,9 @@ def host_rates(df: DataFrame, host: str = "host") -> DataFrame:
 
 
 def _with_hosts(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """The rows with their host's rate; both sides salted, so that a host with many rows is dealt out."""
-    salted = materialize(hosts, "hosts").select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"),
-                                                F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALT)).cast("int"))
-    return dealt.join(salted, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_deal") == F.col("_salt"))).drop("_host", "_salt", "_deal")
+    """The rows with their host's rate; a host with many rows is dealt out."""
+    stored = materialize(hosts, "hosts")
+    return join_dealt(rows, stored.select(host, F.col("rate").alias("host_rate")), [host], stored.select(host, "n"))
 
 
 def _kept() -> Column:

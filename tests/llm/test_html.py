@@ -66,3 +66,55 @@ def test_wrappers_with_marked_names_keep_the_article():
             assert page.text().split("\n")[0] == words and "Buy" not in page.text(), (name, inner)
     short = html_text.Page(f"<body><div class='has-sidebar'><article>Short</article></div><p>{words}</p></body>")
     assert short.text() == "Short"
+
+
+LONG = "Main text one goes on for quite a while."
+
+
+def inside(part):
+    return Page(f"<html><body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body></html>").text().split("\n")
+
+
+def test_attributes_are_read_one_by_one():
+    for attribute in ('style="overflow:hidden"', 'title="hidden gems"', 'data-id="header"', 'data-x="class=ad"', "data-hidden", 'class="market-share"',
+                      'id="ad-hoc-networks"', 'id="discussion"', "title='class=ad hidden'", "alt=x class=plain class=ad"):
+        assert inside(f"<div {attribute}><h2>Head</h2><p>Own.</p></div>")[1:3] == ["Head", "Own."], attribute
+        assert inside(f"<div {attribute}>Own.</div>")[1] == "Own.", attribute
+    for attribute in ("hidden", "HIDDEN=''", "aria-hidden = true", "CLASS=ad", "id='cookie-notice'", 'class="x sidebar"', "class=related-links", "role=navigation", "class = 'share'"):
+        assert len(inside(f"<div {attribute}>Own.</div>")) == 2, attribute
+
+
+def test_stray_quotes_stay_inside_their_tag():
+    assert Page("<p title=don't>Main text one.</p><p>It's more text.</p>").text() == "Main text one.\nIt's more text."
+    assert Page('<p "x>One</p><p y\'>Two</p><p>"Three"</p>').text() == 'One\nTwo\n"Three"'
+    assert Page("""<p title="a > b" x='>'>One</p>""").text() == "One"
+    assert Page("<p " + "a='x" * 3000 + ">One</p>").text().endswith("One")
+
+
+def test_rows_and_headed_sections_keep_their_text():
+    table = "<table><tr class='header'><th class=banner>Name</th></tr><tr><td>Value</td></tr></table>"
+    assert inside(table)[1:3] == ["Name", "Value"]
+    assert inside("<section id='related'><h2>Related work</h2><p>Others wrote.</p></section>")[1:3] == ["Related work", "Others wrote."]
+    assert len(inside("<section class='comments'><h2>Comments</h2><p>Nice.</p></section>")) == 2
+
+
+def test_most_text_decides_between_main_and_cards():
+    assert Page(f"<main><article><p>Card</p></article><p>{LONG}</p><p>{LONG}</p></main>").text() == f"Card\n{LONG}\n{LONG}"
+    assert Page(f"<main><p>Lead</p><article><p>{LONG}</p><p>{LONG}</p></article></main>").text() == f"{LONG}\n{LONG}"
+    assert Page(f"<body><form id=all><div class=menu>Menu</div><p>{LONG}</p><p>{LONG}</p></form></body>").text() == f"{LONG}\n{LONG}"
+    assert Page(f"<body><form><header><article><p>{LONG}</p></article></header><input></form><nav>Menu</nav></body>").text() == LONG
+    assert Page(f"<body><p>{LONG}</p><form>Your mail</form></body>").text() == LONG
+
+
+def test_lists_and_link_paragraphs_recur_on_a_large_host(spark):
+    """Boxes on few of many pages are template as well; paragraphs of text never are; a page with many copies gets all its rows."""
+    own = lambda i: f"<p>Own text number {i} that goes on for a while, and then some more.</p>"
+    extra = {0: "<ul><li><a href=a>Tip one</a></li><li><a href=b>Tip two</a></li></ul>", 3: "<ol><li>Step one</li></ol>", 1: "<p><a href=x>More</a> <a href=y>Most</a></p>", 2: "<p>A shared passage.</p>"}
+    page = lambda i, e: f"<body><article>{own(i)}{e}{own(i)}</article></body>"
+    rows = [(i, "http://big.example/p", page(i, extra.get(i % 20, ""))) for i in range(200)]
+    rows += [(1000 + i, "http://big.example/p", page(20, extra[0])) for i in range(1500)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in got:
+        own_lines = 3 if i < 200 and i % 20 in (2, 3) else 2
+        assert len(got[i]) == own_lines, got[i]
