@@ -1,9 +1,12 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Method (variable-capacity best fit): documents are cut into pieces of at most the largest length and taken by falling size.
-A piece goes into the open bin whose remaining room is smallest but sufficient. Where none fits, a bin is opened with the
-permitted length of least cost per token it can expect to hold, given what is left to place; at the end each bin shrinks to
-the least permitted length that holds its contents.
+A piece goes into the open bin whose remaining room is smallest but sufficient; where none fits, a bin is opened, and at the
+end each bin shrinks to the least permitted length that holds its contents. Which length to open is optimised jointly: an
+opening rule names one length per class of sizes (those whose least fitting length is the same). From the best of the rules
+that open one length wherever it fits, the class whose change saves most total cost, fitted and shrunk, is changed until none
+saves. The rule of least cost per token given what is left is tried as well. So a group never costs more than with any one
+length.
 
 Pieces are dealt into groups of about `GROUP` pieces by row number, never by a key, and each group is packed by one task, so
 no key makes a large group; the loss against one packing of everything is at most the open bins of each group. Token counts
@@ -15,7 +18,9 @@ as they stand; pieces of equal size are taken by doc_id, then start. Other colum
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +45,16 @@ def token_counts(docs: DataFrame, path: str = RANKS, key: str = "doc_id", text:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def pack(sizes: list[int], costs: Mapping[int, int]) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each size (falling, positive, at most the largest length), and the length of each bin."""
+def pack(sizes: list[int], costs: Mapping[int, int], opens: Mapping[int, int] | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each size (falling, positive, at most the largest length), and the length of each bin.
+
+    `opens` names the length to open for sizes whose least fitting length is the key; without it, the length of least cost per
+    token it can hold of what is left.
+    """
     lengths = sorted(costs)
     open_bins: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # by remaining room
     room = 0  # bit r: some bin has r tokens left
-    left, bins, offsets, used, capacity = sum(sizes), [], [], [], []
+    left, bins, offsets, used = sum(sizes), [], [], []
     for size in sizes:
         fitting = room >> size
         if fitting:
@@ -54,10 +63,12 @@ def pack(sizes: list[int], costs: Mapping[int, int]) -> tuple[list[int], list[in
             if not open_bins[r]:
                 room &= ~(1 << r)
         else:
-            r = min((n for n in lengths if n >= size), key=lambda n: (costs[n] / min(n, left), n))
+            if opens is None:
+                r = min((n for n in lengths if n >= size), key=lambda n: (costs[n] / min(n, left), n))
+            else:
+                r = opens[lengths[bisect_left(lengths, size)]]
             b = len(used)
             used.append(0)
-            capacity.append(r)
         bins.append(b)
         offsets.append(used[b])
         used[b] += size
@@ -65,7 +76,27 @@ def pack(sizes: list[int], costs: Mapping[int, int]) -> tuple[list[int], list[in
         if rest := r - size:
             open_bins[rest].append(b)
             room |= 1 << rest
-    return bins, offsets, [next(n for n in lengths if n >= u) for u in used]
+    return bins, offsets, [lengths[bisect_left(lengths, u)] for u in used]
+
+
+def pack_jointly(sizes: list[int], costs: Mapping[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """The same, under the opening rule of least total cost that the search finds."""
+    lengths = sorted(costs)
+    classes = sorted({lengths[bisect_left(lengths, s)] for s in set(sizes)})
+
+    def tried(opens: Mapping[int, int] | None) -> tuple:
+        packed = pack(sizes, costs, opens)
+        return sum(map(costs.__getitem__, packed[2])), packed, opens
+
+    if not classes:
+        return [], [], []
+    best = min((tried({c: max(c, n) for c in classes}) for n in lengths), key=itemgetter(0))
+    while True:
+        changed = [tried({**best[2], c: n}) for c in classes for n in lengths if n >= c and n != best[2][c]]
+        found = min(changed, key=itemgetter(0), default=best)
+        if found[0] >= best[0]:
+            return min(best, tried(None), key=itemgetter(0))[1]
+        best = found
 
 
 def pack_documents(counts: DataFrame, costs: Mapping[int, int] = COSTS, group: int = GROUP) -> DataFrame:
@@ -99,7 +130,7 @@ def pack_documents(counts: DataFrame, costs: Mapping[int, int] = COSTS, group: i
     def packed(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         sizes = table["n_tokens"].to_pylist()
-        bins, offsets, lengths = pack([s for s in sizes if s > 0], costs)
+        bins, offsets, lengths = pack_jointly([s for s in sizes if s > 0], costs)
         none = [None] * (len(sizes) - len(bins))  # sizes fall, so empty pieces come last
         columns = [pa.array([number << 32 | b for b in bins] + none, pa.int64()), pa.array([lengths[b] for b in bins] + none, pa.int32()),
                    pa.array(offsets + none, pa.int64())]
