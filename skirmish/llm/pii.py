@@ -1,8 +1,9 @@
 """Personal data in texts, with DataFrame functions only.
 
 Method: regular expressions propose spans; checks confirm them (number ranges, digit counts, Luhn for cards, mod 97 for
-account numbers); words near a span raise its score. Email, ip, card and phone spans that pass their check stay whatever
-their score (`base`); account numbers and national ids are added where the score reaches `threshold`.
+account numbers); words shortly before or after a span raise or lower its score, which each span carries. Email, ip, card and
+phone spans that pass their check stay whatever their score (`base`); account numbers and national ids are added where the
+score reaches `threshold`: a confirmed account number unless words speak against it, a national id only with words for it.
 
 The patterns are possessive and start only where a run of their first characters starts, so a scan is linear in the text
 and needs no recursion, however long a run is; the matches of the `BASE` kinds are those of the plain patterns. An account
@@ -39,13 +40,16 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
-#: Words that support a kind when they stand shortly before a span, and the score of a confirmed span without them.
+#: Words that support a kind when they stand close to a span, and the score of a confirmed span without them.
 CONTEXT = {
     "email": r"e-?mail|contact|write to", "ip": r"\bip\b|address|server|host", "card": r"card|visa|credit|payment|cc",
     "phone": r"phone|tel|call|mobile|fax", "iban": r"iban|account|bank|konto|compte|cuenta", "national_id": r"ssn|social security|national id|insurance",
 }
+#: Words that speak against a span being personal, whatever its kind.
+AGAINST = r"part (?:no|number)|serial|isbn|version|tracking|\bsample\b|example"
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.3}
-NEAR, BONUS = 40, 0.3
+#: Code points looked at before and after a span, and what words in them add or take away.
+NEAR, AFTER, BONUS, PENALTY = 40, 20, 0.3, 0.4
 
 
 def _digits(value: Column) -> Column:
@@ -96,19 +100,28 @@ def spans(text: Column, threshold: float = 0.5) -> Column:
     """All spans by start, then kind, as array<struct<start, rank, end, kind, score>>."""
     text = F.coalesce(text, F.lit(""))
 
-    def of(rank: int, kind: str) -> Column:
-        confirmed = F.filter(_proposed(text, kind), lambda m: _valid(kind, m["value"]))
+    def confirmed(kind: str) -> Column:
+        return F.filter(_proposed(text, kind), lambda m: _valid(kind, m["value"])).alias(kind)
 
+    def of(x: Column, rank: int, kind: str) -> Column:
         def scored(m: Column) -> Column:
-            low = F.greatest(m["start"] - NEAR, F.lit(0))
-            near = F.lower(F.substring(text, low + 1, m["start"] - low))
-            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
+            # what stands around a span comes from the block it lies in: cutting it from the whole text would walk there each time
+            before = piece(x["blocks"], F.greatest(m["start"] - NEAR, F.lit(0)), m["start"])
+            near = F.lower(F.concat(before, F.lit("\n"), piece(x["blocks"], m["end"], m["end"] + AFTER)))
+            score = (F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0) - F.when(near.rlike(AGAINST), PENALTY).otherwise(0.0))
             return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"),
-                            F.least(score, F.lit(1.0)).alias("score"))
+                            F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))).alias("score"))
 
-        return F.transform(confirmed, scored) if kind in BASE else F.filter(F.transform(confirmed, scored), lambda s: s["score"] >= threshold)
+        found = F.transform(x["found"][kind], scored)
+        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= threshold)
 
-    return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(PATTERNS))))
+    def all_of(found: Column) -> Column:
+        some = sum((F.size(found[kind]) for kind in PATTERNS), F.lit(0)) > 0
+        both = F.struct(found.alias("found"), blocks_of(text).alias("blocks"))
+        return F.when(some, let(both, lambda x: F.array_sort(F.concat(*(of(x, i, k) for i, k in enumerate(PATTERNS)))))).otherwise(
+            F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>"))
+
+    return let(F.struct(*map(confirmed, PATTERNS)), all_of)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -121,6 +134,11 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(found: Column) -> Column:
+    """The spans' scores in hundredths, joined by commas in the same order."""
+    return F.array_join(F.transform(found, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The same rows and columns, with each span of the text replaced by its kind in angle brackets.
 

@@ -20,7 +20,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(kind) for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+                        pii.scores(F.col("spans")).alias("scores"))
 
 
 def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,28 @@ def test_query_digests(spark, sf):
 def test_odd_rows(spark):
     assert pii.find(odd_rows(spark)).count() == 9 and pii.find(empty(spark)).count() == 0
     assert pii.redact(odd_rows(spark)).columns == odd_rows(spark).columns
+
+
+def test_scores_follow_the_words_around(spark):
+    """Words before and after count, for and against; base kinds stay at any score."""
+    de, ssn = "DE89370400440532013000", "078-05-1120"
+    rows = [(0, f"pay {de}"), (1, f"IBAN {de}"), (2, f"sample {de}"), (3, f"sample IBAN {de}"), (4, f"{de} is my bank account"), (5, f"{ssn} (national id)"),
+            (6, f"serial ssn {ssn}"), (7, "example 1.2.3.4"), (8, f"IBAN {'x' * 60} {de}"), (9, f"{de} {'x' * 30} account")]
+    got = {r["doc_id"]: [(s["kind"], round(s["score"], 2)) for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [("iban", 0.8)], 1: [("iban", 1.0)], 2: [], 3: [("iban", 0.7)], 4: [("iban", 1.0)], 5: [("national_id", 0.6)], 6: [], 7: [("ip", 0.2)],
+                   8: [("iban", 0.8)], 9: [("iban", 0.8)]}
+
+
+def test_time_is_linear_in_the_spans_of_a_text(spark):
+    """A text of one megabyte with 32,000 addresses and letters beyond ASCII."""
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "é mail a.b@c.de, or write. " * n)], "doc_id long, text string")
+        start = time.time()
+        assert pii.find(docs).select(F.size("spans")).first()[0] == n
+        return time.time() - start
+
+    seconds(100)
+    small, large = seconds(8000), seconds(32000)
+    assert large < 10 * small + 5, (small, large)
