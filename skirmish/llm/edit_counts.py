@@ -6,15 +6,20 @@ have read into the edited place (it looks at most one character beyond its own e
 old one behind the edit; from there on nothing can change. Only pre-tokens of that stretch are encoded again, the leaves
 they lie in are rebuilt, and the sums above them updated. The result equals a fresh count (tested).
 
-Defined cases: null and empty texts have no tokens. Edits are (start, end, text) in code points of the original text, must
-not overlap, and count in any order; null edits or none leave the count. An edit out of range is cut to the text. Repeated rows and null
-doc_id are counted as they stand. Other columns are ignored. An empty table gives an empty table.
+All edits of a document are made in one walk: the new text is put together once, stretches that an edit reaches are read again in
+it, everything between them is skipped by the tree, and every touched leaf is summed up once. A leaf may grow or run empty; only
+when one has outgrown `LEAF` by far are the leaves dealt anew.
+
+Defined cases: null and empty texts have no tokens. Edits are (start, end, text) in code points of the original text and count
+in any order. A null edit, or one with a null start or end, is skipped; null text inserts nothing; places out of range are cut to
+the text, and an end before its start to the start. Of edits that overlap, the first by start, end and text is made and the others
+are skipped; edits that touch do not overlap, and insertions at one place are made in that order. `n_edits` counts the edits made.
+Repeated rows and null doc_id are counted as they stand. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import public_tokenizers
@@ -79,54 +84,85 @@ class CountTree:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters start..end-1."""
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
-        self.text = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        first, at = self.find(max(0, start - 2))
-        while first and at >= start - 1:  # the pre-token before may have read into the edit
-            first -= 1
-            at -= self.levels[0][first][0]
-        k = 0
-        while k < len(self.leaves[first]) and at + self.leaves[first][k][0] < start - 1:
-            at += self.leaves[first][k][0]
+        self.edit_all([(start, end, new)])
+
+    def chosen(self, edits: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """The edits to make, within the text, in order and apart from each other."""
+        size, out = len(self.text), []
+        for start, end, new in sorted((min(max(s, 0), size), min(max(e, s, 0), size), t) for s, e, t in edits):
+            if not out or start >= out[-1][1]:
+                out.append((start, end, new))
+        return out
+
+    def edit_all(self, edits: Iterable[tuple[int, int, str]]) -> int:
+        """Make the edits, given in places of the text as it is; returns how many were made."""
+        edits = self.chosen(edits)
+        if not edits:
+            return 0
+        parts, done, begins, now = [], 0, [], 0
+        for start, end, new in edits:
+            parts += [self.text[done:start], new]
+            now += start - done
+            begins.append(now)
+            now += len(new)
+            done = end
+        old_size, self.text = len(self.text), "".join([*parts, self.text[done:]])
+        ends = [b + len(new) for b, (_, _, new) in zip(begins, edits)]  # of the new texts, like `begins` in the new text
+        changes, k = [], 0
+        leaf = piece = at = 0  # a place among the old pre-tokens, and the character it starts at
+        while k < len(edits):
+            start = edits[k][0]
+            if self._reach(max(0, start - 2)) > at:
+                leaf, at = self.find(max(0, start - 2))
+                piece = 0
+            leaf, piece, at = self._forward(leaf, piece, at, lambda stop: stop >= start - 1)
+            first, pieces, new_at = (leaf, piece), [], at + begins[k] - start
+            for word in self.split(self.text, new_at):
+                while k + 1 < len(edits) and new_at > begins[k + 1]:
+                    k += 1
+                if new_at >= ends[k]:
+                    wanted = new_at - ends[k] + edits[k][1]
+                    leaf, piece, at = self._forward(leaf, piece, at, lambda stop: stop > wanted)
+                    if at == wanted:
+                        break
+                pieces.append((len(word), self._count(word)))
+                new_at += len(word)
+            else:
+                leaf, piece, at, k = len(self.leaves) - 1, len(self.leaves[-1]), old_size, len(edits) - 1
+            changes.append((*first, leaf, piece, pieces))
             k += 1
-        kept = self.leaves[first][:k]
-        # old boundaries behind the edit, leaf by leaf, in new places
-        last, old, bounds, place = first, list(self.leaves[first][k:]), [], at + shift
-        for c, _ in old:
-            bounds.append(place)
-            place += c
-        bounds.append(place)
-        pieces, now, behind = [], at, start + len(new)
-        stop = None
-        for word in self.split(self.text, at):
-            while bounds[-1] < now and last + 1 < len(self.leaves):
-                last += 1
-                for c, _ in self.leaves[last]:
-                    place += c
-                    bounds.append(place)
-                old += self.leaves[last]
-            if now >= behind:
-                i = bisect_right(bounds, now) - 1
-                if i >= 0 and bounds[i] == now and (i < len(old) or last + 1 == len(self.leaves) or now == bounds[-1]):
-                    stop = i
-                    break
-            pieces.append((len(word), self._count(word)))
-            now += len(word)
-        if stop is None:  # ran to the end of the text
-            stop, last = len(old), len(self.leaves) - 1
-        rebuilt = self._leaves(kept + pieces + old[stop:])
-        if len(rebuilt) == last - first + 1:
-            for i, leaf in enumerate(rebuilt, first):
-                self.leaves[i] = leaf
-                self._refresh(i)
-        elif len(rebuilt) == 1 and max(len(rebuilt[0]), 1) <= 2 * LEAF and last == first:
-            self.leaves[first] = rebuilt[0]
-            self._refresh(first)
-        else:
-            self.leaves[first:last + 1] = rebuilt
+        touched = set()
+        for leaf, piece, last, stop, pieces in reversed(changes):
+            if leaf == last:
+                self.leaves[leaf][piece:stop] = pieces
+            else:
+                self.leaves[last][:stop] = []
+                self.leaves[leaf][piece:] = pieces
+                for middle in range(leaf + 1, last):
+                    self.leaves[middle] = []
+            touched.update(range(leaf, last + 1))
+        if any(len(self.leaves[i]) > 8 * LEAF for i in touched):
+            self.leaves = self._leaves([p for one in self.leaves for p in one])
             self._build()
+        else:
+            for i in touched:
+                self._refresh(i)
+        return len(edits)
+
+    def _reach(self, place: int) -> int:
+        """Where the leaf that holds a character starts."""
+        return self.find(place)[1]
+
+    def _forward(self, leaf: int, piece: int, at: int, enough: Callable[[int], bool]) -> tuple[int, int, int]:
+        """The first pre-token from here on whose end is enough; the end of all if there is none."""
+        while True:
+            pieces = self.leaves[leaf]
+            while piece < len(pieces) and not enough(at + pieces[piece][0]):
+                at += pieces[piece][0]
+                piece += 1
+            if piece < len(pieces) or leaf + 1 == len(self.leaves):
+                return leaf, piece, at
+            leaf, piece = leaf + 1, 0
 
 
 @lru_cache(maxsize=2)
@@ -155,9 +191,8 @@ def count_with_edits(docs: DataFrame, path: str = RANKS, key: str = "doc_id", te
             for t, changes in zip(text_values(batch["text"]), batch["edits"].to_pylist()):
                 tree = CountTree(t, split, count)
                 before, tree.encoded = tree.tokens, 0
-                for e in sorted(changes or [], key=lambda e: (e["start"], e["end"]), reverse=True):
-                    tree.edit(e["start"], e["end"], e["text"] or "")
-                out.append((before, len(changes or []), tree.tokens, tree.encoded))
+                made = tree.edit_all((e["start"], e["end"], e["text"] or "") for e in changes or () if e and e["start"] is not None and e["end"] is not None)
+                out.append((before, made, tree.tokens, tree.encoded))
             yield pa.record_batch([batch["doc_id"], *(pa.array([o[i] for o in out], pa.int64()) for i in range(4))],
                                   ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted"])
 

@@ -222,3 +222,42 @@ def test_edit_query(spark, sf):
         assert (r["n_tokens"], r["n_edits"], r["n_tokens_edited"]) == (size(t), n, size(new))
     odd = odd_rows(spark).withColumn("edits", edit_counts.masked_numbers())
     assert edit_counts.count_with_edits(odd).count() == 9 and edit_counts.count_with_edits(empty(spark).withColumn("edits", edit_counts.masked_numbers())).count() == 0
+
+
+def test_many_edits_in_one_walk():
+    """Random edits, touching and overlapping ones included, against a fresh count of the text made plainly."""
+    split, count = edit_counts._tools(RANKS)
+    r = random.Random(12)
+    for t in made(150, 400, 13) + ["", "x", "  \n ", "".join(PARTS) * 80]:
+        tree = edit_counts.CountTree(t, split, count)
+        for _ in range(3):
+            n, old = len(tree.text), tree.text
+            edits = [(a, a + r.choice([0, 0, 1, 3, 30, -2]), "".join(r.choice(PARTS) for _ in range(r.choice([0, 1, 2, 9])))) for a in (r.randrange(-3, n + 4) for _ in range(r.randrange(12)))]
+            want, done, made_ = [], 0, 0
+            for a, b, new in sorted((min(max(a, 0), n), min(max(b, a, 0), n), new) for a, b, new in edits):
+                if a >= done:
+                    want += [old[done:a], new]
+                    done, made_ = b, made_ + 1
+            want = "".join([*want, old[done:]])
+            assert tree.edit_all(edits) == made_ and tree.text == want
+            assert [c for leaf in tree.leaves for c, _ in leaf] == [len(w) for w in split(want, 0)], (old, edits)
+            assert tree.tokens == sum(k for leaf in tree.leaves for _, k in leaf) == len(rank_encoder(RANKS).encode_ordinary(want))
+
+
+def test_edits_do_not_copy_the_text():
+    """As many edits as there are words of a long text, in about the time of one count."""
+    import time
+
+    split, count = edit_counts._tools(RANKS)
+    tree = edit_counts.CountTree("word and another 12345 " * 40_000, split, count)
+    start = time.time()
+    assert tree.edit_all([(23 * i, 23 * i + 4, "changed") for i in range(40_000)]) == 40_000
+    assert time.time() - start < 20 and tree.tokens == len(rank_encoder(RANKS).encode_ordinary(tree.text))
+
+
+def test_edits_with_nulls(spark):
+    rows = [(1, "one two three", [(0, 3, "1"), None, (None, 3, "x"), (4, None, "y"), (8, 99, None), (2, 5, "over")]), (2, None, [(0, 0, "new text")]), (3, "same", None), (None, "", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
+    size = lambda t: len(rank_encoder(RANKS).encode_ordinary(t))
+    got = {r["doc_id"]: (r["n_tokens"], r["n_edits"], r["n_tokens_edited"]) for r in edit_counts.count_with_edits(df).collect()}
+    assert got == {1: (size("one two three"), 2, size("1 two ")), 2: (0, 1, size("new text")), 3: (size("same"), 0, size("same")), None: (0, 0, 0)}
