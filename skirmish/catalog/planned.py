@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skirmish.catalog.queries import by_match, query, r6, rounded
-from skirmish.plans import fights as fp, latency, zones
+from skirmish.plans import cover, fights as fp, latency, zones
 
 
 def responses(t):
@@ -38,3 +38,9 @@ def p2_rotation_timing(t):
 def p2_fight_zone_context(t):
     found = zones.fight_zone_context(t.sides, t.positions, zones.zone_phases(t.zones), split=t.split)
     return rounded(found.drop("match_id"), "to_shrink_s", "edge_now", "edge_next")
+
+
+@query
+def p3_cover_at_start(t):
+    pieces = cover.with_builder_team(t.placed_pieces, t.teams, t.split)
+    return cover.cover_at_start(t.sides, t.positions, pieces, radius=300.0, split=t.split).drop("match_id")

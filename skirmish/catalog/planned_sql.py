@@ -7,6 +7,12 @@ def _entry(x: str, y: str, vx: str, vy: str, r: str, vr: str) -> tuple[str, str,
     return f"(({vx})^2 + ({vy})^2 - ({vr})^2)", f"(2 * (({x}) * ({vx}) + ({y}) * ({vy}) - ({r}) * ({vr})))", f"(({x})^2 + ({y})^2 - ({r})^2)"
 
 
+def _slab(a: str, half: int, pick: str, within: str, outside: str) -> str:
+    """Where the line enters or leaves the slab of a piece's box on one axis."""
+    low, high, step = f"p.{a} - {half} - s.{a}", f"p.{a} + {half} - s.{a}", f"(s.{a}2 - s.{a})"
+    return f"case when {step} = 0 then case when {low} <= 0 and {high} >= 0 then {within} else {outside} end else {pick}(({low}) / {step}, ({high}) / {step}) end"
+
+
 _FOLLOW = "rows between 1 following and unbounded following"
 _TRACK = {c: f"({c} + v{c} * (low - t))" for c in "xy"}
 _DONE = "least(1, greatest(0, (t0 - start_shrink) / (finish_shrink - start_shrink)))"
@@ -68,9 +74,26 @@ DEFS = {
           from (select match_id, fight_id, team_index, t0, unnest(string_split(players, ';')) as player_id from fs) s
           asof left join positions p on p.match_id = s.match_id and p.player_id = s.player_id and s.t0 >= p.t) s
         asof left join phases z on z.match_id = s.match_id and s.t0 <= z.finish_shrink""",
+    # cover
+    "team_pieces": """select p.*, coalesce(a.team_index, -1) as team_index from placed_pieces p asof left join teams a on a.match_id = p.match_id and a.player_id = p.builder and p.spawn_t >= a.t
+        where p.close_t is null or p.close_t > p.spawn_t""",
+    "side_mean": """select s.match_id, s.fight_id, s.team_index, s.opp_team_index, s.t0, avg(case when s.t0 - p.t <= 2 then p.x end) as x, avg(case when s.t0 - p.t <= 2 then p.y end) as y,
+          avg(case when s.t0 - p.t <= 2 then p.z end) as z
+        from (select match_id, fight_id, team_index, opp_team_index, t0, unnest(string_split(players, ';')) as player_id from fs) s
+        asof left join positions p on p.match_id = s.match_id and p.player_id = s.player_id and s.t0 >= p.t group by s.match_id, s.fight_id, s.team_index, s.opp_team_index, s.t0""",
+    "side_lines": """select a.*, b.x as x2, b.y as y2, b.z as z2 from side_mean a left join side_mean b on b.fight_id = a.fight_id and b.team_index = a.opp_team_index""",
+    "near_pieces": """select s.fight_id, s.team_index, count(*) filter (p.team_index = s.team_index) as own, count(*) filter (p.team_index <> s.team_index) as other from side_lines s
+        join team_pieces p on p.match_id = s.match_id and p.spawn_t <= s.t0 and (p.close_t is null or p.close_t > s.t0)
+        where (p.x - s.x) ^ 2 + (p.y - s.y) ^ 2 + (p.z - s.z) ^ 2 <= 300.0 ^ 2 group by s.fight_id, s.team_index""",
+    "line_pieces": """select s.fight_id, s.team_index, count(*) as n from side_lines s join team_pieces p on p.match_id = s.match_id and p.spawn_t <= s.t0 and (p.close_t is null or p.close_t > s.t0)
+        where s.x is not null and s.x2 is not null and greatest(0, {}) <= least(1, {}) group by s.fight_id, s.team_index""".format(
+        ", ".join(_slab(a, h, "least", "0", "2") for a, h in zip("xyz", (256, 256, 192))), ", ".join(_slab(a, h, "greatest", "1", "1") for a, h in zip("xyz", (256, 256, 192)))),
 }
 
 SQL = {
+    "p3_cover_at_start": """select fight_id, team_index, case when x is not null then coalesce(own, 0) end as own_near, case when x is not null then coalesce(other, 0) end as other_near,
+        case when x is not null and x2 is not null then coalesce(n, 0) end as "between" from side_lines left join near_pieces using (fight_id, team_index)
+        left join line_pieces using (fight_id, team_index)""",
     "p1_hit_responses": "select match_id, attacker, victim, t, round(fire_s, 6) as fire_s, round(build_s, 6) as build_s, round(turn_s, 6) as turn_s from responses",
     "p1_response_quantiles": """select player_id, response, count(*) as waits, count(latency) as answered, round(quantile_cont(latency, 0.25), 6) as p25,
         round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.75), 6) as p75, round(quantile_cont(latency, 0.75) - quantile_cont(latency, 0.25), 6) as iqr
