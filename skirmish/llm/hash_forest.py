@@ -2,18 +2,19 @@
 
 Method (hash-prefix forest): in each of `TREES` trees every vector gets a string of `SYMBOLS` hashes of one bit (the side of
 the axes of a random rotation it lies on), read as a long number, so that a tree is the sorted array of its strings. A
-query descends to its longest matching prefix in each tree; all trees then ascend together, one symbol at a time, until
-they hold enough distinct vectors between them, and every vector below those prefixes is compared exactly. Enough is
-`wanted` of the size of the index: the share a query has to see for a given recall falls only slowly as the index grows, so
-a fixed number would lose recall, and one bit a step keeps what is compared within about twice of what is asked for. If even one symbol is too much to ask, the query ascends to the root, that
-is, to all vectors: small or odd cases are exact.
-
-The level at which a query stops is found on the strings of about `SAMPLE` vectors, all of them if there are no more; the
-vectors compared are all those below the prefixes. The index is dealt into blocks of about `BLOCK` vectors, each with the
-sorted strings of its own; chunks of `CHUNK` queries meet every block and look up their prefixes there, so no list of
-candidates and no pair of vectors is ever a row. Equal vectors are indexed once with their `k + 1` smallest ids, which is all
-that an answer can use. Everything is indexed and no bucket is capped. Recall on random 64-dimensional data, the worst case,
-is measured in the README, on smaller data in the tests.
+query descends in each array to its longest matching prefix; all trees then ascend together, one symbol at a time, until they
+hold enough distinct vectors between them, and every vector below those prefixes is compared exactly. One bit a step keeps
+what is compared within about twice of what is asked for.
+
+Enough is a share of the index by one rule for every size (`wanted`): the share a query has to see for a given recall falls only
+slowly as the index grows, so a fixed number would lose recall. On random directions it is large (the README has the figures);
+nothing less reaches the recall there.
+
+The index is dealt into blocks of about `BLOCK` vectors, each a forest of its own, and every query searches each of them for its
+share. Queries with their strings are stored once in the shared folder; the task of a block reads them from there in batches of
+`BATCH`, so vectors are shuffled once, queries never, and neither candidates nor pairs are ever rows: a block returns at most `k`
+rows per query. Equal vectors are indexed once with their `k + 1` smallest ids, which is all that an answer can use. Everything is
+indexed and no bucket is capped.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite parts, or differ in length from the most common
 length take no part; rows without an id neither. Several rows of one id count as one if equal; otherwise each takes part.
@@ -27,15 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skirmish.llm.common import materialize, spans_of
+from skirmish.llm.token_files import filesystem
+from skirmish.session import scratch_path
 
-TREES, SYMBOLS, CANDIDATES = 64, 30, 4096
-#: The distinct vectors a query has to reach in an index of n: FACTOR * n ** POWER, if that is more than CANDIDATES.
-FACTOR, POWER = 1.7, 0.85
-BLOCK, CHUNK, SAMPLE = 16384, 4096, 16384
+TREES, SYMBOLS = 64, 30
+#: The distinct vectors a query has to reach in an index of n: FACTOR * n ** POWER, and CANDIDATES at least (all, if there are fewer).
+FACTOR, POWER, CANDIDATES = 1.7, 0.85, 256
+BLOCK, BATCH = 16384, 4096
 SEED = 17
 
 
@@ -56,16 +59,55 @@ def hash_strings(x: np.ndarray, trees: int, symbols: int) -> np.ndarray:
 
 def wanted(total: int, candidates: int = CANDIDATES) -> float:
     """The distinct vectors that a query has to reach in an index of `total`."""
-    return max(candidates, FACTOR * total ** POWER)
-
-
-def stop_levels(strings: np.ndarray, sample: np.ndarray, symbols: int, need: float) -> np.ndarray:
-    """For each query the longest prefix, in symbols, below which all trees hold `need` distinct vectors of the sample."""
-    if need >= len(sample):
-        return np.zeros(len(strings), np.int32)
-    at = max(0, int(np.ceil(need)) - 1)
-    # the trees' longest common prefix with a vector is where their least difference begins
-    return np.array([symbols - int(np.partition((sample ^ s).min(1), at)[at]).bit_length() for s in strings], np.int32)
+    return min(total, max(candidates, FACTOR * total ** POWER))
+
+
+class Forest:
+    """The sorted arrays of one block."""
+
+    def __init__(self, strings: np.ndarray, symbols: int):
+        self.symbols, self.size = symbols, len(strings)
+        self.order = np.argsort(strings, axis=0, kind="stable").T
+        self.trees = np.take_along_axis(strings.T, self.order, 1)
+        self.entries = self.order.ravel()
+
+    def descend(self, query: np.ndarray) -> np.ndarray:
+        """Length of the longest prefix that each query string shares with a string of its tree: one of its two neighbours has it."""
+        best = np.zeros(query.shape, np.int64)
+        for t, tree in enumerate(self.trees):
+            at = np.searchsorted(tree, query[:, t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, self.size - 1)):
+                differs = np.frexp((tree[near] ^ query[:, t]).astype(np.float64))[1]  # bits up to the first that differs
+                best[:, t] = np.maximum(best[:, t], self.symbols - differs)
+        return best
+
+    def ranges(self, query: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First entry and number of entries below the prefixes of `level` symbols, per query and tree."""
+        below = self.symbols - level
+        low = query.astype(np.int64) >> below << below
+        starts, ends = np.empty(low.shape, np.int64), np.empty(low.shape, np.int64)
+        for t, tree in enumerate(self.trees):
+            starts[:, t] = np.searchsorted(tree, low[:, t]) + t * self.size
+            ends[:, t] = np.searchsorted(tree, low[:, t] + (np.int64(1) << below)) + t * self.size
+        return starts, ends - starts
+
+    def search(self, query: np.ndarray, need: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, vectors): what the trees hold where they have ascended to `need` distinct vectors between them."""
+        waiting = np.arange(len(query))
+        deepest = self.descend(query).max(1)
+        for level in range(self.symbols, -1, -1):
+            now = waiting[deepest[waiting] >= level]
+            if not len(now):
+                continue
+            starts, sizes = self.ranges(query[now], level)
+            done = []
+            for i in np.flatnonzero(sizes.sum(1) >= need):  # entries repeat from tree to tree: count vectors
+                hit = np.zeros(self.size, bool)
+                hit[self.entries[spans_of(starts[i], sizes[i])]] = True
+                if (at := np.flatnonzero(hit)).size >= need:
+                    yield int(now[i]), at
+                    done.append(now[i])
+            waiting = np.setdiff1d(waiting, done)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -90,8 +132,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     few = rows.distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     distinct = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vid", F.element_at("ids", 1)), "ann-vectors")
     total = distinct.count()
-    blocks = max(1, -(-total // BLOCK))
-    place = F.xxhash64("vid", "v")
+    blocks, share = max(1, -(-total // BLOCK)), wanted(total, candidates) / max(total, 1)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,60 +141,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
                 strings = pa.ListArray.from_arrays(np.arange(0, h.size + 1, trees, dtype=np.int32), pa.array(h.ravel()))
                 yield pa.record_batch([*batch.columns, strings], [*batch.schema.names, "strings"])
 
-    placed = distinct.select("v", "ids", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64(place), F.lit(1 << 20)).alias("lot"))
-    indexed = materialize(placed.mapInArrow(hashed, "v array<double>, ids array<long>, block int, lot long, strings array<int>"), "ann-index")
-    sampled = indexed.filter(F.col("lot") < (1 << 20) * SAMPLE / max(total, 1)).select("strings").toArrow()["strings"]
-    sample = _matrix(sampled) if len(sampled) else np.zeros((0, trees), np.int32)
-    need = wanted(total, candidates) * len(sample) / max(total, 1)
-
-    def stopped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in hashed(batches):
-            level = stop_levels(_matrix(batch["strings"]), sample, symbols, need)
-            yield pa.record_batch([*batch.columns, pa.array(level, pa.int32())], [*batch.schema.names, "level"])
-
-    asked = rows.filter(is_query).distinct().withColumn("query", F.monotonically_increasing_id())
-    queries = materialize(asked.select("v", "query", "vec_id").mapInArrow(stopped, "v array<double>, query long, vec_id long, strings array<int>, level int"), "ann-queries")
-    chunk_count = max(1, -(-queries.count() // CHUNK))
-
-    def none(kind: str, name: str) -> Column:
-        return F.lit(None).cast(kind).alias(name)
-
-    vectors_side = indexed.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunk_count - 1))).alias("chunk"), "v", "strings", "ids",
-                                  none("long", "query"), none("long", "query_id"), none("int", "level"))
-    queries_side = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("query", F.lit(chunk_count)).cast("int").alias("chunk"),
-                                  "v", "strings", none("array<long>", "ids"), "query", F.col("vec_id").alias("query_id"), "level")
+    asked = rows.filter(is_query).distinct().withColumn("query", F.monotonically_increasing_id()).select("query", F.col("vec_id").alias("query_id"), "v")
+    folder = scratch_path(distinct.sparkSession, "ann-queries")
+    asked.mapInArrow(hashed, "query long, query_id long, v array<double>, strings array<int>").write.parquet(folder)
 
     def nearest(group: pa.Table) -> pa.Table:
-        """Exact distances of the candidates in one block for one chunk of queries."""
-        query = group.filter(pa.compute.is_valid(group["query"]))
-        own = group.filter(pa.compute.is_null(group["query"]))
-        out: list[tuple[int, int, int, float]] = []
-        if (n := own.num_rows) and query.num_rows:
-            x, ids = _matrix(own["v"]), own["ids"].to_pylist()
-            h, level = _matrix(query["strings"]), query["level"].to_numpy()
-            below = symbols - level
-            order, starts, ends = np.empty((trees, n), np.int32), np.empty(h.shape, np.int64), np.empty(h.shape, np.int64)
-            for t, strings in enumerate(_matrix(own["strings"]).T):
-                order[t] = np.argsort(strings)
-                tree = strings[order[t]]
-                low = h[:, t].astype(np.int64) >> below << below
-                starts[:, t] = np.searchsorted(tree, low) + t * n
-                ends[:, t] = np.searchsorted(tree, low + (np.int64(1) << below)) + t * n
-            entries = order.ravel()
-            for i, (q, qid, v) in enumerate(zip(query["query"].to_pylist(), query["query_id"].to_pylist(), _matrix(query["v"]))):
-                if level[i]:
-                    hit = np.zeros(n, bool)
-                    hit[entries[spans_of(starts[i], ends[i] - starts[i])]] = True
-                    at = np.flatnonzero(hit)
-                else:
-                    at = np.arange(n)
-                distance = np.sqrt(((x[at] - v) ** 2).sum(1))
-                keep = np.flatnonzero(distance <= np.partition(distance, k)[k]) if len(distance) > k + 1 else np.arange(len(distance))
-                best = sorted((distance[j], m) for j in keep for m in ids[at[j]] if m != qid)[:k]
-                out += [(q, qid, m, float(d)) for d, m in best]
+        """Exact distances of the candidates in one block, for all queries."""
+        x, ids = _matrix(group["v"]), group["ids"].to_pylist()
+        forest, out = Forest(hash_strings(x, trees, symbols), symbols), []
+        need = min(len(x), int(np.ceil(share * len(x))))
+        source, base = filesystem(folder)
+        files = [f.path for f in source.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        for path in sorted(files):
+            for batch in parquet.ParquetFile(source.open_input_file(path)).iter_batches(BATCH):
+                points, numbers, own = _matrix(batch["v"]), batch["query"].to_pylist(), batch["query_id"].to_pylist()
+                for i, at in forest.search(_matrix(batch["strings"]), need) if batch.num_rows else ():
+                    distance = np.sqrt(((x[at] - points[i]) ** 2).sum(1))
+                    keep = np.flatnonzero(distance <= np.partition(distance, k)[k]) if len(distance) > k + 1 else np.arange(len(distance))
+                    best = sorted((distance[j], m) for j in keep for m in ids[at[j]] if m != own[i])[:k]
+                    out += [(numbers[i], own[i], m, float(d)) for d, m in best]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                         ["query", "query_id", "vec_id", "score"])
 
-    found = vectors_side.unionByName(queries_side).groupBy("block", "chunk").applyInArrow(nearest, "query long, query_id long, vec_id long, score double")
+    placed = distinct.select("v", "ids", F.pmod(F.xxhash64("vid", "v"), F.lit(blocks)).cast("int").alias("block"))
+    found = placed.groupBy("block").applyInArrow(nearest, "query long, query_id long, vec_id long, score double")
     best = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id")))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -60,3 +60,33 @@ def test_candidates_follow_the_index(spark):
     want = plain(rows, [i for i in range(6000) if i % 200 == 0])
     recall = np.mean([len(got.get(q, set()) & {v for v, _ in found}) / 10 for q, found in want.items()])
     assert recall >= 0.9, recall
+
+
+def test_descent_and_ascent_on_sorted_arrays():
+    """Longest matches and the prefixes at which the ascent stops, against comparing all strings."""
+    r = np.random.default_rng(5)
+    strings, query = r.integers(0, 1 << 12, (700, 6)).astype(np.int32), r.integers(0, 1 << 12, (40, 6)).astype(np.int32)
+    query[:5] = strings[:5]
+    forest = hf.Forest(strings, 12)
+    shared = lambda q: 12 - np.vectorize(lambda v: int(v).bit_length())(strings ^ q)  # noqa: E731 (vectors x trees)
+    assert (forest.descend(query) == np.stack([shared(q).max(0) for q in query])).all()
+    for need in (1, 30, 400, 700):
+        found = dict(forest.search(query, need))
+        assert set(found) == set(range(40))
+        for i, at in found.items():
+            best = shared(query[i]).max(1)  # of each vector, over the trees
+            level = np.sort(best)[-need]
+            assert at.tolist() == np.flatnonzero(best >= level).tolist()
+
+
+def test_repeated_ids_and_several_blocks(spark, monkeypatch):
+    """Rows of one id with different vectors each take part, whatever the number of blocks."""
+    monkeypatch.setattr(hf, "BLOCK", 20)
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(90)] + [(5, [1.0] * 6), (5, [1.0] * 6), (6, [-1.0] * 6)]
+    got = {}
+    for row in hf.search(table(spark, rows), F.col("vec_id") == 40, candidates=1000).collect():
+        got[row["rank"]] = (row["vec_id"], round(row["score"], 9))
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    pairs = sorted({(round(float(np.sqrt(((v - x[40]) ** 2).sum())), 9), i) for (i, _), v in zip(rows, x) if i != 40})[:10]
+    assert [got[k + 1] for k in range(10)] == [(i, d) for d, i in pairs]
