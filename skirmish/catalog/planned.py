@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skirmish.catalog.queries import by_match, query, r6, rounded
-from skirmish.plans import cover, fights as fp, latency, zones
+from skirmish.plans import cover, fights as fp, latency, metrics, skill, zones
 
 
 def responses(t):
@@ -44,3 +44,77 @@ def p2_fight_zone_context(t):
 def p3_cover_at_start(t):
     pieces = cover.with_builder_team(t.placed_pieces, t.teams, t.split)
     return cover.cover_at_start(t.sides, t.positions, pieces, radius=300.0, split=t.split).drop("match_id")
+
+
+def with_expected(sides):
+    """Sides with `expected`, their share of the players on both sides."""
+    size = F.size(F.split("players", ";"))
+    other = sides.select("fight_id", F.col("team_index").alias("opp_team_index"), size.alias("_opp"))
+    return sides.join(other, ["fight_id", "opp_team_index"]).withColumn("expected", size / (size + F.col("_opp"))).drop("_opp")
+
+
+def credits(t):
+    return skill.player_credits(skill.side_residuals(with_expected(t.sides), F.col("expected")), t.hits)
+
+
+def shrinkage(t):
+    return skill.reliability(skill.half_sums(credits(t), ["match_id", "t0", "fight_id", "team_index"], t.split))
+
+
+@query
+def p4_player_credits(t):
+    return rounded(credits(t).select("fight_id", "team_index", "player_id", "dealt", "credit"), "dealt", "credit")
+
+
+@query
+def p4_shrinkage(t):
+    return rounded(shrinkage(t), "r")
+
+
+@query
+def p4_values_before(t):
+    """One day per match, an event every ten days."""
+    days = t.match_ids.select("match_id", (F.substring("match_id", 2, 10).cast("int") * 3 % 200).alias("day"))
+    events = days.select(((F.floor(F.col("day") / 10) + 1) * 10).cast("int").alias("event_day")).distinct()
+    found = skill.values_before(credits(t), days, events, skill.best_shrinkage(shrinkage(t)))
+    return rounded(found, "value")
+
+
+def forecasts(t):
+    """Decided sides with a forecast of the win, and a graded gain."""
+    won = F.when(F.col("outcome") == "win", 1).when(F.col("outcome") == "loss", 0)
+    gain = F.when(F.col("outcome") == "win", 2).when(F.col("outcome") == "tie", 1).otherwise(0)
+    return with_expected(t.sides).select("match_id", "fight_id", "team_index", "hits_dealt", "hits_taken", "expected", won.alias("won"), gain.alias("gain"))
+
+
+@query
+def p5_bootstrap(t):
+    decided = F.col("won").isNotNull().cast("int")
+    return rounded(metrics.bootstrap(forecasts(t), "match_id", F.coalesce("won", F.lit(0)), decided), "estimate", "low", "high")
+
+
+@query
+def p6_auc(t):
+    return rounded(metrics.auc(forecasts(t), "expected", F.col("won")), "auc")
+
+
+@query
+def p6_auc_by_match(t):
+    return rounded(metrics.auc(forecasts(t), "hits_dealt", F.col("won"), ["match_id"]), "auc")
+
+
+@query
+def p6_spearman(t):
+    return rounded(metrics.spearman(forecasts(t), "hits_dealt", "hits_taken"), "rho")
+
+
+@query
+def p6_ndcg(t):
+    rows = forecasts(t)
+    at = [metrics.ndcg(rows, "match_id", "hits_dealt", "gain", k).withColumn("k", F.lit(k)) for k in metrics.CUTS]
+    return rounded(at[0].unionByName(at[1]), "ndcg")
+
+
+@query
+def p6_reliability_bins(t):
+    return rounded(metrics.reliability_bins(forecasts(t), "expected", F.col("won")), "mean_p", "rate", "gap")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 
 def _entry(x: str, y: str, vx: str, vy: str, r: str, vr: str) -> tuple[str, str, str]:
     return f"(({vx})^2 + ({vy})^2 - ({vr})^2)", f"(2 * (({x}) * ({vx}) + ({y}) * ({vy}) - ({r}) * ({vr})))", f"(({x})^2 + ({y})^2 - ({r})^2)"
@@ -13,6 +16,8 @@ def _slab(a: str, half: int, pick: str, within: str, outside: str) -> str:
     return f"case when {step} = 0 then case when {low} <= 0 and {high} >= 0 then {within} else {outside} end else {pick}(({low}) / {step}, ({high}) / {step}) end"
 
 
+#: Running sums of the Poisson(1) terms.
+_STEPS = list(accumulate(math.exp(-1) / math.factorial(i) for i in range(12)))
 _FOLLOW = "rows between 1 following and unbounded following"
 _TRACK = {c: f"({c} + v{c} * (low - t))" for c in "xy"}
 _DONE = "least(1, greatest(0, (t0 - start_shrink) / (finish_shrink - start_shrink)))"
@@ -88,9 +93,57 @@ DEFS = {
     "line_pieces": """select s.fight_id, s.team_index, count(*) as n from side_lines s join team_pieces p on p.match_id = s.match_id and p.spawn_t <= s.t0 and (p.close_t is null or p.close_t > s.t0)
         where s.x is not null and s.x2 is not null and greatest(0, {}) <= least(1, {}) group by s.fight_id, s.team_index""".format(
         ", ".join(_slab(a, h, "least", "0", "2") for a, h in zip("xyz", (256, 256, 192))), ", ".join(_slab(a, h, "greatest", "1", "1") for a, h in zip("xyz", (256, 256, 192)))),
+    # credits and shrinkage
+    "expectations": """select s.*, len(string_split(s.players, ';')) / (len(string_split(s.players, ';')) + len(string_split(o.players, ';'))) as expected from fs s
+        join fs o on o.fight_id = s.fight_id and o.team_index = s.opp_team_index""",
+    "dealt_by": "select fight_id, source_team as team_index, source as player_id, sum(magnitude) as dealt from hits group by all",
+    "dealt_side": "select fight_id, team_index, sum(dealt) as total from dealt_by group by all",
+    "credits": """select r.match_id, r.fight_id, r.team_index, r.t0, r.player_id, coalesce(d.dealt, 0) as dealt,
+          residual * case when total > 0 then coalesce(d.dealt, 0)::double / total else 1.0::double / n_members end as credit
+        from (select *, (outcome = 'win')::int - expected as residual, unnest(string_split(players, ';')) as player_id, len(string_split(players, ';')) as n_members from expectations
+              where outcome in ('win', 'loss')) r
+        left join dealt_by d on d.fight_id = r.fight_id and d.team_index = r.team_index and d.player_id = r.player_id
+        left join dealt_side a on a.fight_id = r.fight_id and a.team_index = r.team_index""",
+    "halves": """select player_id, count(*) filter (h = 0) as n0, coalesce(sum(credit) filter (h = 0), 0) as s0, count(*) filter (h = 1) as n1, coalesce(sum(credit) filter (h = 1), 0) as s1
+        from (select *, (row_number() over (partition by player_id order by match_id, t0, fight_id, team_index) - 1) % 2 as h from credits) group by player_id""",
+    "shrunk": """select k, s0 / (n0 + k) as a, s1 / (n1 + k) as b from halves, (select unnest([0, 1, 2, 5, 10, 20, 50, 100])::double as k) where n0 > 0 and n1 > 0""",
+    "k_grid": "select k, count(*) as players, case when stddev_pop(a) > 1e-12 and stddev_pop(b) > 1e-12 then corr(a, b) end as r from shrunk group by k",
+    "k_best": "select k, coalesce(r >= 0.5, false) as ok from k_grid order by round(r, 9) desc nulls last, k limit 1",
+    "match_days": "select match_id, cast(substr(match_id, 2) as int) * 3 % 200 as day from ids",
+    "event_days": "select distinct (day // 10 + 1) * 10 as event_day from match_days",
+    # forecasts
+    "forecasts": """select match_id, fight_id, team_index, hits_dealt, hits_taken, expected, case outcome when 'win' then 1 when 'loss' then 0 end as won,
+        case outcome when 'win' then 2 when 'tie' then 1 else 0 end as gain from expectations""",
+    "decided_by": "select match_id, sum(coalesce(won, 0)) as num, count(won) as den from forecasts group by match_id",
+    "poisson_steps": "select unnest([{}]) as step".format(", ".join(repr(s) for s in _STEPS)),
+    "draws": """select rep, num, den, (select count(*) from poisson_steps where u >= step) as w from (select *,
+        ('0x' || substr(sha256('bootstrap-v1:' || rep || ':' || match_id), 1, 12))::bigint::double / 281474976710656.0::double as u from decided_by, (select unnest(range(200)) as rep))""",
+    "ratios": "select rep, sum(w * num)::double / nullif(sum(w * den), 0) as ratio from draws group by rep",
+    "discounts": "select i, coalesce((select sum(1 / log2(j + 1)) from (select unnest(range(1, 26)) as j) where j <= i), 0) as d from (select unnest(range(26)) as i)",
+    **{f"dcg_{name}": f"""select match_id, k, sum(n) as n, sum(g / n * (b.d - a.d)) as v from
+        (select *, sum(n) over (partition by match_id order by x desc) - n as before from (select match_id, {col} as x, count(*) as n, sum(gain)::double as g from forecasts group by all)) q
+        cross join (select unnest([10, 25]) as k) join discounts a on a.i = least(before, k) join discounts b on b.i = least(before + n, k) group by all"""
+       for name, col in (("got", "hits_dealt"), ("best", "gain"))},
 }
 
 SQL = {
+    "p4_player_credits": "select fight_id, team_index, player_id, round(dealt, 6) as dealt, round(credit, 6) as credit from credits",
+    "p4_shrinkage": "select k, players, round(r, 6) as r from k_grid",
+    "p4_values_before": """select event_day, player_id, count(*) as n, round(sum(credit) / (count(*) + any_value(k)), 6) as value, any_value(ok) as ok from credits join match_days using (match_id)
+        join event_days on day < event_day and day >= event_day - 90, k_best group by event_day, player_id""",
+    "p5_bootstrap": """select (select count(*) from decided_by) as events, round((select sum(num) / sum(den) from decided_by), 6) as estimate, round(quantile_cont(ratio, 0.025), 6) as low,
+        round(quantile_cont(ratio, 0.975), 6) as high, count(ratio) as replicates from ratios""",
+    "p6_auc": """select sum(won)::bigint as positives, sum(1 - won)::bigint as negatives, round((sum(r) filter (won = 1) - sum(won) * (sum(won) + 1) / 2) / (sum(won) * sum(1 - won)), 6) as auc
+        from (select *, rank() over (order by expected) + (count(*) over (partition by expected) - 1) / 2 as r from forecasts where won is not null)""",
+    "p6_auc_by_match": """select match_id, sum(won)::bigint as positives, sum(1 - won)::bigint as negatives,
+        round((sum(r) filter (won = 1) - sum(won) * (sum(won) + 1) / 2) / nullif(sum(won) * sum(1 - won), 0), 6) as auc
+        from (select *, rank() over (partition by match_id order by hits_dealt) + (count(*) over (partition by match_id, hits_dealt) - 1) / 2 as r from forecasts where won is not null)
+        group by match_id""",
+    "p6_spearman": """select count(*) as n, round(corr(a, b), 6) as rho from (select rank() over (order by hits_dealt) + (count(*) over (partition by hits_dealt) - 1) / 2 as a,
+        rank() over (order by hits_taken) + (count(*) over (partition by hits_taken) - 1) / 2 as b from forecasts)""",
+    "p6_ndcg": """select match_id, g.n::bigint as rows, case when b.v > 0 then round(g.v / b.v, 6) end as ndcg, k from dcg_got g join dcg_best b using (match_id, k)""",
+    "p6_reliability_bins": """select least(floor(expected * 10), 9)::int as bin, count(*) as n, round(avg(expected), 6) as mean_p, round(avg(won), 6) as rate,
+        round(avg(won) - avg(expected), 6) as gap from forecasts where won is not null group by 1""",
     "p3_cover_at_start": """select fight_id, team_index, case when x is not null then coalesce(own, 0) end as own_near, case when x is not null then coalesce(other, 0) end as other_near,
         case when x is not null and x2 is not null then coalesce(n, 0) end as "between" from side_lines left join near_pieces using (fight_id, team_index)
         left join line_pieces using (fight_id, team_index)""",
