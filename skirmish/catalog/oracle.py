@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skirmish.catalog import planned_sql
+from skirmish.functions.columns import KNOWN_SHAPES
 
 # Tables derived from `events` and `orders`, in dependency order. FIXTURES.md section 2.
 BASE = {
@@ -304,6 +305,12 @@ ALL["chev"] = "select *, cast(k % 8 as bigint) as channel, cast(k % 6 as bigint)
 
 _HASH = "('0x' || substr(sha256({}), 1, 12))::bigint / pow(16, 12)"
 _PID = "case when p = 0 then concat('BOT_', match_id) else concat(match_id, '-', player_id) end"
+_OWNER = """select i.match_id, coalesce(f.player_id, h.player_id, p.player_id) as replay_owner from ids i
+    left join (select match_id, min(player_id) as player_id from players where {flagged} group by match_id) f on f.match_id = i.match_id
+    left join (select match_id, player_id from (select match_id, player_id, row_number() over (partition by match_id order by count(*) desc, min(t), player_id) as r from weapons
+      group by match_id, player_id) q where r = 1) h on h.match_id = i.match_id
+    left join (select match_id, player_id from (select match_id, player_id, row_number() over (partition by match_id order by count(*) desc, min(t), player_id) as r from positions
+      group by match_id, player_id) q where r = 1) p on p.match_id = i.match_id"""
 _FS_COLS = """fight_id, match_id, team_index, opp_team_index, t0, t_end, players, outcome, multi_team, n_damage_events, hits_dealt, hits_taken,
     round(damage_dealt, 6) as damage_dealt, round(damage_taken, 6) as damage_taken, recorder_involved, has_bots, mutual,
     round(minority_damage_share, 6) as minority_damage_share, engagement_type, round(dist_median_m, 6) as dist_median_m, round(dist_max_m, 6) as dist_max_m, seg_version"""
@@ -312,7 +319,7 @@ _L1 = """select 'damage_corr' as gate, case when count(*) >= 5 then round(corr(p
 _L2 = "select 'position_resolution' as gate, round(avg((player_id is not null)::int), 6) as value, count(*) as n from positions"
 _L3 = "select 'clock_offset_s' as gate, round(median(\"offset\"), 6) as value, count(*) as n from downs"
 _L4 = "select 'recorder_knock_coverage' as gate, round(avg(covered::int), 6) as value, count(*) as n from cover"
-_L5 = "select distinct shape from shaped where shape = 'DoorC'"
+_L5 = "select distinct shape from shaped where shape is not null and shape not in ({})".format(", ".join(f"'{s}'" for s in KNOWN_SHAPES))
 _L6 = "select concat(match_id, '.replay') as replay_file from split_matches"
 
 SQL: dict[str, str] = {
@@ -392,12 +399,7 @@ SQL: dict[str, str] = {
         round(quantile_cont(gap, 0.99), 6) as p99, count(gap) as n_values from gaps where gap is not null""",
     "e15_outcome_shares": "select outcome, count(*) as n, round(count(*) / (select count(*) from outc), 6) as share from outc group by outcome",
     "e16_bot_teams": "select match_id, team_index, any_bot, all_bot from botteam",
-    "e17_match_owner": """select i.match_id, coalesce(f.player_id, h.player_id, p.player_id) as replay_owner from ids i
-        left join (select match_id, min(player_id) as player_id from players where is_bot and cast(substr(match_id, 2) as int) % 5 = 0 group by match_id) f on f.match_id = i.match_id
-        left join (select match_id, player_id from (select match_id, player_id, row_number() over (partition by match_id order by count(*) desc, min(t), player_id) as r from weapons
-          where cast(substr(match_id, 2) as int) % 2 = 0 group by match_id, player_id) q where r = 1) h on h.match_id = i.match_id
-        left join (select match_id, player_id from (select match_id, player_id, row_number() over (partition by match_id order by count(*) desc, min(t), player_id) as r from positions
-          group by match_id, player_id) q where r = 1) p on p.match_id = i.match_id""",
+    "e17_match_owner": _OWNER.format(flagged="is_bot"), "e17_most_frequent_owner": _OWNER.format(flagged="false"),
     "e18_class_counts": "select path, count(*) as spawns from builds group by path",
     "e19_fold_pieces": """select match_id, cast(k % 10 as bigint) as piece, cast(null as bigint) as owner_persistent_id,
         arg_max(cast(k % 4 as bigint), (t, event_id)) filter (event_id % 3 <> 0) as team_index, arg_max(100 + event_id % 50, (t, event_id)) filter (event_id % 5 = 0) as max_health,

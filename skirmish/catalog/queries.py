@@ -453,10 +453,16 @@ def e16_bot_teams(t):
 
 @query
 def e17_match_owner(t):
-    even = F.substring("match_id", 2, 10).cast("int") % 2 == 0
-    health = t.weapons.where(even).select("match_id", "player_id", "t")
-    players = t.players.select("match_id", "player_id", (F.col("is_bot") & (F.substring("match_id", 2, 10).cast("int") % 5 == 0)).alias("is_replay_owner"))
-    return identity.match_owners(t.match_ids, players, health, t.positions.select("match_id", "player_id", "t"))
+    """Owners over all rows: bots are flagged as owners of their matches, so the flag decides where a match has one."""
+    players = t.players.select("match_id", "player_id", F.col("is_bot").alias("is_replay_owner"))
+    return identity.match_owners(t.match_ids, players, t.weapons.select("match_id", "player_id", "t"), t.positions.select("match_id", "player_id", "t"))
+
+
+@query
+def e17_most_frequent_owner(t):
+    """The same without any flag: whoever has most health rows."""
+    nobody = t.players.select("match_id", "player_id", F.lit(False).alias("is_replay_owner"))
+    return identity.match_owners(t.match_ids, nobody, t.weapons.select("match_id", "player_id", "t"), t.positions.select("match_id", "player_id", "t"))
 
 
 @query
@@ -772,13 +778,9 @@ def l4_coverage_gate(t):
     return rounded(ql.knock_coverage_rate(t.elims, t.sides, t.teams, t.matches, t.split), "value")
 
 
-# Fixed value: one known shape left out, so that the gate has something to report.
-SHAPES_WITHOUT_DOORS = tuple(s for s in fc.KNOWN_SHAPES if s != "DoorC")
-
-
 @query
 def l5_unknown_shapes(t):
-    return ql.unknown_build_shapes(identity.class_counts(t.builds), SHAPES_WITHOUT_DOORS)
+    return ql.unknown_build_shapes(identity.class_counts(t.builds))
 
 
 def replay_manifest(t: Telemetry) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Processed tables as parquet: projected reads, and writes that only happen once every table is valid."""
+"""Processed tables as parquet: projected reads, and writes that publish all tables at once, after every one is valid."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.schema import coerce, require_valid
+from skirmish.sources.snapshots import Store
 
 
 def read_table(spark: SparkSession, directory: str, name: str, columns: Sequence[str] | None = None,
-               match_id: str | None = None) -> DataFrame:
-    """A stored table; `columns` and `match_id` reach the parquet scan."""
-    df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+               match_id: str | None = None, snapshot: int | None = None) -> DataFrame:
+    """A stored table of the newest set (or of set number `snapshot`), or a plain parquet folder of that name where nothing was
+    committed; `columns` and `match_id` reach the parquet scan."""
+    directory = directory.rstrip("/")
+    df = spark.read.parquet(Store(spark, directory).tables(snapshot).get(name, f"{directory}/{name}.parquet"))
     if match_id is not None:
         df = df.where(F.col("match_id") == match_id)
     return df.select(*columns) if columns else df
@@ -27,14 +30,15 @@ def clustered(df: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> list[str]:
-    """Coerce, validate and write all tables, one parquet dataset each. Nothing appears under `directory` if any is invalid.
+    """Coerce, validate and write all tables, one parquet dataset each, and publish them as one new set (`snapshots`): readers see all
+    of them or none, and nothing appears under `directory` if any is invalid. Other tables of the directory stay in the set.
 
-    Each table is written once, in its final order, to a staging folder beside the target; the staged files are validated
-    and then renamed.
+    Each table is written once, in its final order, to a staging folder beside the target; the staged files are validated and then moved.
     """
     directory = directory.rstrip("/")
     spark = next(iter(tables.values())).sparkSession
-    staging = f"{directory}.staging-{uuid.uuid4().hex}"
+    store, staging = Store(spark, directory), f"{directory}.staging-{uuid.uuid4().hex}"
+    base = store.latest()
     try:
         staged = {}
         for name, df in tables.items():
@@ -42,22 +46,6 @@ def write_tables(tables: dict[str, DataFrame], directory: str) -> list[str]:
             clustered(typed).write.parquet(f"{staging}/{name}.parquet")
             staged[name] = spark.read.schema(typed.schema).parquet(f"{staging}/{name}.parquet")
         require_valid(staged)
-        return [_replace(spark, f"{staging}/{name}.parquet", f"{directory}/{name}.parquet") for name in tables]
+        return list(store.commit(staging, list(tables), base).values())
     finally:
-        path = _path(spark, staging)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _path(spark: SparkSession, text: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-
-
-def _replace(spark: SparkSession, source: str, target: str) -> str:
-    """Rename a folder, over an older one of that name."""
-    old, new = _path(spark, target), _path(spark, source)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(old.getParent())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot rename {source} to {target}")
-    return target
+        store.discard(staging)
