@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skirmish.catalog.queries import by_match, query, r6, rounded
-from skirmish.plans import cover, fights as fp, latency, metrics, skill, zones
+from skirmish.catalog.queries import query, rounded
+from skirmish.plans import cover, fights as fp, latency, metrics, panes, results, skill, zones
 
 
 def responses(t):
@@ -74,7 +74,7 @@ def p4_shrinkage(t):
 @query
 def p4_values_before(t):
     """One day per match, an event every ten days."""
-    days = t.match_ids.select("match_id", (F.substring("match_id", 2, 10).cast("int") * 3 % 200).alias("day"))
+    days = match_days(t)
     events = days.select(((F.floor(F.col("day") / 10) + 1) * 10).cast("int").alias("event_day")).distinct()
     found = skill.values_before(credits(t), days, events, skill.best_shrinkage(shrinkage(t)))
     return rounded(found, "value")
@@ -118,3 +118,69 @@ def p6_ndcg(t):
 @query
 def p6_reliability_bins(t):
     return rounded(metrics.reliability_bins(forecasts(t), "expected", F.col("won")), "mean_p", "rate", "gap")
+
+
+def match_days(t):
+    return t.match_ids.select("match_id", (F.substring("match_id", 2, 10).cast("int") * 3 % 200).alias("day"))
+
+
+def window_quantiles(t):
+    rows = responses(t).join(match_days(t), "match_id").select(F.col("victim").alias("player_id"), "day", "build_s")
+    stored = panes.daily_panes(rows, ["player_id"], "day", "build_s")
+    ends = match_days(t).select(((F.floor(F.col("day") / 10) + 1) * 10).cast("int").alias("end_day")).distinct()
+    summed = panes.window_panes(stored, ends, ["player_id"])
+    return panes.pane_quantiles(summed, ["player_id", "end_day"], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, split=t.split)
+
+
+@query
+def p7_pane_quantiles(t):
+    return rounded(window_quantiles(t), "p25", "p50", "p75")
+
+
+@query
+def p7_trend(t):
+    return rounded(panes.trend(window_quantiles(t), ["player_id"]), "slope")
+
+
+def event_results(t):
+    """Every match as an event of four teams: names move on from player to player, some events give one place twice."""
+    n, p = F.substring("match_id", 2, 10).cast("int"), F.col("p")
+    place = F.when((n % 5 == 0) & (p % 4 == 3), 1 + n % 4).otherwise(1 + (p % 4 + n) % 4)
+    return t.roster.join(match_days(t), "match_id").select(
+        F.col("match_id").alias("event_id"), "day", F.lit("list").alias("source"), F.concat(F.lit("N"), ((p + F.floor(F.col("day") / 40)) % 12).cast("string")).alias("source_key"),
+        F.col("player_id").alias("_player"), F.concat(F.lit("T"), (p % 4).cast("string")).alias("team_key"), place.cast("long").alias("placement"),
+        F.lit(4).cast("long").alias("field_size"), ((n + p) % 4 != 0).alias("_seen"))
+
+
+def name_ranges(t):
+    seen = event_results(t).where("_seen").select("source", "source_key", F.col("_player").alias("player_id"), "day")
+    return results.name_ranges(seen, t.split)
+
+
+def resolved(t):
+    return results.resolve_results(event_results(t).drop("_player", "_seen"), name_ranges(t), t.split)
+
+
+@query
+def p8_name_ranges(t):
+    return name_ranges(t)
+
+
+@query
+def p8_resolved_results(t):
+    return resolved(t).select("event_id", "source_key", "day", "team_key", "player_id")
+
+
+@query
+def p8_placement_gate(t):
+    return results.placement_gate(event_results(t))
+
+
+@query
+def p8_resolved_gate(t):
+    return rounded(results.resolved_gate(resolved(t)), "share")
+
+
+@query
+def p8_player_careers(t):
+    return results.player_careers(resolved(t))

@@ -124,9 +124,38 @@ DEFS = {
         (select *, sum(n) over (partition by match_id order by x desc) - n as before from (select match_id, {col} as x, count(*) as n, sum(gain)::double as g from forecasts group by all)) q
         cross join (select unnest([10, 25]) as k) join discounts a on a.i = least(before, k) join discounts b on b.i = least(before + n, k) group by all"""
        for name, col in (("got", "hits_dealt"), ("best", "gain"))},
+    # panes
+    "pane_values": """select victim as player_id, day, build_s, case when build_s <= 1e-6 then -2147483648 else ceil(ln(build_s) / {0} - 1e-9)::int end as bucket
+        from responses join match_days using (match_id) where build_s is not null""".format(repr(math.log(1.01 / 0.99))),
+    "pane_windows": """select player_id, event_day as end_day, bucket, count(*) as n from pane_values join event_days on day < event_day and day >= event_day - 30 group by all""",
+    "pane_upto": """select *, sum(n) over (partition by player_id, end_day order by bucket) as upto, sum(n) over (partition by player_id, end_day) as total from pane_windows""",
+    "pane_found": """select player_id, end_day, total::bigint as n_values, {} from pane_upto group by player_id, end_day, total""".format(", ".join(
+        f"max(case when upto - n <= floor({q} * (total - 1)) and floor({q} * (total - 1)) < upto then case when bucket = -2147483648 then 0 else 2.0::double / {1.01 / 0.99 + 1!r} * power({1.01 / 0.99!r}, bucket) end end) as p{int(q * 100)}"
+        for q in (0.25, 0.5, 0.75))),
+    # results
+    "event_results": """select r.match_id as event_id, m.day, 'list' as source, 'N' || ((p + m.day // 40) % 12) as source_key, r.player_id as who, 'T' || (p % 4) as team_key,
+        (case when n % 5 = 0 and p % 4 = 3 then 1 + n % 4 else 1 + (p % 4 + n) % 4 end)::bigint as placement, 4::bigint as field_size, (n + p) % 4 <> 0 as seen
+        from (select *, cast(substr(match_id, 2) as int) as n from roster) r join match_days m using (match_id)""",
+    "name_days": """select source, source_key, day, case when min(who) = max(who) then min(who) end as player_id from event_results where seen group by all""",
+    "name_changes": """select * from (select *, lag(player_id) over w as before, row_number() over w as place from name_days window w as (partition by source, source_key order by day))
+        where place = 1 or player_id is distinct from before""",
+    "names": "select source, source_key, player_id, day as valid_from, lead(day) over (partition by source, source_key order by day) as valid_to from name_changes",
+    "resolved": """select e.event_id, e.day, e.source, e.source_key, e.team_key, n.player_id from event_results e
+        left join names n on n.source = e.source and n.source_key = e.source_key and e.day >= n.valid_from and (n.valid_to is null or e.day < n.valid_to)""",
+    "team_places": "select event_id, team_key, min(placement) as placement, max(placement) as high, max(field_size) as field_size from event_results group by all",
 }
 
 SQL = {
+    "p7_pane_quantiles": "select player_id, end_day, n_values, round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75 from pane_found",
+    "p7_trend": "select player_id, count(*) as windows, round(regr_slope(p50, end_day), 6) as slope from pane_found group by player_id having count(*) >= 2",
+    "p8_name_ranges": "select * from names",
+    "p8_resolved_results": "select event_id, source_key, day, team_key, player_id from resolved",
+    "p8_placement_gate": """select event_id, count(*) as teams, max(field_size) as field_size, max(field_size) - count(distinct placement) as missing, count(*) - count(distinct placement) as repeated,
+        count(*) filter (placement not between 1 and field_size) as out_of_range, count(*) filter (placement <> high) as divided,
+        count(distinct placement) = max(field_size) and count(*) = max(field_size) and count(*) filter (placement <> high) = 0 as ok from team_places group by event_id""",
+    "p8_resolved_gate": "select count(*) as n, round(count(player_id) / count(*), 6) as share, count(player_id) / count(*) >= 0.95 as ok from resolved",
+    "p8_player_careers": """select player_id, min(day) as debut_day, max(day) as last_day, count(distinct event_id) as events, arg_max(source_key, (day, source_key)) as display_name
+        from resolved where player_id is not null group by player_id""",
     "p4_player_credits": "select fight_id, team_index, player_id, round(dealt, 6) as dealt, round(credit, 6) as credit from credits",
     "p4_shrinkage": "select k, players, round(r, 6) as r from k_grid",
     "p4_values_before": """select event_day, player_id, count(*) as n, round(sum(credit) / (count(*) + any_value(k)), 6) as value, any_value(ok) as ok from credits join match_days using (match_id)
