@@ -210,15 +210,35 @@ def label_outcomes(skeleton: DataFrame, events: DataFrame, grace_s: float | Colu
 
 
 # --------------------------------------------------------------------------------------------------- fight_sides
+NEAR_KEYS = 1_000_000
+"""Looked-up (match, player, time step) keys whose list may be broadcast: about 50 bytes each."""
+
+
+def fresh_positions(positions: DataFrame, asked: DataFrame, max_age_s: float, limit: int = NEAR_KEYS) -> DataFrame:
+    """The positions that a look-up of `asked` (match_id, player_id, t) can find within `max_age_s`, and few others.
+
+    Time is cut into steps of `max_age_s`: a fresh position lies in the step of `t` or the one before (one more for rounding). The rows are dropped where they are
+    read, so that what is shuffled afterwards follows the look-ups, not the tracks. Beyond `limit` keys their list is too large to send
+    around, and all rows stay: the look-up gives the same either way.
+    """
+    step = lambda t: F.floor(F.col(t) / F.lit(float(max_age_s)))
+    keys = materialize(asked.where(F.col("player_id").isNotNull()).select(
+        "match_id", "player_id", F.explode(F.array(step("t") - 2, step("t") - 1, step("t"))).alias("_step")).distinct(), "look-ups")
+    if keys.count() > limit:
+        return positions
+    return positions.withColumn("_step", step("t")).join(F.broadcast(keys), ["match_id", "player_id", "_step"], "left_semi").drop("_step")
+
+
 def hit_distances(hits: DataFrame, positions: DataFrame, max_age_s: float = HIT_POS_MAX_AGE_S, split: bool = False) -> DataFrame:
     """`match_id, hit, dist`: 3-D shooter-target distance in metres; null if a position is missing or stale.
 
-    Shooter and target are looked up in one pass over positions and put together again per hit.
+    Shooter and target are looked up in one pass over the positions near them in time and put together again per hit.
     """
     roles = hits.select("match_id", "hit", "t", F.inline(F.array(
         F.struct(F.lit("s").alias("role"), F.col("source").alias("player_id")),
         F.struct(F.lit("t").alias("role"), F.col("target").alias("player_id")))))
-    placed = asof(by_match(roles, split), by_match(positions.select("match_id", "player_id", "t", "x", "y", "z"), split),
+    points = fresh_positions(positions.select("match_id", "player_id", "t", "x", "y", "z"), roles, max_age_s)
+    placed = asof(by_match(roles, split), by_match(points, split),
                   left_keys=["match_id", "player_id"], right_keys=["match_id", "player_id"], left_t="t",
                   payload={"x": "x", "y": "y", "z": "z"}, max_age=max_age_s, split=split)
     ends = placed.groupBy("match_id", "hit").agg(*[

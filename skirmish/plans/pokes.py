@@ -10,8 +10,8 @@ from skirmish.functions.columns import distance, joined
 from skirmish.operators.intervals import point_in_interval
 from skirmish.operators.ordered import asof, needs_split
 from skirmish.plans.fights import (
-    BUCKET_S, GAP_S, GRACE_S, HIT_POS_MAX_AGE_S, OVERLAP_TOL_S, POKE_CONVERT_S, POKE_MINORITY_SHARE, by_match, group_fights,
-    seconds, seg_version, team_at,
+    BUCKET_S, GAP_S, GRACE_S, HIT_POS_MAX_AGE_S, OVERLAP_TOL_S, POKE_CONVERT_S, POKE_MINORITY_SHARE, by_match,
+    fresh_positions, group_fights, seconds, seg_version, team_at,
 )
 from skirmish.session import materialize
 
@@ -110,11 +110,11 @@ def label_structure_pressure(pairs: DataFrame, damage: DataFrame, teams: DataFra
     hits = structure_hits(damage, teams, split)
     pokes = pairs.select("match_id", F.col("poker_team").alias("team"), "fight_id", "t0", "t_end", "target_players")
     during = point_in_interval(hits, pokes, keys=["match_id", "team"], t="t", lo="t0", hi="t_end", width=BUCKET_S)
-    looks = during.select("match_id", "fight_id", "hit", "t", "magnitude", "x", "y",
-                          F.explode(F.split("target_players", ";")).alias("player_id"))
-    placed = asof(by_match(looks, split), by_match(positions.select("match_id", "player_id", "t", "x", "y"), split),
-                  left_keys=["match_id", "player_id"], right_keys=["match_id", "player_id"], left_t="t",
-                  payload={"px": "x", "py": "y"}, max_age=max_age_s, split=split)
+    looks = materialize(during.select("match_id", "fight_id", "hit", "t", "magnitude", "x", "y",
+                                      F.explode(F.split("target_players", ";")).alias("player_id")), "structure-looks")
+    points = fresh_positions(positions.select("match_id", "player_id", "t", "x", "y"), looks, max_age_s)
+    placed = asof(by_match(looks, split), by_match(points, split), left_keys=["match_id", "player_id"], right_keys=["match_id", "player_id"],
+                  left_t="t", payload={"px": "x", "py": "y"}, max_age=max_age_s, split=split)
     near = placed.where(distance(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= F.lit(float(radius_uu)))
     once = near.groupBy("match_id", "fight_id", "hit").agg(F.max("magnitude").alias("magnitude"))
     return once.groupBy("match_id", "fight_id").agg(F.sum("magnitude").alias("structure_damage"), F.count("*").alias("structure_hits"))

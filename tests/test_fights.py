@@ -1,5 +1,6 @@
 """Fights on random matches against plain loops, and what must hold whatever the data."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -229,3 +230,23 @@ def test_label_columns_are_known_by_their_marks():
 
 def test_parameter_set_names():
     assert fp.seg_version(gap_s=0.25, overlap_tol_s=2, grace_s=1.5, poke_minority_share=0.3, poke_convert_s=45) == "v2-gap0.25-tol2-grace1.5-poke30-conv45"
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_only_positions_near_a_look_up_are_shuffled(spark, monkeypatch, limit):
+    """What is kept follows the hits, not the tracks, and distances stay the same with or without it."""
+    r = random.Random(4)
+    track = [("m", f"p{i % 40}", i / 40, float(r.randrange(999)), 0.0, 0.0) for i in range(20000)]
+    positions = spark.createDataFrame(track, "match_id string, player_id string, t double, x double, y double, z double")
+    rows = [("m", i, r.choice([10.0, 10.3, 57.125, 400.0, 499.9, 600.0]), f"p{r.randrange(3)}", r.choice(["p1", "p39", None])) for i in range(50)]
+    hits = spark.createDataFrame(rows, "match_id string, hit long, t double, source string, target string")
+    asked = hits.select("match_id", F.col("source").alias("player_id"), "t").unionByName(hits.select("match_id", F.col("target").alias("player_id"), "t"))
+    kept = fp.fresh_positions(positions, asked, 2.0, limit).count()
+    assert kept == len(track) if limit == 0 else kept < 150
+    monkeypatch.setattr(fp.fresh_positions, "__defaults__", (limit,))
+    at = {(p, t): x for _, p, t, x, _, _ in track}
+    last = lambda p, t: next((at[p, u] for u in sorted((u for q, u in at if q == p and u <= t), reverse=True)[:1] if t - u <= 2.0), None)
+    for row in fp.hit_distances(hits, positions).collect():
+        _, _, t, a, b = rows[row["hit"]]
+        x, y = last(a, t), last(b, t) if b else None
+        assert row["dist"] == (None if x is None or y is None else abs(x - y) / 100)
