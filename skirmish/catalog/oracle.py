@@ -374,6 +374,8 @@ SQL: dict[str, str] = {
     "d13_owner_lookup": "select row_id, match_id, source = 'P00' as by_recorder from damage",
     "d14_decided_fights": "select fight_id, count(*) as hits from hits where fight_id in (select fight_id from outc where outcome <> 'disengage') group by fight_id",
     "d15_unlabelled_documents": "select doc_id from documents where doc_id not in (select doc_id from labels)",
+    "d16_link_counts": """select s.match_id, s.team_a, s.team_b, s.seg_start, count(*) filter (l.lag <= 10) as links, round(greatest(min(l.lag), case when min(l.lag) is not null then 0 end), 6) as lag from seg s
+        left join links l using (match_id, team_a, team_b, seg_start) group by s.match_id, s.team_a, s.team_b, s.seg_start""",
     "d16_segment_links": "select * replace (round(lag, 6) as lag) from links where lag <= 10",
     "d17_interpolated": """select row_id, match_id, round(case when bt is null then fx when ft is null or ft = bt then bx else bx + (fx - bx) * ((t - bt) / (ft - bt)) end, 6) as x,
         round(case when bt is null then fy when ft is null or ft = bt then "by" else "by" + (fy - "by") * ((t - bt) / (ft - bt)) end, 6) as y from

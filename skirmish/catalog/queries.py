@@ -350,6 +350,11 @@ def d16_segment_links(t):
     return rounded(explore.segment_links(spans(t), 10.0).select(*cols, "lag"), "lag")
 
 
+@query
+def d16_link_counts(t):
+    return rounded(explore.link_counts(spans(t), 10.0, t.split), "lag")
+
+
 @query
 def d17_interpolated(t):
     events = t.elims.where(F.col("eliminated").isNotNull()).select("row_id", "match_id", "eliminated", fp.seconds().alias("t"))

@@ -99,6 +99,30 @@ def segment_links(spans: DataFrame, window_s: float) -> DataFrame:
         other & (F.col("_bucket") == shared)).withColumn("lag", lag).where(F.col("lag") <= F.lit(float(window_s))).drop("_bucket")
 
 
+def link_counts(spans: DataFrame, window_s: float, split: bool = False) -> DataFrame:
+    """Segments with `links`, the number of segments of other pairs that share a team and lie within `window_s` of them, and `lag`, the
+    step to the nearest (0 if they overlap). Linear: what began by a segment's end plus the window, plus what ended from its start less the window on, less
+    all, counts those within it; its own pair's are taken off. `segment_links` lists the pairs themselves, on request."""
+    window = F.lit(float(window_s))
+    key = ["match_id", "team_a", "team_b", "seg_start"]
+    base = spans.select(*key, "seg_end")
+    groups = F.array(F.array(F.col("team_a"), F.lit(None).cast("long")), F.array(F.col("team_b"), F.lit(None).cast("long")), F.array("team_a", "team_b"))
+    rows = base.select("*", F.explode(groups).alias("_g")).select(*key, "seg_end", F.col("_g")[0].alias("_one"), F.coalesce(F.col("_g")[1], F.lit(-1)).alias("_two"))
+    by = ["match_id", "_one", "_two"]
+
+    def upto(column: str, out: str, back: bool) -> DataFrame:
+        """How many segments of a group have `column` at or before (at or after) each of its values."""
+        counts = rows.groupBy(*by, F.col(column).alias("t")).agg(F.count("*").alias("n"))
+        return Ordered(counts, by, ["t"], split).running(out, "sum", F.col("n"), reverse=back).rows().select(*by, "t", out)
+
+    met = asof(rows, upto("seg_start", "began", False), left_keys=by, right_keys=by, left_t=F.col("seg_end") + window, payload={"_began": "began"}, split=split)
+    met = asof(met, upto("seg_end", "ending", True), left_keys=by, right_keys=by, left_t=F.col("seg_start") - window, payload={"_ending": "ending"}, forward=True, split=split)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_all"))
+    near = F.col("_began") + F.col("_ending") - F.col("_all")
+    counted = met.join(sizes, by).groupBy(*key).agg(F.sum(F.when(F.col("_two") == -1, near).otherwise(-2 * near)).alias("links"))
+    return counted.join(nearest_links(spans, split), key, "left").withColumn("lag", F.when(F.col("lag").isNotNull(), F.greatest("lag", F.lit(0.0))))
+
+
 def third_party_links(spans: DataFrame, windows: Sequence[float] = LINK_WINDOWS) -> DataFrame:
     """Per window: segments, how many have a team-sharing segment of another pair within it, and that share."""
     rows = each(nearest_links(spans), "link_window", windows)

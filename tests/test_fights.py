@@ -250,3 +250,67 @@ def test_only_positions_near_a_look_up_are_shuffled(spark, monkeypatch, limit):
         _, _, t, a, b = rows[row["hit"]]
         x, y = last(a, t), last(b, t) if b else None
         assert row["dist"] == (None if x is None or y is None else abs(x - y) / 100)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_link_counts_equal_all_pairs(spark, split):
+    r = random.Random(8)
+    spans = sorted({("m", *sorted(r.sample(range(4), 2)), r.randrange(120) / 2) for _ in range(150)})
+    rows = [(*s, s[3] + r.choice([0.0, 0.5, 4.0, 30.0]), 1) for s in spans]
+    df = spark.createDataFrame(rows, "match_id string, team_a long, team_b long, seg_start double, seg_end double, n_hits long")
+    lag = lambda a, b: max(a[3], b[3]) - min(a[4], b[4])
+    for window in (0.0, 5.0):
+        got = {(x["team_a"], x["team_b"], x["seg_start"]): (x["links"], x["lag"]) for x in ex.link_counts(df, window, split).collect()}
+        for a in rows:
+            others = [lag(a, b) for b in rows if b[1:3] != a[1:3] and set(b[1:3]) & set(a[1:3])]
+            assert got[a[1:4]] == (sum(x <= window for x in others), max(0.0, min(others)) if others else None)
+
+
+# ---------------------------------------------------------------------------------------------- boundaries, one by one
+HIT = "match_id string, t double, source string, target string, magnitude double, x double, y double"
+ELIM = "match_id string, t_ms long, eliminator string, eliminated string, knocked boolean"
+
+
+def one_match(spark, hits, elims=(), teams=((0.0, "a", 1), (0.0, "a2", 1), (0.0, "b", 2), (0.0, "b2", 2), (0.0, "c", 3)), **kw):
+    """fight_sides of a match given by hand, by team."""
+    f = {"damage": spark.createDataFrame([("m", *h, 0.0, 0.0) for h in hits], HIT), "elims": spark.createDataFrame([("m", *e) for e in elims], ELIM),
+         "teams": spark.createDataFrame([("m", *x) for x in teams], "match_id string, t double, player_id string, team_index long"),
+         "players": spark.createDataFrame([("m", p, False, None) for p in "abc"], "match_id string, player_id string, is_bot boolean, death_time double"),
+         "matches": spark.createDataFrame([("m", "a")], "match_id string, replay_owner string")}
+    rows = fp.build_fight_sides(f["damage"], f["teams"], f["elims"], f["players"], f["matches"], **kw).collect()
+    return {(r["fight_id"], r["team_index"]): r for r in rows}
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_step_of_exactly_the_gap_stays_in_one_segment(spark, split):
+    hits = [(0.0, "a", "b", 5.0), (10.0, "a", "b", 5.0), (20.0, "b", "a", 5.0), (30.001, "a", "b", 5.0)]
+    got = one_match(spark, hits, split=split)
+    assert sorted((r["fight_id"], r["t0"], r["t_end"]) for r in got.values() if r["team_index"] == 1) == [("m:0", 0.0, 20.0), ("m:1", 30.001, 30.001)]
+
+
+def test_overlap_of_exactly_the_tolerance_links(spark):
+    linked = one_match(spark, [(0.0, "a", "b", 5.0), (1.0, "a", "c", 5.0)])
+    apart = one_match(spark, [(0.0, "a", "b", 5.0), (1.001, "a", "c", 5.0)])
+    assert {k[0] for k in linked} == {"m:0"} and {k[0] for k in apart} == {"m:0", "m:1"}
+
+
+def test_first_falls_within_the_tie_window(spark):
+    hits = [(0.0, "a", "b", 5.0), (5.0, "b", "a", 5.0)]
+    tie = one_match(spark, hits, [(6000, "a", "b", True), (7000, "b", "a", True)])
+    after = one_match(spark, hits, [(6000, "a", "b", True), (7001, "b", "a", True)])
+    assert {k[1]: r["outcome"] for k, r in tie.items()} == {1: "tie", 2: "tie"}
+    assert {k[1]: r["outcome"] for k, r in after.items()} == {1: "win", 2: "loss"}
+    grace = one_match(spark, hits, [(8000, "a", "b", True)])
+    late = one_match(spark, hits, [(8001, "a", "b", True)])
+    assert grace["m:0", 1]["outcome"] == "win" and late["m:0", 1]["outcome"] == "disengage"
+
+
+def test_direct_eliminations_count_in_solo_matches_only(spark):
+    hits, elims = [(0.0, "a", "b", 5.0), (5.0, "b", "a", 5.0)], [(5000, "a", "b", False)]
+    solo = ((0.0, "a", 1), (0.0, "b", 2), (0.0, "c", 3))
+    assert one_match(spark, hits, elims, solo)["m:0", 1]["outcome"] == "win"
+    assert one_match(spark, hits, elims)["m:0", 1]["outcome"] == "disengage"
+    assert one_match(spark, hits, elims, direct_elim_all_modes=True)["m:0", 1]["outcome"] == "win"
+    # a knock at the same time makes it no direct one; a later knock does not
+    assert one_match(spark, hits, [(5000, "a", "b", False), (5000, "c", "b", True)], solo)["m:0", 1]["outcome"] == "disengage"
+    assert one_match(spark, hits, [(5000, "a", "b", False), (9500, "c", "b", True)], solo)["m:0", 1]["outcome"] == "win"

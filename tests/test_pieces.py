@@ -91,3 +91,12 @@ def test_attribution_equals_brute_force_with_one_large_match(spark, split):
         best = min((c for c in cands if c[0] or not n_team), key=lambda c: (not c[1], min(c[2], 1e5), c[3]))
         named = n_team > 0 or best[2] <= 800
         assert r["builder"] == (best[3] if named else None) and r["builder_dist"] == pytest.approx(best[2])
+
+
+def test_predicted_spawns_hand_on_their_time_once(spark):
+    """A chain of predictions: each row inherits from the one before it only, and exactly 0.2 s still counts."""
+    rows = [("m", 1.0, wall(), 0, 1.5, 1), ("m", 1.7, wall(), 0, 2.0, 1), ("m", 2.125, wall(), 0, 9.0, 1), ("m", 9.25, wall(), 0, None, 1), ("m", 1.6, wall(), 512, 2.0, 1)]
+    got = sorted((r["x"], r["spawn_t"], r["close_t"]) for r in pc.parse_pieces(builds(spark, rows)).collect())
+    assert got == [(0.0, 1.7, 9.0), (0.0, 9.25, None), (512.0, 1.6, 2.0)]
+    apart = [("m", 1.0, wall(), 0, 1.5, 1), ("m", 1.75, wall(), 0, None, 1), ("m", 1.6, wall("Floor"), 0, None, 1)]
+    assert pc.parse_pieces(builds(spark, apart)).count() == 3
