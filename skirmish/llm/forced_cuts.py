@@ -64,14 +64,10 @@ class ForcedCuts:
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.to_byte = {chr(s): b for b, s in _byte_signs().items()}
         self.table = {s: b for s, b in ((ord(c), chr(b)) for c, b in self.to_byte.items())}
-        self.names = [""] * (1 + max([*vocab.values(), *(t["id"] for t in file["added_tokens"])]))
-        for name, i in vocab.items():
-            self.names[i] = name
+        self.names = token_names(path)
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"]):
             raise ValueError(f"{path}: added tokens are expected to match the raw text exactly and hold no white space")
-        for name, i in self.added.items():
-            self.names[i] = name
         self.holds_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")" if self.added else "((?!))")
 
         self.together = np.zeros((END, 2 * END), bool)  # pairs inside some token
@@ -224,6 +220,17 @@ class ForcedCuts:
         return ids[spans_of(starts, counts)].astype(np.uint32), counts
 
 
+@lru_cache(maxsize=1)
+def token_names(path: str) -> list[str]:
+    """The writing of each id, added tokens included: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    names = [""] * (1 + max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])]))
+    for name, i in [*file["model"]["vocab"].items(), *((t["content"], t["id"]) for t in file["added_tokens"])]:
+        names[i] = name
+    return names
+
+
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> tuple[ForcedCuts, FragmentEncoder]:
     cuts = ForcedCuts(path)
@@ -247,7 +254,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str = WORDS) -> DataFrame:
     """(doc_id, ids, decoded) from (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = _loaded(tokenizer)[0].names.__getitem__
+        name = token_names(tokenizer).__getitem__
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
