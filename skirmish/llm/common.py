@@ -65,7 +65,8 @@ def join_dealt(rows: DataFrame, side: DataFrame, keys: Sequence[str], sizes: Dat
 
     dealt = with_parts(rows).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).drop("_parts")
     repeated = with_parts(side).withColumn("_side_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    renamed = repeated.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    # stored, so that its size is known when the join is planned: a small side then leaves the rows where they are
+    renamed = materialize(repeated.withColumnsRenamed({k: f"_s_{k}" for k in keys}), "dealt")
     return dealt.join(renamed, same("_s_") & (F.col("_part") == F.col("_side_part")), how).drop("_part", "_side_part", *[f"_s_{k}" for k in keys])
 
 
