@@ -314,3 +314,13 @@ def test_direct_eliminations_count_in_solo_matches_only(spark):
     # a knock at the same time makes it no direct one; a later knock does not
     assert one_match(spark, hits, [(5000, "a", "b", False), (5000, "c", "b", True)], solo)["m:0", 1]["outcome"] == "disengage"
     assert one_match(spark, hits, [(5000, "a", "b", False), (9500, "c", "b", True)], solo)["m:0", 1]["outcome"] == "win"
+
+
+def test_equal_opponents_are_equal_in_any_order_of_rows(spark):
+    """0.1 + 0.2 is more than 0.3 in doubles: the totals are equal, so the lowest opponent counts."""
+    hits = spark.createDataFrame([("m", 0, 1.0, 7, 2, "a", "c", 0.1), ("m", 0, 2.0, 2, 7, "c", "a", 0.2), ("m", 0, 3.0, 7, 1, "a", "b", 0.3)],
+                                 "match_id string, n long, t double, source_team long, target_team long, source string, target string, magnitude double")
+    rows = {r["team"]: r["opp"] for r in fp.sum_sides(fp.side_members(hits)).collect()}
+    assert rows == {7: 1, 1: 7, 2: 7}
+    huge = hits.withColumn("magnitude", F.when(F.col("t") == 2.0, F.lit(float("inf"))).otherwise(F.col("magnitude")))
+    assert {r["team"]: r["opp"] for r in fp.sum_sides(fp.side_members(huge)).collect()} == {7: 2, 1: 7, 2: 7}
