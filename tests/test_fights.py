@@ -324,3 +324,15 @@ def test_equal_opponents_are_equal_in_any_order_of_rows(spark):
     assert rows == {7: 1, 1: 7, 2: 7}
     huge = hits.withColumn("magnitude", F.when(F.col("t") == 2.0, F.lit(float("inf"))).otherwise(F.col("magnitude")))
     assert {r["team"]: r["opp"] for r in fp.sum_sides(fp.side_members(huge)).collect()} == {7: 2, 1: 7, 2: 7}
+
+
+def test_larger_data_means_more_tasks_not_larger_ones(spark):
+    """Adaptive execution would merge partitions up to 64 MB, about 2 GB of sort memory in one task."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    few = spark.range(4_000_000).select(F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert few.repartition("v").rdd.getNumPartitions() >= 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
