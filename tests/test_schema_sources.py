@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from skirmish.catalog.queries import export_csv
 from skirmish.schema import PROCESSED, TABLES, coerce, problems, validate, validation_summary
 from skirmish.sources import ledger
 from skirmish.sources.tables import read_table, write_tables
@@ -198,3 +199,11 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([("m", 1.0, "P", 1)], "match_id string, t double, player_id string, team_index long").write.parquet(f"{tmp_path}/teams.parquet")
     plan = read_table(spark, str(tmp_path), "teams", ["t"], match_id="m")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(match_id,m)" in plan and "player_id" not in plan
+
+
+def test_export_spreads_small_files_over_tasks(spark, tmp_path):
+    """One tiny row per match is still one file per match, which one task would write one after the other."""
+    frame = spark.range(40).select(F.concat(F.lit("m"), "id").alias("match_id"), F.lit("b").alias("branch"))
+    export_csv(frame, str(tmp_path / "export"), "meta")
+    seen = {p.name.split("-")[1] for p in (tmp_path / "export").rglob("part-*.csv")}
+    assert len(seen) > 4 and len(list((tmp_path / "export").iterdir())) >= 40
