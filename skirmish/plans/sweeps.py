@@ -23,12 +23,22 @@ MINORITY_SHARES = (0.0, 0.05, 0.10, 0.15, 0.20, 0.30)
 CONVERT_WINDOWS = (10.0, 20.0, 30.0, 45.0)
 MERGE_WINDOWS = (0.0, 5.0, 10.0)
 
+FEW_KNOCKS = 500_000
+"""Knocks up to which a sweep leaves it to the planner how to meet the sides, mostly by sending the knocks around."""
+
 
 def each(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
     """One copy of the rows per parameter value."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
 
 
+def link_by_tolerance(spans: DataFrame, tols: Sequence[float], by: Sequence[str] = (), split: bool = False) -> DataFrame:
+    """Stored spans linked under every tolerance `tol`: tasks are sized by the copies, each once for either team."""
+    rows = spans.count() * len(tols) * 2
+    copies = each(by_match(spans, split, rows), "tol", tols)
+    return link_segments(copies, F.col("tol"), by=[*by, "tol"], split=split, rows=rows)
+
+
 def sides_of_segments(linked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(fight, team) rows with span, team list, `n_teams` and `first` (one true row per fight), from linked segments."""
     fight = [*by, "match_id", "n"]
@@ -47,13 +57,15 @@ def segmentation_sweep(damage: DataFrame, teams: DataFrame, elims: DataFrame, ma
     split = needs_split([damage]) if split is None else split
     grid = ["gap", "tol", "grace"]
     eng = materialize(engagement_damage(damage, teams, split), "engagement")
-    segmented = team_pair_segments(each(by_match(eng, split), "gap", gaps), F.col("gap"), by=["gap"], split=split)
-    spans = each(segment_spans(segmented, ["gap"]), "tol", tols)
-    linked = link_segments(spans, F.col("tol"), by=["gap", "tol"], split=split)
+    # Copies are made after each layout, so that they are not shuffled, but counted before it: they are what a task sorts.
+    copies = each(by_match(eng, split, eng.count() * len(gaps)), "gap", gaps)
+    spans = materialize(segment_spans(team_pair_segments(copies, F.col("gap"), by=["gap"], split=split), ["gap"]), "sweep-spans")
+    linked = link_by_tolerance(spans, tols, ["gap"], split)
     sides = materialize(sides_of_segments(linked, ["gap", "tol"]), "sweep-sides")
+    n_sides = sides.count() * len(graces)
     events = materialize(outcome_events(elims, teams, split=split), "events")
     labelled = materialize(label_outcomes(
-        by_match(each(sides, "grace", graces), split), events, F.col("grace"), by=grid), "sweep-outcomes")
+        each(by_match(sides, split, n_sides), "grace", graces), events, F.col("grace"), by=grid), "sweep-outcomes")
     two = F.col("n_teams") <= 2
     n_two = F.count_if(two)
     # A setting may leave no fight of two teams: its shares are 0.
@@ -66,7 +78,10 @@ def segmentation_sweep(damage: DataFrame, teams: DataFrame, elims: DataFrame, ma
                          {"dur_p50": 0.5, "dur_p90": 0.9}, few_groups=True).drop("n_values")
     knocks = recorder_knocks(elims, teams, matches, split)
     n_knocks = knocks.count()
-    found = knock_coverage(knocks, labelled.drop("first"), F.col("grace"), by=grid).groupBy(*grid).agg(
+    skeleton = labelled.drop("first")
+    if n_knocks > FEW_KNOCKS:
+        skeleton = by_match(skeleton, split, n_sides)
+    found = knock_coverage(knocks, skeleton, F.col("grace"), by=grid).groupBy(*grid).agg(
         F.count("*").alias("_in"), F.count_if("covered").alias("_covered"))
     rate = {new: F.coalesce(F.col(old), F.lit(0)) / F.nullif(F.lit(n_knocks), F.lit(0))
             for new, old in (("in_fight", "_in"), ("coverage", "_covered"))}
@@ -133,8 +148,8 @@ def convert_sweep(pairs: DataFrame, damage: DataFrame, teams: DataFrame, elims:
 
 def merge_window_report(segmented: DataFrame, windows: Sequence[float] = MERGE_WINDOWS, split: bool = False) -> DataFrame:
     """Per merge window: fights, multi-team share, teams and duration p50 / p90 / max, share of fights >= 60."""
-    spans = each(by_match(segment_spans(segmented), split), "tol", windows)
-    sides = sides_of_segments(link_segments(spans, F.col("tol"), by=["tol"], split=split), ["tol"])
+    spans = materialize(segment_spans(segmented), "merge-spans")
+    sides = sides_of_segments(link_by_tolerance(spans, windows, split=split), ["tol"])
     f = materialize(sides.where("first").select("tol", F.col("n_teams").cast("double").alias("n_teams"),
                                                 (F.col("t_end") - F.col("t0")).alias("dur")), "merge-windows")
     base = f.groupBy("tol").agg(

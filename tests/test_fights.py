@@ -336,3 +336,29 @@ def test_larger_data_means_more_tasks_not_larger_ones(spark):
         assert few.repartition("v").rdd.getNumPartitions() >= 16
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_copies_of_a_sweep_make_more_tasks_not_larger_ones(spark, monkeypatch):
+    """Tasks follow the rows of all settings; laid out by shuffled bytes, each took every copy of its matches. Results stay the same."""
+    t = random_tables(matches=12, seed=7, hits=30).frames(spark)
+    hits = fp.segmented_hits(t["damage"], t["teams"])
+
+    def run():
+        sweep = sw.segmentation_sweep(t["damage"], t["teams"], t["elims"], t["matches"], gaps=[5.0, 10.0], tols=[0.0, 2.0], graces=[1.0, 3.0], split=False)
+        return [sorted(map(tuple, df.collect())) for df in (sweep, sw.merge_window_report(hits, split=False))]
+
+    want, stored, store = run(), {}, fp.materialize
+
+    def spy(df, label):
+        out = store(df, label)
+        stored.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    for module in (fp, sw):
+        monkeypatch.setattr(module, "materialize", spy)
+    monkeypatch.setattr(fp, "TASK_ROWS", 20)
+    monkeypatch.setattr(sw, "FEW_KNOCKS", 0)  # the sides are laid out for the knocks, too
+    assert run() == want and len(want[0]) == 8
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = {k: min(stored[k]) for k in ("sweep-spans", "linked", "sweep-sides", "sweep-outcomes", "merge-windows") if min(stored[k]) <= shuffles}
+    assert not few, few
