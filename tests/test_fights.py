@@ -326,6 +326,19 @@ def test_equal_opponents_are_equal_in_any_order_of_rows(spark):
     assert {r["team"]: r["opp"] for r in fp.sum_sides(fp.side_members(huge)).collect()} == {7: 2, 1: 7, 2: 7}
 
 
+def test_sides_name_the_opponent_that_sums_of_doubles_name(spark):
+    """As in SQL: 0.1 + 0.2 is more than 0.3, whatever the order of the two."""
+    teams = [("m", 0.0, p, i) for i, p in ((7, "a"), (1, "b"), (2, "c"))]
+    for first, second in ((0.1, 0.2), (0.2, 0.1)):
+        damage = spark.createDataFrame([("m", 1.0, "a", "c", first, 1), ("m", 2.0, "c", "a", second, 2), ("m", 3.0, "a", "b", 0.3, 3)],
+                                       "match_id string, t double, source string, target string, magnitude double, row_id long")
+        sides = fp.build_fight_sides(damage, spark.createDataFrame(teams, "match_id string, t double, player_id string, team_index long"),
+                                     spark.createDataFrame([], "match_id string, t_ms long, eliminator string, eliminated string, knocked boolean"),
+                                     spark.createDataFrame([], "match_id string, player_id string, is_bot boolean, death_time double"),
+                                     spark.createDataFrame([], "match_id string, replay_owner string"))
+        assert {r["team_index"]: r["opp_team_index"] for r in sides.collect()} == {7: 2, 1: 7, 2: 7}
+
+
 def test_larger_data_means_more_tasks_not_larger_ones(spark):
     """Adaptive execution would merge partitions up to 64 MB, about 2 GB of sort memory in one task."""
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
